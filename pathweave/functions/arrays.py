@@ -44,14 +44,15 @@ def std_pop(a: Column) -> Column:
     return let(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(a)))
 
 
-def robust_upper(a: Column, factor: float, kind: str) -> Column:
+def robust_upper(a: Column, factor: float, kind: str, margin: float = 1e-6) -> Column:
     """Upper threshold of an array of values.
 
     mean:   lower median + f*1.4826*MAD; mean + f*(std+1e-12) when MAD <= 1e-12; +inf when empty
     iqr:    median + f*1.4826*MAD; else Q75 + f*IQR when IQR > 1e-8; else the maximum
-    margin: median + f*1.4826*max(MAD, 1e-8)
+    margin: median + f*sigma with sigma = 1.4826*MAD, but median + margin when sigma < margin
+    floor:  median + f*max(1.4826*MAD, 1e-8)
     """
-    if kind not in ("mean", "iqr", "margin"):
+    if kind not in ("mean", "iqr", "margin", "floor"):
         raise ValueError(kind)
     median = lower_median if kind == "mean" else lambda x: quantile(x, 0.5)
 
@@ -60,7 +61,10 @@ def robust_upper(a: Column, factor: float, kind: str) -> Column:
         if kind == "mean":
             return F.when(mad > 1e-12, wide).otherwise(mean(a) + F.lit(factor) * (std_pop(a) + F.lit(1e-12)))
         if kind == "margin":
-            return med + F.lit(factor * 1.4826) * F.greatest(mad, F.lit(1e-8))
+            sigma = F.lit(1.4826) * mad
+            return F.when(sigma < margin, med + F.lit(margin)).otherwise(med + F.lit(factor) * sigma)
+        if kind == "floor":
+            return med + F.lit(factor) * F.greatest(F.lit(1.4826) * mad, F.lit(1e-8))
         q25, q75 = quantile(a, 0.25), quantile(a, 0.75)
         by_range = F.when(q75 - q25 > 1e-8, q75 + F.lit(factor) * (q75 - q25)).otherwise(F.array_max(a))
         return F.when(mad > 1e-8, wide).otherwise(by_range)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stats", "segments", "windows")
+MODULES = ("stats", "segments", "windows", "filters")
 
 
 def load_all():

@@ -98,6 +98,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} as ({VIEWS[name]})" for name in VIEWS if name in needed)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

@@ -273,7 +273,8 @@ def _robust(kind: str) -> str:
         "iqr": "case when any_value(mad) > 1e-8 then any_value(med) + 3.0 * 1.4826 * any_value(mad)"
                " when quantile_cont(v, 0.75) - quantile_cont(v, 0.25) > 1e-8"
                " then quantile_cont(v, 0.75) + 3.0 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) else max(v) end",
-        "margin": "any_value(med) + 3.0 * 1.4826 * greatest(any_value(mad), 1e-8)",
+        "margin": "case when 1.4826 * any_value(mad) < 1e-6 then any_value(med) + 1e-6 else any_value(med) + 3.0 * 1.4826 * any_value(mad) end",
+        "floor": "any_value(med) + 3.0 * greatest(1.4826 * any_value(mad), 1e-8)",
     }[kind]
     return f"""select '{kind}' as kind, demo_id, {q6(narrow)} as threshold, count(*)::bigint as n from (
   select *, {med}(abs(v - med), 0.5) over (partition by demo_id) as mad from (
@@ -283,7 +284,7 @@ def _robust(kind: str) -> str:
 @query("a16_robust_upper", f"""
 with vals as (select demo_id, point_id, case when demo_id % 3 = 0 then (case when point_id < 14 then 5.0 else ms end) when demo_id % 7 = 1 then 2.5 else ms end as v
               from (select demo_id, point_id, max(step) as ms from ({STEP_SQL}) group by 1, 2))
-{_robust('mean')} union all {_robust('iqr')} union all {_robust('margin')}""")
+{' union all '.join(_robust(k) for k in ('mean', 'iqr', 'margin', 'floor'))}""")
 def robust_upper_query(d: Data):
     p = point_motion(d.tracks(), JUMP)
     # flattened values on some demos reach the fall-back branches
@@ -291,7 +292,7 @@ def robust_upper_query(d: Data):
         .when(F.col("demo_id") % 7 == 1, 2.5).otherwise(F.col("max_step"))
     packed = p.groupBy("demo_id").agg(F.collect_list(v).alias("vals"))
     rows = [F.struct(F.lit(k).alias("kind"), r6(robust_upper(F.col("vals"), 3.0, k)).alias("threshold"))
-            for k in ("mean", "iqr", "margin")]
+            for k in ("mean", "iqr", "margin", "floor")]
     return packed.select("demo_id", F.size("vals").cast("bigint").alias("n"), F.inline(F.array(*rows)))
 
 

@@ -165,11 +165,11 @@ def chunk_overlap(d: Data):
 
 
 @query("w23_carry_forward", """
-select demo_id, t, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by demo_id order by t rows unbounded preceding) as scene
+select demo_id, t, coalesce(last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by demo_id order by t rows unbounded preceding), -1) as scene
 from fx_steps""")
 def carry(d: Data):
     s = d.steps().select("demo_id", "t", F.when(F.col("event_type") == "view", F.col("event_id")).alias("here"))
-    return carry_forward(s, "here", "scene", size=16).select("demo_id", "t", "scene")
+    return carry_forward(s, "here", "scene", size=16).select("demo_id", "t", F.coalesce("scene", F.lit(-1)).alias("scene"))
 
 
 @query("w24_dones", "select demo_id, t, (t = t_len - 1)::int as done from fx_steps join fx_demo using (demo_id)")
