@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stats", "segments", "windows", "filters")
+MODULES = ("stats", "segments", "windows", "filters", "geometry", "calibration")
 
 
 def load_all():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import quantile, robust_upper
+from pathweave.functions.arrays import let, quantile, robust_upper
 from pathweave.functions.numeric import all_finite, norm, r6, round_half_even
 from pathweave.operators.motion import clamped_std, forward_flow, point_motion, steps_between
 from pathweave.operators.quantile import exact_quantiles
@@ -307,8 +307,8 @@ def first_frame_radius(d: Data):
     f = d.tracks().filter("t = 0")
     pts = f.groupBy("demo_id").agg(F.collect_list(F.struct("point_id", "xu", "yu", "zu")).alias("p"))
     axes = ("xu", "yu", "zu")
-    pts = pts.withColumns({f"c_{c}": quantile(F.col(f"p.{c}").cast("array<double>"), 0.5) for c in axes})
-    pts = pts.withColumn("r", F.transform("p", lambda s: norm(*[s[c] - F.col(f"c_{c}") for c in axes])))
+    centre = F.struct(*[quantile(F.col(f"p.{c}").cast("array<double>"), 0.5).alias(c) for c in axes])
+    pts = pts.withColumn("r", let(centre, lambda m: F.transform("p", lambda s: norm(*[s[c] - m[c] for c in axes]))))
     pts = pts.withColumn("cut", quantile(F.col("r"), 0.9))
     out = pts.select("demo_id", "cut", F.size("p").alias("n"), F.inline(F.arrays_zip("p", "r")))
     return out.select("demo_id", F.col("p.point_id").alias("point_id"), r6("r").alias("radius"),

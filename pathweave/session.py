@@ -17,6 +17,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # AQE may split a skewed join even when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Frames fan out after a shuffle (points, pixels), so small shuffle blocks must not end in one task. With
+    # parallelism first this only sets the floor; large shuffles keep the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -32,8 +35,9 @@ def get_session(app: str = "pathweave", master: str | None = None, **conf: str)
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make a session given by somebody else fit for the library (settings only, no data is read)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+        spark.conf.set(key, DEFAULTS[key])
     if shared_root(spark) is None:
         spark.conf.set(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="pathweave-"))
     spark.sparkContext.setCheckpointDir(shared_root(spark))
