@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stats", "segments", "windows", "filters", "geometry", "calibration")
+MODULES = ("stats", "segments", "windows", "filters", "geometry", "calibration", "names", "tables")
 
 
 def load_all():
