@@ -53,13 +53,15 @@ with c as (select *, length(text) % 3 <> 0 or conv_id % 2 = 0 as has_frame from
 select conv_id, turn, role, bool_and(has_frame) over (partition by conv_id) as frames_complete, first_instr from c
 join (select conv_id, arg_min(substr(text, 1, 20), turn) filter (role = 'user' and trim(text) <> '') as first_instr from conversations group by 1) using (conv_id)""")
 def explode_episode(d: Data):
-    # the nested form: one row per episode with its steps, the way such sources deliver it
+    # the nested form such sources deliver: arrays of steps, a long episode in shards of 64 steps
     step = F.struct("turn", "role", "text", F.when((F.length("text") % 3 != 0) | (F.col("conv_id") % 2 == 0), F.lit(1)).alias("frame"))
-    nested = d.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    nested = d.table("conversations").groupBy("conv_id", F.floor(F.col("turn") / 64).alias("shard")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
     complete = F.forall("steps", lambda s: s["frame"].isNotNull())
     instr = F.get(F.filter("steps", lambda s: (s["role"] == "user") & (F.trim(s["text"]) != "")), F.lit(0))["text"]
-    return nested.select("conv_id", complete.alias("frames_complete"), F.substring(instr, 1, 20).alias("first_instr"), F.inline("steps")).select(
-        "conv_id", "turn", "role", "frames_complete", "first_instr")
+    per = nested.groupBy("conv_id").agg(F.bool_and(complete).alias("frames_complete"),
+                                        F.substring(F.min_by(instr, F.when(instr.isNotNull(), F.col("shard"))), 1, 20).alias("first_instr"))
+    rows = nested.select("conv_id", F.inline("steps")).select("conv_id", "turn", "role")
+    return rows.join(per, "conv_id")
 
 
 @query("s09_write_variant", """
@@ -123,12 +125,13 @@ def training_cache(d: Data):
     return d.spark.read.parquet(path)
 
 
-@query("s15_skip_existing", "select o_orderkey, (select count(*) from orders where o_orderstatus = 'F')::bigint as skipped from orders where o_orderstatus <> 'F'")
+@query("s15_skip_existing", "select o_orderkey, 1::bigint as n from orders where o_orderstatus <> 'F' union all select -1, count(*)::bigint from orders where o_orderstatus = 'F'")
 def skip_existing(d: Data):
+    """The inputs still to do, and one row (key -1) with the number that was skipped."""
     o = d.table("orders")
     done = o.filter("o_orderstatus = 'F'").select("o_orderkey")
-    skipped = o.join(done, "o_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("skipped"))  # one row
-    return io.only_new(o, done, ["o_orderkey"]).select("o_orderkey").crossJoin(skipped)
+    skipped = o.join(done, "o_orderkey", "left_semi").agg(F.lit(-1).cast("bigint").alias("o_orderkey"), F.count(F.lit(1)).alias("n"))
+    return io.only_new(o, done, ["o_orderkey"]).select("o_orderkey", F.lit(1).cast("bigint").alias("n")).unionByName(skipped)
 
 
 VARS = """select demo_id, t, point_id, v.variant, xu + v.o as xu from fx_tracks cross join (select 'point_traj' as variant, 0 as o union all select 'point_traj_metric', 1 union all select 'point_traj_stage', 2) v where not (v.o = 1 and demo_id % 9 = 2) and not (v.o = 2 and demo_id % 7 = 3)"""
