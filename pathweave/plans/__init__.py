@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stats", "segments", "windows", "filters", "geometry", "calibration", "names", "tables", "reports", "sampling")
+MODULES = ("stats", "segments", "windows", "filters", "geometry", "calibration", "names", "tables", "reports", "sampling", "streams")
 
 
 def load_all():

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathweave.functions.numeric import clip, hash_unit, r6, text
+from pathweave.operators import filters as flt
 from pathweave.operators import sampling as smp
+from pathweave.operators.motion import XYZ
 from pathweave.operators.sequence import prefix
 from pathweave.plans.fixtures import SIDE, Data
 from pathweave.plans.geometry import UVM, mixed_uv
@@ -85,15 +87,22 @@ def gauss(*parts, tag: str):
 
 @query("h27_noise_augmentation")
 def noise_augmentation(d: Data):
-    """Global shift per demo, bias per point, drift along frames, jitter per row, outliers, dropout to a neighbour
-    point and clipping; the output keeps every input row."""
-    tr = d.tracks().select("demo_id", "t", "point_id", "xu")
-    drift = d.steps().select("demo_id", "t").withColumn("g", gauss("demo_id", "t", tag="drift") * 2.0)
-    drift = prefix(drift, ["demo_id"], "t", {"drift": ("sum", "g")}).select("demo_id", "t", "drift")
-    x = F.col("xu") + gauss("demo_id", tag="shift") * 50 + gauss("demo_id", "point_id", tag="bias") * 20 + F.col("drift") + gauss("demo_id", "t", "point_id", tag="jit") * 5
-    x = x + F.when(hash_unit("demo_id", "point_id", text("out"), 0) < 0.02, gauss("demo_id", "point_id", tag="outv") * 5000).otherwise(0.0)
-    drop = hash_unit("demo_id", "point_id", text("drop"), 0) < 0.1
-    donor = F.when(drop, (F.col("point_id") + 1 + F.floor(hash_unit("demo_id", "point_id", text("donor"), 0) * 23).cast("bigint")) % 24).otherwise(F.col("point_id"))
-    noisy = tr.join(drift, ["demo_id", "t"]).select("demo_id", "t", "point_id", clip(x, -100000.0, 100000.0).alias("x"))
-    asked = tr.select("demo_id", "t", "point_id", donor.alias("src"))
-    return asked.join(noisy.withColumnRenamed("point_id", "src"), ["demo_id", "t", "src"]).select("demo_id", "t", "point_id", "src", r6("x").alias("x"))
+    """Global shift per demo, bias per point, drift along frames, jitter per row, outlier tracks, dropped tracks that
+    copy a kept one, clipping, and a permutation of the points (``slot``). Every input row has one output row."""
+    tr = d.tracks().select("demo_id", "t", "point_id", *XYZ)
+    steps = d.steps().select("demo_id", "t")
+    walk = steps.withColumns({f"g{a}": gauss("demo_id", "t", tag=f"drift{a}") * 2.0 for a in "xyz"})
+    walk = prefix(walk, ["demo_id"], "t", {f"w{a}": ("sum", f"g{a}") for a in "xyz"}).select("demo_id", "t", "wx", "wy", "wz")
+    out = hash_unit("demo_id", "point_id", text("outlier"), 0) < 0.02
+    cols = []
+    for a in "xyz":
+        noise = gauss("demo_id", tag=f"shift{a}") * 50 + gauss("demo_id", "point_id", tag=f"bias{a}") * 20 + F.col(f"w{a}")
+        noise = noise + gauss("demo_id", "t", "point_id", tag=f"jitter{a}") * 5 + F.when(out, gauss("demo_id", "point_id", tag=f"big{a}") * 5000).otherwise(0.0)
+        cols.append(clip(F.col(f"{a}u") + noise, -100000.0, 100000.0).alias(f"{a}u"))
+    noisy = tr.join(walk, ["demo_id", "t"]).select("demo_id", "t", "point_id", *cols)
+    # one row per track: whether it is dropped, its donor among the kept ones, its new place
+    flags = tr.filter("t = 0").select("demo_id", "point_id", (hash_unit("demo_id", "point_id", text("drop"), 0) >= 0.1).alias("kept"))
+    donors = flt.random_donor(flags, "kept")
+    place = smp.hash_ranked(flags, ["demo_id"], ["point_id"], "perm", out="slot").select("demo_id", "point_id", "slot")
+    done = flt.copy_tracks(noisy, donors).join(place, ["demo_id", "point_id"])
+    return done.select("demo_id", "t", "point_id", "slot", *[r6(f"{a}u").alias(a) for a in "xyz"])
