@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import let, quantile_sorted
-from pathweave.functions.geometry import bilinear, patch_candidates
+from pathweave.functions.arrays import quantile_sorted
+from pathweave.functions.geometry import bilinear
+from pathweave.functions.numeric import clip
 
 FRAME = ["demo_id", "t"]
 
@@ -22,25 +23,43 @@ def on_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def patch_depth(points: DataFrame, images: DataFrame, side: int, radius: int, mode: str, percentile: float = 0.2) -> DataFrame:
-    """Adds ``pick`` (z, x, y, pd) to points with pixel columns u, v: the pixel of the window whose depth is nearest to
-    the window's target, plus 1e-4 per pixel of distance; first in row order on ties.
+    """Adds pz, px, py, pd to points with pixel columns u, v: depth and place of the window's pixel whose depth is
+    nearest to the window's target, plus 1e-4 per pixel of distance (pd); first in row order on ties.
 
     Targets: patch_min, patch_median, patch_percentile. Without a valid pixel: the bilinear value at the place.
+    The window is written out as scalar columns, which compile into plain arithmetic on the image array.
     """
     u, v, img = F.col("u"), F.col("v"), F.col("z")
-    j = on_frame(points, images).withColumn("__c", patch_candidates(img, side, side, u, v, radius))
-    zs = F.sort_array(F.array_compact(F.col("__c.z")))
-    target = F.array_min(F.col("__c.z")) if mode == "patch_min" else let(
-        zs, lambda s: quantile_sorted(s, 0.5 if mode == "patch_median" else percentile))
+    n, width = (2 * radius + 1) ** 2, 2 * radius + 1
+    cx, cy = F.rint(clip(u, 0.0, side - 1.0)).cast("int"), F.rint(clip(v, 0.0, side - 1.0)).cast("int")
+    j = on_frame(points, images).withColumns({"__cx": cx, "__cy": cy})
+    places = [(F.col("__cx") + (i % width - radius), F.col("__cy") + (i // width - radius)) for i in range(n)]
+
+    def read(x: Column, y: Column) -> Column:
+        z = F.get(img, y * side + x)
+        return F.when((x >= 0) & (x < side) & (y >= 0) & (y < side) & (z > 0) & (z < float("inf")) & ~F.isnan(z), z)
+
+    j = j.withColumns({f"__z{i}": read(x, y) for i, (x, y) in enumerate(places)})
+    zs = [F.col(f"__z{i}") for i in range(n)]
+    if mode == "patch_min":
+        target = F.least(*zs)
+    else:
+        q = 0.5 if mode == "patch_median" else percentile
+        j = j.withColumn("__zs", F.sort_array(F.array_compact(F.array(*zs))))
+        target = quantile_sorted(F.col("__zs"), q)
     j = j.withColumn("__t", target)
-    scored = []
-    for i in range((2 * radius + 1) ** 2):
-        c = F.get("__c", F.lit(i))
-        scored.append(F.when(c.isNotNull(), F.struct((F.abs(c["z"] - F.col("__t")) + 1e-4 * c["pd"]).alias("score"), c["i"].alias("i"),
-                                                     c["z"].alias("z"), c["x"].alias("x"), c["y"].alias("y"), c["pd"].alias("pd"))))
-    empty = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("i"), bilinear(img, side, side, u, v).alias("z"), u.alias("x"), v.alias("y"),
-                     F.lit(0.0).alias("pd"))
-    return j.withColumn("pick", F.coalesce(F.array_min(F.array(*scored)), empty)).drop("z", "h", "w", "__c", "__t")
+    dist = [F.sqrt((x - u) * (x - u) + (y - v) * (y - v)) for x, y in places]
+    j = j.withColumns({f"__s{i}": F.abs(zs[i] - F.col("__t")) + 1e-4 * dist[i] for i in range(n)})
+    j = j.withColumn("__m", F.least(*[F.col(f"__s{i}") for i in range(n)]))
+    best = F.lit(None).cast("int")
+    for i in reversed(range(n)):
+        best = F.when(F.col(f"__s{i}") == F.col("__m"), i).otherwise(best)
+    j = j.withColumn("__i", best)
+    px, py = (F.col("__cx") + F.col("__i") % width - radius, F.col("__cy") + F.floor(F.col("__i") / width) - radius)
+    j = j.withColumns({"pz": F.coalesce(F.get(F.array(*zs), F.col("__i")), bilinear(img, side, side, u, v)),
+                       "px": F.coalesce(px.cast("double"), u), "py": F.coalesce(py.cast("double"), v)})
+    own = [c for c in j.columns if c.startswith("__")]
+    return j.withColumn("pd", F.sqrt((F.col("px") - u) * (F.col("px") - u) + (F.col("py") - v) * (F.col("py") - v))).drop("z", "h", "w", *own)
 
 
 def choose_nearest(prev: np.ndarray | None, xyz: np.ndarray, zs: np.ndarray, pd_: np.ndarray, weight: float, percentile: float) -> int:

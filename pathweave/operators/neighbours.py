@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pathweave.session import materialize
 
 FRAME_LIMIT = 4096
 CROWDED = 64
+MATRIX_CELLS = 2_000_000  # distances held at once by one task
 LEVELS = 40
 
 
@@ -61,29 +63,42 @@ def _knn_packed(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequence[s
     packed = _packed(df, keys, ident, cols)
     keys, cols = list(keys), list(cols)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            nn_d, nn_i = [], []
-            for ids, *axes in zip(b["ids"], *[b[c] for c in cols]):
-                pts = np.stack(axes, axis=1)
-                d2 = np.zeros((len(ids), len(ids)))
-                for a in range(pts.shape[1]):
-                    d2 += np.subtract.outer(pts[:, a], pts[:, a]) ** 2
-                np.fill_diagonal(d2, np.inf)
-                # ids ascend, so a stable sort breaks ties by id
-                order = np.argsort(d2, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-                nn_d.append(list(np.take_along_axis(d2, order, axis=1)))
-                nn_i.append(list(np.asarray(ids)[order]))
-            yield b[keys + ["ids"]].assign(nn_d=nn_d, nn_i=nn_i)
+    nn_arrow = pa.list_(pa.struct([("d2", pa.float64()), (ident, pa.int64())]))
 
-    id_type = df.schema[ident].dataType
-    schema = T.StructType([packed.schema[c] for c in keys + ["ids"]]
-                          + [T.StructField("nn_d", T.ArrayType(T.ArrayType(T.DoubleType()))),
-                             T.StructField("nn_i", T.ArrayType(T.ArrayType(id_type)))])
-    rows = packed.mapInPandas(kernel, schema)
-    rows = rows.select(*keys, F.inline(F.arrays_zip("ids", "nn_d", "nn_i")))
-    nn = F.zip_with("nn_d", "nn_i", lambda a, b: F.struct(a.alias("d2"), b.alias(ident)))
-    return rows.select(*keys, F.col("ids").alias(ident), nn.cast(_nn_type(df, ident)).alias("nn"))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets = b.column("ids").offsets.to_numpy()
+            ids = b.column("ids").values.to_numpy(zero_copy_only=False)
+            axes = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy(zero_copy_only=False)) for c in cols]
+            counts = np.diff(offsets)
+            for n in np.unique(counts):
+                rows = np.flatnonzero(counts == n)
+                for part in np.array_split(rows, max(1, int(len(rows) * n * n / MATRIX_CELLS))):
+                    if len(part):
+                        yield frames_of_size(b, int(n), part, offsets, ids, axes)
+
+    def frames_of_size(b, n, part, offsets, ids, axes):
+        """Neighbours of all frames with n points at once, as (frames, n, k) arrays."""
+        within = np.arange(n)
+        own = ids[offsets[part][:, None] + within]
+        d2 = np.zeros((len(part), n, n))
+        for off, values in axes:
+            p = values[off[part][:, None] + within]
+            d2 += (p[:, :, None] - p[:, None, :]) ** 2
+        d2[:, within, within] = np.inf
+        kk = min(k, n - 1)
+        order = np.argsort(d2, axis=2, kind="stable")[:, :, :kk]  # ids ascend, so ties go to the lower id
+        near = np.take_along_axis(d2, order, axis=2).reshape(-1)
+        names = own[np.arange(len(part))[:, None, None], order].reshape(-1)
+        struct = pa.StructArray.from_arrays([pa.array(near), pa.array(names.astype("int64"))], ["d2", ident])
+        nn = pa.ListArray.from_arrays(pa.array(np.arange(len(part) * n + 1, dtype="int32") * kk), struct)
+        take = pa.array(np.repeat(part, n))
+        columns = [b.column(c).take(take) for c in keys] + [pa.array(own.reshape(-1)), nn.cast(nn_arrow)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, ident, "nn"])
+
+    schema = T.StructType([packed.schema[c] for c in keys]
+                          + [T.StructField(ident, df.schema[ident].dataType), T.StructField("nn", _nn_type(df, ident))])
+    return packed.mapInArrow(kernel, schema)
 
 
 def _knn_grid(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequence[str], k: int) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact quantiles of groups without a size bound.
 
 The built-in ``percentile`` keeps every distinct value of a group in one task. For groups that may hold a
-large share of the data the value is found by rank instead: duplicates collapse, a histogram over monotone
-buckets tells which bucket holds the wanted rank, and only the rows of that bucket are ordered. A bucket is
-2^-10 wide in relative terms, so it can hold at most 2^14 distinct float32 values.
+large share of the data the value is found by rank instead. First pass: a histogram over monotone buckets
+(combined before its shuffle) tells which bucket holds the wanted rank. Second pass: only rows of those
+buckets are kept, equal values collapse, and the few that are left are ordered. A bucket is 2^-10 wide in
+relative terms, so it holds at most 2^14 distinct float32 values. The list of buckets is written out between
+the passes: its true size then decides whether it is broadcast or joined by shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pathweave.session import materialize
+
 
 def _bucket(v: Column) -> Column:
     """Non-decreasing in v, about 0.07 % wide, symmetric around zero."""
@@ -34,9 +38,8 @@ def exact_quantiles(
     clean = df.select(*keys, v.alias("__v")).filter(v.isNotNull() & ~F.isnan(v))
     if not keys:
         clean, keys = clean.withColumn("__all", F.lit(0)), ["__all"]
-    counts = clean.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__b", _bucket(F.col("__v")))
-    hist = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
+    clean = clean.withColumn("__b", _bucket(F.col("__v")))
+    hist = clean.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__bc"))
     upto = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumns({
         "__before": F.coalesce(F.sum("__bc").over(upto), F.lit(0)),
@@ -58,7 +61,10 @@ def exact_quantiles(
         lambda s: (s["rank"] >= F.col("__before")) & (s["rank"] < F.col("__before") + F.col("__bc")),
     )).filter(F.size("__w") > 0)
     inside = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
-    rows = counts.join(hits.select(*keys, "__b", "__before", "__w"), [*keys, "__b"])
+    hits = materialize(hits.select(*keys, "__b", "__before", "__w"), "quantile-buckets")
+    counts = clean.join(hits.select(*keys, "__b"), [*keys, "__b"], "left_semi").groupBy(*keys, "__b", "__v").agg(
+        F.count(F.lit(1)).alias("__c"))
+    rows = counts.join(hits, [*keys, "__b"])
     rows = rows.withColumn("__lo", F.col("__before") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
     picked = rows.select(*keys, "__v", F.explode(F.filter(
         F.col("__w"), lambda s: (s["rank"] >= F.col("__lo")) & (s["rank"] < F.col("__lo") + F.col("__c"))

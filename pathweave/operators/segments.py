@@ -59,13 +59,25 @@ def segments(df: DataFrame, state: str, debounce: int, min_len: int, lengths: Da
     training:  whole demo if there was no change, whatever its length
     inference: no minimum; the last segment is extended to t_len when the signal is shorter than the track
     """
-    if variant not in ("stage", "viewer", "training", "inference"):
-        raise ValueError(variant)
+    return choose_segments(boundaries(df, state, debounce, lengths, keys, t, size), lengths, min_len, variant, keep_last, keys)
+
+
+def boundaries(df: DataFrame, state: str, debounce: int, lengths: DataFrame, keys: Sequence[str] = DEMO, t: str = "t",
+               size: int = BLOCK) -> DataFrame:
+    """All stretches [s0, s1) between debounced changes, with is_last."""
     keys = list(keys)
     signal = df.join(lengths.select(*keys, "t_len"), keys).filter(F.col(t) < F.col("t_len"))
     b = debounced_changes(signal, state, debounce, keys, t, size).withColumnRenamed(t, "s0").drop(state)
     b = sparse_neighbour(b, keys, "s0", "__next", size=size).join(lengths.select(*keys, "t_len"), keys)
-    b = b.withColumns({"is_last": F.col("__next").isNull(), "s1": F.coalesce("__next", "t_len").cast("int")})
+    return b.select(*keys, "s0", F.coalesce("__next", "t_len").cast("int").alias("s1"), F.col("__next").isNull().alias("is_last"))
+
+
+def choose_segments(b: DataFrame, lengths: DataFrame, min_len: int, variant: str, keep_last: bool = True,
+                    keys: Sequence[str] = DEMO) -> DataFrame:
+    """The stretches a consumer uses; see ``segments`` for the variants."""
+    if variant not in ("stage", "viewer", "training", "inference"):
+        raise ValueError(variant)
+    keys = list(keys)
     only = F.col("is_last") & (F.col("s0") == 0)  # no change at all in this demo
     keep = F.lit(True) if keep_last else ~F.col("is_last") | only
     long_enough = F.col("s1") - F.col("s0") >= min_len

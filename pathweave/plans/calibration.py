@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathweave.functions.arrays import quantile
-from pathweave.functions.numeric import norm, r6
+from pathweave.functions.numeric import norm, r6, round_half_even
 from pathweave.operators import calibration as cal
 from pathweave.operators import sampling as smp
 from pathweave.operators.motion import XYZ, point_motion
@@ -186,3 +186,16 @@ def calibrate(d: Data):
     q = exact_quantiles(e, ["demo_id"], "err", {"median_err": 0.5, "p95_err": 0.95})
     return fit.join(plain, "demo_id").join(q, "demo_id").select("demo_id", "n_corr", "n_inliers", *fit_columns(),
                                                                 *[r6(c).alias(c) for c in ("train_rmse", "val_rmse", "median_err", "p95_err")])
+
+
+@query("f01_sim3_from_moments", "select demo_id, 2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22 from fx_demo")
+def sim3_from_moments(d: Data):
+    """The planted transform (scale 2, quarter turn about z) comes back in every demo, to two decimals."""
+    f = cal.fit_sim3(clean(d), ["demo_id"])
+    return f.select("demo_id", round_half_even("scale", 2).alias("scale"), *[round_half_even(F.get("rot", F.lit(i)), 2).alias(n) for i, n in ((1, "r01"), (3, "r10"), (8, "r22"))])
+
+
+@query("f02_affine_from_moments", "select demo_id, 0.0::double as a00, 2.0::double as a01, -2.0::double as a10, 2.0::double as a22 from fx_demo")
+def affine_from_moments(d: Data):
+    f = cal.fit_affine(clean(d), ["demo_id"])
+    return f.select("demo_id", *[round_half_even(F.get("a", F.lit(i)), 2).alias(n) for i, n in ((0, "a00"), (1, "a01"), (3, "a10"), (8, "a22"))])

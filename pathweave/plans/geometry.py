@@ -310,7 +310,7 @@ select demo_id, t, point_id, z::double as z, x::double as x, y::double as y, {q6
 
 def _patch(d: Data, mode: str):
     p = lifting.patch_depth(uv_px(d), d.depth_images(), SIDE, 1, mode)
-    return p.select("demo_id", "t", "point_id", F.col("pick.z").alias("z"), F.col("pick.x").alias("x"), F.col("pick.y").alias("y"), r6("pick.pd").alias("pixel_dist"))
+    return p.select("demo_id", "t", "point_id", F.col("pz").alias("z"), F.col("px").alias("x"), F.col("py").alias("y"), r6("pd").alias("pixel_dist"))
 
 
 @query("j12_patch_depth_median", _patch_sql("median(z)"))
@@ -542,3 +542,12 @@ def scene_cloud(d: Data, stride: int = 2, limit: int = 40):
     cam = geo.unproject(*[F.col(c) for c in ("fx", "fy", "cx", "cy")], F.col("x"), F.col("y"), F.col("z"))
     w = geo.transform_point(pose_col(), cam)
     return f.select("demo_id", "t", "y", "x", "source", r6(w[0]).alias("wx"), r6(w[2]).alias("wz"), r6((F.col("y") * 13 + F.col("x") * 7 + F.col("t")) % 256 / 255.0).alias("red"))
+
+
+@query("f03_mat4_inverse", f"""
+select demo_id, t, {q6(f'{C30} / 2')} as i00, {q6(f'-({C30} * tx + {S30} * ty) / 2')} as i03, {q6('-tz / 2')} as i23 from fx_camera""")
+def mat4_inverse(d: Data):
+    """General inverse of a pose scaled by two (no longer a rigid motion)."""
+    scaled = geo.mat([[geo.at(pose_col(), i, j) * (2.0 if i < 3 and j < 3 else 1.0) for j in range(4)] for i in range(4)])
+    c = geo.with_inverse(d.camera().select("demo_id", "t", scaled.alias("m")), "m", "inv")
+    return c.select("demo_id", "t", *[r6(geo.at(F.col("inv"), i, j)).alias(f"i{i}{j}") for i, j in ((0, 0), (0, 3), (2, 3))])

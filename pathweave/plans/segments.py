@@ -8,6 +8,7 @@ from pathweave.functions.numeric import r6
 from pathweave.operators import segments as seg
 from pathweave.plans.fixtures import Data
 from pathweave.plans.registry import q6, query
+from pathweave.session import materialize
 
 K = 8
 
@@ -64,8 +65,9 @@ select demo_id, 0, t_len from fx_demo where t_len >= 10 and demo_id not in (sele
 @query("w05_segments", " union all ".join(
     f"select '{k}' as variant, demo_id, s0::int as s0, s1::int as s1 from ({v})" for k, v in SEG_VARIANTS.items()))
 def segments_query(d: Data):
-    s, n = signal(d), d.demo()
-    parts = [seg.segments(s, "state", 3, 10, n, v, keep_last=v in ("stage", "inference")).select(
+    n = d.demo()
+    b = materialize(seg.boundaries(signal(d), "state", 3, n), "boundaries")  # a few rows per demo, used by four rules
+    parts = [seg.choose_segments(b, n, 10, v, keep_last=v in ("stage", "inference")).select(
         F.lit(v).alias("variant"), "demo_id", "s0", "s1") for v in SEG_VARIANTS]
     out = parts[0]
     for p in parts[1:]:
