@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pathweave.session import scratch_dir
 
 
-def file_stream(spark: SparkSession, path: str, name: str, files_per_trigger: int | None = None, bytes_per_trigger: str = "2g") -> DataFrame:
+def file_stream(spark: SparkSession, path: str, name: str, files_per_trigger: int | None = None, bytes_per_trigger: int = 2 << 30) -> DataFrame:
     """Stream over the parquet file(s) ``name`` of a directory; the schema is taken from the stored data. The size of a
     micro-batch is limited, which also limits what one key can bring into one task at a time."""
     static = spark.read.parquet(os.path.join(path, name))
