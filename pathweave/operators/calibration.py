@@ -137,14 +137,17 @@ def ransac_sim3(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], iterat
     """
     keys = list(keys)
     few = subsample(corr, keys, ids, max_corr, "ransac", seed)
-    packed = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*ids, *SRC, *DST))).alias("c"))
-    packed = packed.select(*keys, *[F.col(f"c.{c}").alias(c) for c in SRC + DST],
+    packed = few.groupBy(*keys).agg(F.collect_list(F.struct(*ids, *SRC, *DST)).alias("c"))
+    packed = packed.select(*keys, *[F.col(f"c.{c}").alias(f"id_{c}") for c in ids], *[F.col(f"c.{c}").alias(c) for c in SRC + DST],
                            F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.lit(seed))), 1, 8), 16, 10).cast("bigint").alias("rs"))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [robust_similarity(np.stack(r[:3], axis=1), np.stack(r[3:6], axis=1), iterations, threshold, int(r[6]))
-                    for r in zip(*[b[c] for c in SRC + DST + ("rs",)])]
+            rows = []
+            for seed_, *cols in zip(b["rs"], *[b[f"id_{c}"] for c in ids], *[b[c] for c in SRC + DST]):
+                order = np.lexsort(cols[len(ids) - 1::-1])  # by id, so that draws do not depend on arrival
+                xyz = np.stack(cols[len(ids):], axis=1)[order]
+                rows.append(robust_similarity(xyz[:, :3], xyz[:, 3:], iterations, threshold, int(seed_)))
             out = pd.DataFrame(rows, columns=["scale", "rot", "trans", "n_corr", "n_inliers", "inlier_median", "inlier_p95"])
             yield pd.concat([b[keys].reset_index(drop=True), out], axis=1)
 

@@ -62,10 +62,14 @@ with {STAGE_CTE}, ends as (select demo_id, s0, s1, s0 as f from sg union all sel
  o as (select demo_id, s0::int as s0, f::int as f, n, nrm, p95, reason, case when reason = '' then mx else 0 end as ox, case when reason = '' then my else 0 end as oy, case when reason = '' then mz else 0 end as oz from off)"""
 
 
-def endpoints(d: Data):
-    sg = stage_segments(d)
+def endpoints(d: Data, sg=None):
+    """Offsets at the first and last frame of every segment. Only the points of those frames are paired."""
+    sg = stage_segments(d) if sg is None else sg
     ends = sg.select("demo_id", "s0", F.explode(F.array(F.col("s0"), F.col("s1") - 1)).alias("t"))
-    c = correspondences(d).filter(F.col("vis") >= 0.5).join(ends, ["demo_id", "t"])
+    tr = materialize(d.tracks().join(ends, ["demo_id", "t"]), "segment-ends")
+    key = [*KEY, "s0"]
+    ref = d.metric(tr).join(tr.select(*key), KEY)
+    c = cal.pair(tr.filter(F.col("vis") >= 0.5), ref, key, XYZ, XYZ)
     return cal.endpoint_offset(c.withColumnRenamed("t", "f"), ["demo_id", "s0", "f"], max_offset=12000.0, max_p95=6500.0)
 
 
@@ -81,9 +85,10 @@ select t.demo_id, t.t, t.point_id, {q6('t.xu + coalesce((1 - w) * a.ox + w * b.o
 from (select t.*, s0, s1, (t.t - s0) / greatest(s1 - s0 - 1, 1) as w from fx_tracks t left join sg on sg.demo_id = t.demo_id and t.t >= s0 and t.t < s1) t
 left join o a on a.demo_id = t.demo_id and a.s0 = t.s0 and a.f = t.s0 left join o b on b.demo_id = t.demo_id and b.s0 = t.s0 and b.f = t.s1 - 1""")
 def stage_align(d: Data):
-    o = endpoints(d)
+    sg = materialize(stage_segments(d), "segments")  # a few rows per demo, used twice
+    o = endpoints(d, sg)
     first = o.groupBy("demo_id", "s0").agg(*[F.min_by(c, "f").alias(f"a_{c}") for c in ("ox", "oy", "oz")], *[F.max_by(c, "f").alias(f"b_{c}") for c in ("ox", "oy", "oz")])
-    sg = stage_segments(d).join(first, ["demo_id", "s0"])
+    sg = sg.join(first, ["demo_id", "s0"])
     # offsets per frame first (a row per frame), then every point of the frame
     fr = join_interval(d.steps().select("demo_id", "t"), sg, how="left")
     w = (F.col("t") - F.col("s0")) / F.greatest(F.col("s1") - F.col("s0") - 1, F.lit(1))
