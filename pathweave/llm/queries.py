@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import bpe, decontaminate, minhash, secrets, toxicity
+from pathweave.llm import bpe, decontaminate, minhash, secrets, substring, toxicity
 from pathweave.llm.tables import documents, table
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
@@ -39,6 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_toxicity": op3_toxicity,
+    "op4_substring": op4_substring,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op10_decontamination": op10_decontamination,
