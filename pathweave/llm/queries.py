@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import bpe, decontaminate, minhash, secrets, substring, toxicity
+from pathweave.llm import bpe, chat, decontaminate, fingerprints, licenses, minhash, secrets, substring, toxicity, urls
 from pathweave.llm.tables import documents, table
 
 
@@ -20,6 +20,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")), licenses.template_table(spark))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,17 +40,33 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.tiktoken"), bpe.PATTERN)
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).drop("lower")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_substring": op4_substring,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
+    "op7_urls": op7_urls,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_licenses": licenses.sql(), "op7_urls": urls.sql(), "op9_chat": chat.sql()}
