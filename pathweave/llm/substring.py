@@ -160,19 +160,27 @@ def repeats_in_groups(found: DataFrame, window: int) -> DataFrame:
 
 
 def repeats_of_hot(found: DataFrame, window: int) -> DataFrame:
-    """The same for groups beyond GROUP: grouped by whole windows, whose first occurrence is a combined minimum."""
+    """The same for groups beyond GROUP. Occurrences with the same words are met by their digest: all but the first repeat it
+    as a whole. Of the firsts, each window is a group of its own, with the earliest start as a combined minimum."""
+    found = written(found.select("doc", "first", "n", "words").withColumn("same", F.unhex(F.md5("words"))), "hot")
+    firsts = written(found.groupBy("same").agg(F.min(F.struct("doc", "first")).alias("e"), F.first("words").alias("words"), F.first("n").alias("n")), "firsts")
+    is_first = F.struct("doc", "first") == F.col("e")
+    later = found.select("same", "doc", "first", "n").join(firsts.select("same", "e"), "same").filter(~is_first)
+    later = later.select("doc", "first", F.expr("shiftleft(1L, int(n)) - 1").alias("bits"))
+
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, first, n, words in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for e, n, words in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 tokens = words.split()
-                rows += [(hashlib.md5(b" ".join(tokens[k : k + window]), usedforsecurity=False).digest(), doc, first + k) for k in range(n)]
+                rows += [(hashlib.md5(b" ".join(tokens[k : k + window]), usedforsecurity=False).digest(), e["doc"], e["first"] + k) for k in range(n)]
             columns = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()))], ["key", "doc", "first"])
 
-    windows = written(found.select("doc", "first", "n", "words").mapInArrow(run, "key binary, doc binary, first long"), "windows")
-    earliest = windows.groupBy("key").agg(F.min(F.struct("doc", "first")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "e")
-    return windows.join(earliest, "key").filter(F.struct("doc", "first") != F.col("e")).select("doc", "first", F.lit(1).cast("long").alias("bits"))
+    windows = written(firsts.select("e", "n", "words").mapInArrow(run, "key binary, doc binary, first long"), "windows")
+    earliest = windows.groupBy("key").agg(F.min(F.struct("doc", "first")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    earliest = earliest.select(F.concat("key", F.lit(b"")).alias("key"), "e")  # a key of its own, see remove_repeats
+    return later.union(windows.join(earliest, "key").filter(~is_first).select("doc", "first", F.lit(1).cast("long").alias("bits")))
 
 
 def covered(candidates: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
@@ -222,6 +230,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     suffixes = (known.filter(F.size("anchors") > 0).select("doc_id", "digest", "anchors").join(reps, "digest").filter(own)
                 .select(doc, F.explode("anchors").alias("anchor")))
     shared = suffixes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", (F.col("c") > group).alias("hot"))
+    # the rows per anchor may be many: with a key of its own the join has exchanges on both sides, whose hot keys Spark can split
+    shared = shared.withColumn("anchor", F.col("anchor").bitwiseXOR(F.lit(0).cast("long")))
     listed = suffixes.join(shared, "anchor").groupBy("doc").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
