@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,22 +39,52 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin",
                 "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
         spark.conf.set(key, DEFAULTS[key])
-    if shared_root(spark) is None:
-        spark.conf.set(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="pathweave-"))
-    spark.sparkContext.setCheckpointDir(shared_root(spark))
+    if named_root(spark) is None:
+        spark.conf.set(CHECKPOINT_KEY, fallback_root(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir", "")))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return spark
 
 
-def shared_root(spark: SparkSession) -> str | None:
+def named_root(spark: SparkSession) -> str | None:
     """The folder every executor can reach, as named by the cluster; None when nobody named one."""
     return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
 
 
+def fallback_root(master: str, warehouse: str) -> str:
+    """Where intermediates go when no folder is named. One machine shares its temporary folder with itself; a cluster must
+    offer a warehouse that is no local folder, else part files would stay on the executors that wrote them."""
+    if master == "local" or master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="pathweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
+    if "://" in warehouse and not warehouse.startswith("file:"):
+        return f"{warehouse.rstrip('/')}/_pathweave"
+    raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share; the warehouse {warehouse!r} is local")
+
+
+def shared_root(spark: SparkSession) -> str:
+    if named_root(spark) is None:
+        prepare(spark)
+    return named_root(spark)
+
+
+_MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder. Nothing is created and nothing is cleared here."""
-    if shared_root(spark) is None:
-        prepare(spark)
-    return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+    _MADE.append(f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once the results that read them have been read."""
+    dropped = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
