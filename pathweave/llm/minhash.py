@@ -7,9 +7,9 @@ catches the darts below its weights and below a rank chosen so that about k ln k
 is doubled. The earliest dart of each coordinate is the signature; two documents agree in a coordinate with the probability of their
 weighted Jaccard similarity. Bands of coordinates are joined, and every joined pair is checked exactly on its shingles.
 
-Equal texts are one class from the start, so copies are never paired. Within a band only pairs with the band's least member
-are formed at first; then members that share a band but no component yet are paired with each other, so that no link that
-the bands show is lost, whatever the size of a band.
+Equal texts are one class from the start, so copies are never paired. Within a band only pairs with its
+most central member are formed. Members that share a band but no component after that are joined by their rarest shingles, one of
+which similar documents must share, so that no link that the bands show is lost, whatever the size of a band.
 
 Defined results: words are runs of digits, letters and characters beyond ASCII, lower-cased in ASCII; a text of one to four words is one
 shingle; a null text, a text without words and a row without doc_id belong to no group; rows of one doc_id are one document.
@@ -167,31 +167,76 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     return pairs.join(own, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def own_key(column: str):
+    """The column under an expression of its own: a join on it gets exchanges on both sides, whose hot keys Spark can split."""
+    return F.col(column).bitwiseXOR(F.lit(0).cast("long")).alias(column)
+
+
+def numbered(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, n, element): the shingles of each text, each occurrence numbered, so that sets of them compare as the weights do."""
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch.column(1), 1 << 18):
+                made = []
+                for h, count in shingles(block, size):
+                    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    made.append(mix(np.repeat(h, count) + turn.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(made, pa.list_(pa.int64()))], ["rep", "elements"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "rep long, elements array<long>")
+    return rows.select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+
+
+def by_rare_shingles(texts: DataFrame, labels: DataFrame, size: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different labels that can be similar. Two sets of n elements, ordered from rare to common, share one of
+    their first n - threshold n + 1 if they are similar, so only those are joined: what many documents have in common comes last.
+    """
+    of = written(numbered(texts, size), "elements")
+    counts = of.groupBy("element").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").select(own_key("element"), "f")
+    # an element of its own cannot be shared: it only takes a place at the front
+    shared = of.join(counts, "element").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "element"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    places = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - alone
+    front = shared.filter(places > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), places.cast("int"))).alias("at", "e"))
+    # left: elements of the set from this one on
+    front = front.select("rep", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("e.element").alias("element"))
+    front = written(front.join(labels, "rep"), "fronts")
+    one, two = (front.select("element", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"r{x}")) for x in "ab")
+    # what two sets share lies behind the first element that they share
+    enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9
+    return one.join(two.withColumn("element", own_key("element")), "element").filter(F.expr("a < b and la <> lb") & enough).select("a", "b").distinct()
+
+
+def linked(bands: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Checked links (a, b) that join all members of each band that are similar, directly or through others.
+
+    First every member meets the most central one of its band (by the sizes of all bands it is in). Members of a band that are
+    then in different components are compared by their rare shingles.
+    """
+    leader = bands.groupBy("band").agg(F.max_by("rep", F.struct("weight", "rep")).alias("a")).select(own_key("band"), "a")
+    pairs = bands.join(leader, "band").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    edges = written(checked(pairs, texts, size, threshold), "links")
+    known = bands.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    split = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(own_key("band"))
+    apart = written(known.join(split, "band").select("rep", "label").distinct(), "apart")
+    rest = texts.join(apart.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    more = written(by_rare_shingles(rest, apart, size, threshold), "rare")
+    return edges.union(checked(more, texts, size, threshold))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_class (least doc_id with that text), class_id (least doc_id of the group)."""
     docs = documents(docs)
     own = written(signed(docs, size, bands, rows), "signatures")
     classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "texts")
-    members = own.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
-    members = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    in_bands = classes.select("rep", F.explode("keys").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
-    buckets = written(in_bands.join(shared, "band"), "buckets")
-    pairs = buckets.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "candidates")
-    edges = written(checked(pairs, texts, size, threshold).distinct(), "links")
-    labels = components(edges)
-    # members of one band that are still apart
-    known = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    apart = known.join(split, "band").select("band", "rep", "label", "leader")
-    left = apart.select("band", F.col("rep").alias("a"), F.col("label").alias("la"), "leader").filter("a <> leader").drop("leader")
-    right = apart.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "band").filter("a < b and la <> lb").select("a", "b").distinct()
-    more = checked(written(rest, "rest"), texts, size, threshold)
-    edges = edges.union(more)
-    labels = components(edges)
+    members = own.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    in_bands = classes.select("rep", F.explode("keys").alias("band")).distinct()
+    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(in_bands.join(shared.select(own_key("band"), "n"), "band"), "shared")
+    weights = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    buckets = written(shared.join(weights, "rep").select("band", "rep", "weight"), "bands")
+    texts = written(docs.join(weights.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    labels = components(linked(buckets, texts, size, threshold))
     groups = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("rep").alias("text_class"), F.coalesce("label", "rep").alias("class_id"))
     return docs.select("doc_id").join(groups, "doc_id", "left").select(
