@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathweave.functions.geometry import apply_sim3, at
-from pathweave.functions.numeric import all_finite, norm
+from pathweave.functions.numeric import all_finite, hash_u32, norm, text
 from pathweave.operators.quantile import exact_quantiles
 from pathweave.operators.sampling import subsample
 from pathweave.session import materialize
@@ -127,87 +127,126 @@ def trimmed_fit(corr: DataFrame, keys: Sequence[str], percentile: float = 0.95,
     return fit if frozen is None else fit.unionByName(frozen)
 
 
-def ransac_sim3(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], iterations: int, threshold: float,
-                max_corr: int, seed: int = 0) -> DataFrame:
-    """Robust similarity per group from at most ``max_corr`` correspondences (a parameter of the method).
+#: Correspondences that are scored against all hypotheses of their group at once.
+BLOCK = 2048
 
-    The sample of a group is bounded, so it travels as one packed row; all hypotheses of the group are fitted and
-    scored as matrices inside the task. Best = most inliers, then the smallest median inlier error, then the first
-    hypothesis; refit on its inliers twice. Adds n_corr, n_inliers, inlier_median, inlier_p95.
+
+def draw_positions(pool: int, iterations: int, seed: int) -> np.ndarray:
+    """Four different positions (all, of a smaller pool) below ``pool`` per hypothesis: a hashed start and a hashed step."""
+    k = min(4, pool)
+    h = np.arange(2 * iterations, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    start = (h[:iterations] % np.uint64(pool)).astype(np.int64)
+    step = 1 + (h[iterations:] % np.uint64(max(1, (pool - 1) // max(1, k - 1)))).astype(np.int64)
+    return (start[:, None] + step[:, None] * np.arange(k)) % pool
+
+
+def hypotheses(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], iterations: int, seed: int = 0) -> DataFrame:
+    """``iterations`` fits per group, each to four correspondences, as arrays (scale, rot and trans one after another).
+
+    Draws come from the group's 4 x iterations rows of lowest hash, so a group's row stays short whatever its size.
     """
     keys = list(keys)
-    few = subsample(corr, keys, ids, max_corr, "ransac", seed)
-    packed = few.groupBy(*keys).agg(F.collect_list(F.struct(*ids, *SRC, *DST)).alias("c"))
-    packed = packed.select(*keys, *[F.col(f"c.{c}").alias(f"id_{c}") for c in ids], *[F.col(f"c.{c}").alias(c) for c in SRC + DST],
-                           F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.lit(seed))), 1, 8), 16, 10).cast("bigint").alias("rs"))
+    pool = subsample(corr.withColumn("__o", hash_u32(*keys, *ids, text("order"), seed)), keys, ids, 4 * iterations, "ransac", seed)
+    packed = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__o", *ids, *SRC, *DST))).alias("c"))
+    packed = packed.filter(F.size("c") >= 3).select(*keys, *[F.col(f"c.{c}").alias(c) for c in SRC + DST])
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for seed_, *cols in zip(b["rs"], *[b[f"id_{c}"] for c in ids], *[b[c] for c in SRC + DST]):
-                order = np.lexsort(cols[len(ids) - 1::-1])  # by id, so that draws do not depend on arrival
-                xyz = np.stack(cols[len(ids):], axis=1)[order]
-                rows.append(robust_similarity(xyz[:, :3], xyz[:, 3:], iterations, threshold, int(seed_)))
-            out = pd.DataFrame(rows, columns=["scale", "rot", "trans", "n_corr", "n_inliers", "inlier_median", "inlier_p95"])
-            yield pd.concat([b[keys].reset_index(drop=True), out], axis=1)
-
-    extra = "n_corr bigint, n_inliers bigint, inlier_median double, inlier_p95 double"
-    schema = T.StructType([packed.schema[k] for k in keys] + list(T._parse_datatype_string(f"{FIT}, {extra}").fields))
+            out = []
+            for cols in zip(*[b[c] for c in SRC + DST]):
+                xyz = np.stack(cols, axis=1)
+                at_ = draw_positions(len(xyz), iterations, seed)
+                x, y = xyz[at_][:, :, :3], xyz[at_][:, :, 3:]
+                cx, cy = x.mean(axis=1), y.mean(axis=1)  # centred, against cancellation
+                x, y = x - cx[:, None], y - cy[:, None]
+                zero = np.zeros((iterations, 3))
+                scale, rot, _ = sim3_batch(np.full(iterations, float(x.shape[1])), zero, zero, (x**2).sum(axis=(1, 2)), np.einsum("hki,hkj->hij", y, x))
+                out.append((scale, rot.ravel(), (cy - scale[:, None] * np.einsum("hij,hj->hi", rot, cx)).ravel()))
+            yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(out, columns=["hs", "hr", "ht"])], axis=1)
+
+    schema = T.StructType([packed.schema[k] for k in keys] + list(T._parse_datatype_string("hs array<double>, hr array<double>, ht array<double>").fields))
     return packed.mapInPandas(kernel, schema)
 
 
-def _moments_of(x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """Moments of weighted subsets: w is (hypotheses, n)."""
-    return (w.sum(axis=1), w @ x, w @ y, w @ (x**2).sum(axis=1), np.einsum("hn,ni,nj->hij", w, y, x, optimize=True))
-
-
-def robust_similarity(x: np.ndarray, y: np.ndarray, iterations: int, threshold: float, seed: int):
-    """One group's robust fit; see ransac_sim3."""
-    n = len(x)
-    nothing = (None, [np.nan] * 9, [np.nan] * 3, n, 0, None, None)
-    if n < 3:
-        return nothing
-    centre = x.mean(axis=0), y.mean(axis=0)  # keeps the moments small against cancellation
-    xc, yc = x - centre[0], y - centre[1]
-
-    def errors(fit, chunk=None):
-        s, r, t = fit
-        pred = s[:, None, None] * np.einsum("ni,hji->hnj", xc, r) + t[:, None, :]
-        return np.sqrt(((pred - yc[None]) ** 2).sum(axis=2))
-
-    draws = np.random.default_rng(seed).random((iterations, n)) if n <= 64 else None
-    rng = np.random.default_rng(seed)
-    picks = (np.argsort(draws, axis=1)[:, : min(4, n)] if draws is not None
-             else np.array([rng.choice(n, size=4, replace=False) for _ in range(iterations)]))
-    xs, ys = xc[picks], yc[picks]
-    k = float(picks.shape[1])
-    fits = sim3_batch(np.full(iterations, k), xs.sum(axis=1), ys.sum(axis=1), (xs**2).sum(axis=(1, 2)),
-                      np.einsum("hki,hkj->hij", ys, xs))
-    best, best_in = (-1, np.inf), np.zeros(n, bool)
-    for h0 in range(0, iterations, 32):  # bounded memory: 32 hypotheses by n correspondences
-        part = tuple(f[h0:h0 + 32] for f in fits)
-        err = errors(part)
-        inl = err <= threshold
-        for h in range(len(err)):
-            count = int(inl[h].sum())
-            if np.isnan(part[0][h]) or count < best[0] or count == 0 and best[0] >= 0:
-                continue
-            med = float(np.median(err[h][inl[h]])) if count else np.inf
-            if count > best[0] or med < best[1]:
-                best, best_in = (count, med), inl[h]
-    use = best_in if best_in.sum() >= 3 else np.ones(n, bool)
-    for final in (False, True):
-        fit = sim3_batch(*_moments_of(xc, yc, use[None].astype(float)))
-        if np.isnan(fit[0][0]):
-            return nothing
-        err = errors(fit)[0]
-        inl = err <= threshold
-        if final or best_in.sum() < 3 or inl.sum() < 3:
-            break
-        use = inl
-    scale, rot, trans = float(fit[0][0]), fit[1][0], fit[2][0] + centre[1] - fit[0][0] * (fit[1][0] @ centre[0])
-    e = err[inl] if inl.any() else err
-    return (scale, rot.reshape(-1), trans, n, int(inl.sum()), float(np.median(e)), float(np.percentile(e, 95)))
+def score(corr: DataFrame, hyps: DataFrame, keys: Sequence[str], ids: Sequence[str], threshold: float) -> DataFrame:
+    """(keys, h, n_in, same): inliers of each hypothesis among all correspondences, and a digest of which they are.
+
+    Correspondences travel in blocks of about BLOCK; a block meets its group's hypotheses once and sends back one count per
+    hypothesis, which are added up with partial sums.
+    """
+    keys = list(keys)
+    sizes = corr.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("__k"))
+    mark = F.xxhash64(*ids)
+    blocks = corr.join(sizes, keys).groupBy(*keys, F.pmod(mark, F.col("__k")).alias("__blk")).agg(
+        F.collect_list(F.struct(mark.alias("m"), *SRC, *DST)).alias("c"))
+    rows = blocks.join(hyps, keys).select(*keys, *[F.col(f"c.{c}").alias(c) for c in ("m", *SRC, *DST)], "hs", "hr", "ht")
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(len(b)):
+                r = b.iloc[i]
+                x, y = (np.stack([r[c] for c in cols], axis=1) for cols in (SRC, DST))
+                s, rot, trans = r["hs"], r["hr"].reshape(-1, 3, 3), r["ht"].reshape(-1, 3)
+                n_in, same = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+                for h in range(0, len(s), 64):  # bounded memory: 64 hypotheses by a block
+                    part = slice(h, h + 64)
+                    pred = s[part, None, None] * np.einsum("ni,hji->hnj", x, rot[part]) + trans[part, None, :]
+                    inside = ((pred - y[None]) ** 2).sum(axis=2) <= threshold**2
+                    n_in[part] = inside.sum(axis=1)
+                    same[part] = np.bitwise_xor.reduce(np.where(inside, r["m"], 0), axis=1)
+                yield pd.DataFrame({**{k: [r[k]] * len(s) for k in keys}, "h": np.arange(len(s)), "n_in": n_in, "same": same})[np.isfinite(s)]
+
+    schema = T.StructType([rows.schema[k] for k in keys] + list(T._parse_datatype_string("h int, n_in bigint, same bigint").fields))
+    return rows.mapInPandas(kernel, schema).groupBy(*keys, "h").agg(F.sum("n_in").alias("n_in"), F.bit_xor("same").alias("same"))
+
+
+def leaders(corr: DataFrame, hyps: DataFrame, keys: Sequence[str], ids: Sequence[str], threshold: float) -> DataFrame:
+    """One hypothesis per group as a fit, with n_in: most inliers, then the smallest median inlier error, then the first.
+
+    Of hypotheses with the very same inliers the first stands for all, as the refits depend on the inliers only.
+    """
+    keys = list(keys)
+    counts = materialize(score(corr, hyps, keys, ids, threshold), "scores")
+    most = counts.groupBy(*keys).agg(F.max("n_in").alias("n_in"))
+    top = materialize(counts.join(most, [*keys, "n_in"]).groupBy(*keys, "n_in", "same").agg(F.min("h").alias("h")), "leaders")
+    i = F.col("h")
+    fits = materialize(top.join(hyps, keys).select(*keys, "h", "n_in", F.get("hs", i).alias("scale"), F.slice("hr", i * 9 + 1, F.lit(9)).alias("rot"),
+                                                  F.slice("ht", i * 3 + 1, F.lit(3)).alias("trans")), "leader-fits")
+    tied = fits.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select(*keys)
+    errors = corr.join(fits.join(tied, keys, "left_semi"), keys).withColumn("err", residual()).filter(F.col("err") <= threshold)
+    medians = exact_quantiles(errors, [*keys, "h"], "err", {"med": 0.5})
+    best = fits.join(medians, [*keys, "h"], "left").groupBy(*keys).agg(F.min_by(F.struct("n_in", "scale", "rot", "trans"), F.struct(F.coalesce("med", F.lit(float("inf"))), "h")).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def ransac_sim3(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], iterations: int, threshold: float, seed: int = 0) -> DataFrame:
+    """Robust similarity per group over all its correspondences, whatever their number.
+
+    Hypotheses are drawn by hash, scored on every correspondence in blocks, and the best is refitted twice on its inliers with
+    additive moments. With fewer than three inliers the fit is to all rows. Adds n_corr, n_inliers, inlier_median, inlier_p95;
+    groups of fewer than three or degenerate correspondences have a NULL scale.
+    """
+    keys = list(keys)
+    corr = materialize(corr.select(*keys, *[i for i in ids if i not in keys], *SRC, *DST), "correspondences")
+    hyps = materialize(hypotheses(corr, keys, ids, iterations, seed), "hypotheses")
+    best = leaders(corr, hyps, keys, ids, threshold)
+    chosen = corr.join(best, keys).withColumn("err", residual()).filter((F.col("n_in") < 3) | (F.col("err") <= threshold))
+    enough = F.col("n_in") >= 3
+    fit = materialize(fit_sim3(chosen.drop("scale", "rot", "trans", "err"), [*keys, "n_in"]).drop("n"), "refit")
+    again = with_residual(corr, fit.filter(enough), keys).filter(F.col("err") <= threshold).drop("scale", "rot", "trans", "err")
+    second = materialize(fit_sim3(again, keys).filter("n >= 3").select(*keys, F.struct("scale", "rot", "trans").alias("s")), "refit")
+    fit = fit.join(second, keys, "left").select(*keys, *[F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in ("scale", "rot", "trans")])
+    fit = materialize(fit, "fit")
+    errors = with_residual(corr, fit.filter("scale is not null"), keys)
+    inside = errors.groupBy(*keys).agg(F.count_if(F.col("err") <= threshold).alias("n_inliers"))
+    judged = errors.join(inside, keys).filter((F.col("n_inliers") == 0) | (F.col("err") <= threshold))
+    stats = exact_quantiles(judged, keys, "err", {"inlier_median": 0.5, "inlier_p95": 0.95})
+    sizes = corr.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_corr"))
+    return sizes.join(fit, keys, "left").join(inside, keys, "left").join(stats, keys, "left").select(
+        *keys, "scale", "rot", "trans", "n_corr", F.coalesce("n_inliers", F.lit(0)).alias("n_inliers"), "inlier_median", "inlier_p95")
 
 
 def stage_reason(min_corr: int, min_inliers: int, min_ratio: float, scale_range: tuple[float, float], max_p95: float) -> Column:
@@ -264,5 +303,5 @@ def gate(corr: DataFrame, track_ok: DataFrame, stride: int, vis: str = "vis", mi
     return corr.filter(ok).join(track_ok.select("demo_id", "point_id"), ["demo_id", "point_id"], "left_semi")
 
 
-__all__ = ["at", "endpoint_offset", "fit_affine", "fit_sim3", "gate", "moments", "moved", "pair", "ransac_sim3", "residual",
-           "robust_similarity", "sim3_batch", "stage_reason", "trimmed_fit", "with_residual"]
+__all__ = ["at", "endpoint_offset", "fit_affine", "fit_sim3", "gate", "moments", "moved", "hypotheses", "leaders", "pair", "ransac_sim3", "residual", "score",
+           "sim3_batch", "stage_reason", "trimmed_fit", "with_residual"]

@@ -63,8 +63,8 @@ def patch_depth(points: DataFrame, images: DataFrame, side: int, radius: int, mo
 
 
 def choose_nearest(prev: np.ndarray | None, xyz: np.ndarray, zs: np.ndarray, pd_: np.ndarray, weight: float, percentile: float) -> int:
-    """Candidate nearest to the point chosen before; without one, nearest to the window's depth percentile."""
-    if prev is None:
+    """Candidate nearest to the point chosen before; without a finite one, nearest to the window's depth percentile."""
+    if prev is None or not np.isfinite(prev).all():
         return int(np.argmin(np.abs(zs - np.percentile(zs, percentile * 100)) + 1e-4 * pd_))
     return int(np.argmin(np.sqrt(((xyz - prev) ** 2).sum(axis=1)) + weight * pd_))
 
@@ -74,20 +74,23 @@ def temporal_patch(cands: DataFrame, weight: float, percentile: float) -> DataFr
     cx, cy, cz, z, pd of candidate positions).
 
     Tracks are hash-partitioned and sorted by frame inside the partition; each task walks its rows once and keeps one
-    position per track, so memory does not grow with the length of a track.
+    position per track, so memory does not grow with the length of a track. A window without candidates (a hole in the
+    depth) takes the position bx, by, bz where these columns exist, else it has none.
     """
     cols = ["demo_id", "point_id", "t", "cx", "cy", "cz", "z", "pd"]
+    cands = cands.withColumns({b: F.lit(float("nan")) for b in ("bx", "by", "bz") if b not in cands.columns})
+    cols += ["bx", "by", "bz"]
     ordered = cands.select(*cols).repartition("demo_id", "point_id").sortWithinPartitions("demo_id", "point_id", "t")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, prev = None, None
         for b in batches:
             picked = []
-            for demo, point, _, cx, cy, cz, z, dist in b.itertuples(index=False, name=None):
+            for demo, point, _, cx, cy, cz, z, dist, *fallback in b.itertuples(index=False, name=None):
                 if (demo, point) != key:
                     key, prev = (demo, point), None
                 xyz = np.stack([cx, cy, cz], axis=1)
-                prev = xyz[choose_nearest(prev, xyz, z, dist, weight, percentile)]
+                prev = xyz[choose_nearest(prev, xyz, z, dist, weight, percentile)] if len(xyz) else np.array(fallback, float)
                 picked.append(prev)
             out = np.array(picked).reshape(-1, 3)
             yield b[["demo_id", "point_id", "t"]].assign(x=out[:, 0], y=out[:, 1], z=out[:, 2])

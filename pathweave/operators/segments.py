@@ -141,14 +141,11 @@ def resample_indices(start: Column, end: Column, num: int, gamma_s: float = 1.2,
     )
 
 
-def anchors(segs: DataFrame, stride: int, min_len: int, cap: int | None = None, inclusive: bool = False) -> DataFrame:
+def anchors(segs: DataFrame, stride: int, min_len: int, inclusive: bool = False) -> DataFrame:
     """Start frames s0, s0+stride, ... before the last frame of a segment (up to it when ``inclusive``)."""
     ok = segs.filter(F.col("s1") - F.col("s0") >= max(min_len, 1 if inclusive else 2))
     last = F.col("s1") - (1 if inclusive else 2)
-    starts = F.sequence(F.col("s0"), last, F.lit(stride))
-    if cap is not None:
-        starts = F.slice(starts, 1, cap)
-    return ok.withColumn("s", F.explode(starts))
+    return ok.withColumn("s", F.explode(F.sequence(F.col("s0"), last, F.lit(stride))))
 
 
 def carry_forward(df: DataFrame, value: str, out: str, keys: Sequence[str] = DEMO, t: str = "t", size: int = BLOCK) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import quantile
-from pathweave.functions.numeric import norm, r6, round_half_even
+from pathweave.functions.numeric import all_finite, norm, r6, round_half_even
 from pathweave.operators import calibration as cal
 from pathweave.operators import sampling as smp
 from pathweave.operators.motion import XYZ, point_motion
@@ -41,7 +40,6 @@ def pair_variants(d: Data):
 @query("p04_finite_rows", """
 select demo_id, t, point_id from fx_tracks where (demo_id + t * 3 + point_id * 5) % 17 <> 0 and (demo_id * 5 + t + point_id * 7) % 23 <> 0""")
 def finite_rows(d: Data):
-    from pathweave.functions.numeric import all_finite
     tr = d.tracks().withColumn("a", F.when((F.col("demo_id") + F.col("t") * 3 + F.col("point_id") * 5) % 17 == 0, F.lit(float("nan"))).otherwise(F.col("xu")))
     tr = tr.withColumn("b", F.when((F.col("demo_id") * 5 + F.col("t") + F.col("point_id") * 7) % 23 == 0, F.lit(float("inf"))).otherwise(F.col("yu")))
     return tr.filter(all_finite(["a", "b", "zu"])).select(*KEY)
@@ -115,20 +113,31 @@ def flow_align(d: Data):
                     r6(F.col("sx") + (1 - a) * F.col("o0") + a * F.col("o1")).alias("lerp_x"), r6(F.col("sx") + F.col("ox")).alias("frame_x"))
 
 
+PLANTED = "2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22"
+GROSS = "(demo_id * 101 + t * 31 + point_id * 17) % 50 = 0"
+
+
+def planted_columns():
+    """Scale and rotation to two decimals, which the planted transform fixes."""
+    return [round_half_even("scale", 2).alias("scale"), *[round_half_even(F.get("rot", F.lit(i)), 2).alias(n) for i, n in ((1, "r01"), (3, "r10"), (8, "r22"))]]
+
+
 def fit_columns():
     return [r6("scale").alias("scale"), *[r6(F.get("trans", F.lit(i))).alias(f"t{a}") for i, a in enumerate("xyz")],
             *[r6(F.get("rot", F.lit(i))).alias(f"r{i // 3}{i % 3}") for i in (0, 1, 3, 8)]]
 
 
-@query("a26_fit_sim3")
+@query("a26_fit_sim3", f"select demo_id, count(*) as n, {PLANTED} from fx_tracks where not ({GROSS}) group by demo_id")
 def fit_sim3(d: Data):
-    return cal.fit_sim3(clean(d), ["demo_id"]).select("demo_id", F.col("n").cast("bigint").alias("n"), *fit_columns())
+    return cal.fit_sim3(clean(d), ["demo_id"]).select("demo_id", F.col("n").cast("bigint").alias("n"), *planted_columns())
 
 
-@query("a27_fit_affine")
+@query("a27_fit_affine", f"""
+select demo_id, count(*) as n, 0.0::double as a0, 2.0::double as a1, 0.0::double as a2, -2.0::double as a3, 0.0::double as a4, 0.0::double as a5, 0.0::double as a6, 0.0::double as a7, 2.0::double as a8
+from fx_tracks where not ({GROSS}) group by demo_id""")
 def fit_affine(d: Data):
     f = cal.fit_affine(clean(d), ["demo_id"])
-    return f.select("demo_id", F.col("n").cast("bigint").alias("n"), *[r6(F.get("a", F.lit(i))).alias(f"a{i}") for i in range(9)], *[r6(F.get("b", F.lit(i))).alias(f"b{i}") for i in range(3)])
+    return f.select("demo_id", F.col("n").cast("bigint").alias("n"), *[round_half_even(F.get("a", F.lit(i)), 2).alias(f"a{i}") for i in range(9)])
 
 
 @query("a28_robust_trim_fit")
@@ -138,10 +147,12 @@ def robust_trim_fit(d: Data):
     return f.select("demo_id", F.col("n").cast("bigint").alias("n"), *fit_columns())
 
 
-@query("a29_ransac_sim3")
+@query("a29_ransac_sim3", f"""
+select demo_id, count(*) as n_corr, count(*) filter (where not ({GROSS})) as n_inliers, {PLANTED} from fx_tracks group by demo_id""")
 def ransac(d: Data):
-    f = cal.ransac_sim3(correspondences(d, vis=False), ["demo_id"], ["t", "point_id"], iterations=64, threshold=50.0, max_corr=20000)
-    return f.select("demo_id", "n_corr", "n_inliers", *fit_columns(), r6("inlier_p95").alias("inlier_p95"))
+    """512 hypotheses per demo over all its correspondences; the gross errors fall out, the others stay."""
+    f = cal.ransac_sim3(correspondences(d, vis=False), ["demo_id"], ["t", "point_id"], iterations=512, threshold=50.0)
+    return f.select("demo_id", "n_corr", "n_inliers", *planted_columns())
 
 
 @query("j20_score_hypotheses")
@@ -163,29 +174,38 @@ def score_hypotheses(d: Data):
 @query("a31_stage_transform")
 def stage_transform(d: Data):
     c = join_interval(correspondences(d).filter(F.col("vis") >= 0.5), stage_segments(d))
-    f = cal.ransac_sim3(c, ["demo_id", "s0", "s1"], ["t", "point_id"], iterations=32, threshold=50.0, max_corr=5000)
+    f = cal.ransac_sim3(c, ["demo_id", "s0", "s1"], ["t", "point_id"], iterations=256, threshold=50.0)
     f = f.withColumn("reason", cal.stage_reason(24, 12, 0.35, (0.1, 10.0), 60.0))
     return f.select("demo_id", "s0", "s1", "n_corr", "n_inliers", *fit_columns(), r6("inlier_p95").alias("inlier_p95"), "reason")
 
 
-@query("a30_calibrate")
-def calibrate(d: Data):
-    """Gates, bounded sample, split, robust fit on the training part, errors on train and validation, per demo."""
+def calibration_pairs(d: Data):
+    """Correspondences of every frame that pass the gates, with their split: steady tracks, near the first frame's centre."""
     tr = d.tracks()
     metric = d.metric(tr)
     steady = point_motion(metric, 0.0).filter(F.col("max_step") <= 90000.0).select("demo_id", "point_id")
-    first = metric.filter("t = 0").groupBy("demo_id").agg(F.collect_list(F.struct("point_id", *XYZ)).alias("p"))
-    from pathweave.functions.arrays import let
-    centre = F.struct(*[quantile(F.col(f"p.{c}").cast("array<double>"), 0.5).alias(c) for c in XYZ])
-    radius = let(centre, lambda m: F.transform("p", lambda s: norm(*[s[c] - m[c] for c in XYZ])))
-    near = first.withColumn("r", radius).withColumn("cut", quantile(F.col("r"), 0.98))
-    near = near.select("demo_id", "cut", F.inline(F.arrays_zip(F.col("p.point_id").alias("point_id"), F.col("r").alias("r")))).filter("r <= cut")
+    first = metric.filter("t = 0")
+    # medians per axis, then the distance quantile, all by rank: a first frame may hold any number of points
+    for axis, c in zip("abc", XYZ):
+        first = first.join(exact_quantiles(first, ["demo_id"], c, {axis: 0.5}), "demo_id")
+    first = first.withColumn("r", norm(*[F.col(c) - F.col(m) for m, c in zip("abc", XYZ)]))
+    sizes = first.groupBy("demo_id").agg(F.count_if(all_finite(XYZ)).alias("n"))
+    near = first.join(exact_quantiles(first, ["demo_id"], "r", {"cut": 0.98}), "demo_id").join(sizes, "demo_id")
+    near = near.filter((F.col("n") < 4) | (F.col("r") <= F.col("cut")))  # too few points to tell a radius: all pass
     ok = steady.join(near.select("demo_id", "point_id"), ["demo_id", "point_id"])
-    corr = cal.gate(correspondences(d), ok, stride=2)
-    sample = materialize(smp.subsample(corr, ["demo_id"], ["t", "point_id"], 20000, "corr"), "sample")
-    split = materialize(smp.train_val_split(sample, ["demo_id"], ["t", "point_id"], 0.2, "calibration"), "split")
-    fit = cal.ransac_sim3(split.filter("split <> 'val'"), ["demo_id"], ["t", "point_id"], iterations=64, threshold=50.0, max_corr=20000)
-    fit = materialize(fit, "fit")
+    corr = materialize(cal.gate(correspondences(d), ok, stride=1), "corr")
+    return materialize(smp.train_val_split(corr, ["demo_id"], ["t", "point_id"], 0.2, "calibration"), "split")
+
+
+def calibration_fit(split):
+    return materialize(cal.ransac_sim3(split.filter("split <> 'val'"), ["demo_id"], ["t", "point_id"], iterations=512, threshold=50.0), "fit")
+
+
+@query("a30_calibrate")
+def calibrate(d: Data):
+    """Gates, split, robust fit on the training part, errors on train and validation, per demo."""
+    split = calibration_pairs(d)
+    fit = calibration_fit(split)
     e = cal.with_residual(split, fit.filter("scale is not null"), ["demo_id"])
     plain = e.groupBy("demo_id").agg(*[F.sqrt(F.avg(F.when(F.col("split").isin(s, "both"), F.col("err") * F.col("err")))).alias(f"{s}_rmse") for s in ("train", "val")])
     q = exact_quantiles(e, ["demo_id"], "err", {"median_err": 0.5, "p95_err": 0.95})
@@ -193,6 +213,21 @@ def calibrate(d: Data):
                                                                 *[r6(c).alias(c) for c in ("train_rmse", "val_rmse", "median_err", "p95_err")])
 
 
+@query("a30_apply_calibration", """
+select demo_id, t, point_id, true as calibrated, true as as_planted from fx_tracks""")
+def apply_calibration(d: Data):
+    """The calibrated variant: every track point moved by its demo's fit; demos without a fit keep their coordinates.
+
+    Beside it, whether the point lies where the planted transform puts it, to within the planted noise and a hundredth of its distance.
+    """
+    fit = calibration_fit(calibration_pairs(d)).select("demo_id", "scale", "rot", "trans")
+    tr = d.tracks().select(*KEY, *[F.col(c).cast("double").alias(s) for c, s in zip(XYZ, cal.SRC)]).join(fit, "demo_id", "left")
+    has = F.col("scale").isNotNull()
+    out = tr.select(*KEY, *cal.SRC, has.alias("calibrated"), *[F.when(has, m).otherwise(F.col(c)).alias(a) for m, c, a in zip(cal.moved(), cal.SRC, "xyz")])
+    want = (-2 * F.col("sy") + 1000, 2 * F.col("sx") - 500, 2 * F.col("sz") + 250)
+    return out.select(*KEY, "calibrated", (norm(*[F.col(a) - w for a, w in zip("xyz", want)]) <= 6.0 + 0.01 * norm(*cal.SRC)).alias("as_planted"))
+
+
 @query("f01_sim3_from_moments", "select demo_id, 2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22 from fx_demo")
 def sim3_from_moments(d: Data):
     """The planted transform (scale 2, quarter turn about z) comes back in every demo, to two decimals."""

@@ -209,16 +209,17 @@ def rotate180(d: Data):
 
 @query("h12_depth_units", f"""
 with s as (select demo_id, t, y, x, z / case when demo_id % 2 = 0 then 1.0 else 1000.0 end as z from fx_depth),
- m as (select demo_id, t, median(z) filter (z > 0) as med, sum(z) as total from s group by 1, 2)
+ d as (select demo_id, median(z) filter (z > 0) as med from s group by 1),
+ m as (select demo_id, t, any_value(med) as med, sum(z) as total from s join d using (demo_id) group by 1, 2)
 select demo_id, t, med > 20 as was_mm, {q6('total / case when med > 20 then 1000.0 else 1.0 end')} as total_m from m""")
 def depth_units(d: Data):
+    """One unit per demo: millimetres where the median of all its positive depths is above 20."""
     scale = F.when(F.col("demo_id") % 2 == 0, 1.0).otherwise(1000.0)
-    def in_metres(z):
-        mm = quantile(F.filter(z, lambda v: v > 0), 0.5) > 20
-        return let(mm, lambda m: F.struct(m.alias("was_mm"), F.transform(z, lambda v: F.when(m, v / 1000.0).otherwise(v)).alias("z")))
-
-    img = d.depth_images().select("demo_id", "t", let(F.transform("z", lambda v: v / scale), in_metres).alias("s"))
-    return img.select("demo_id", "t", "s.was_mm", r6(F.aggregate("s.z", F.lit(0.0), lambda a, v: a + v)).alias("total_m"))
+    img = d.depth_images().select("demo_id", "t", F.transform("z", lambda v: v / scale).alias("z"))
+    seen = img.select("demo_id", F.explode(F.filter("z", lambda v: v > 0)).alias("v"))
+    unit = exact_quantiles(seen, ["demo_id"], "v", {"med": 0.5}).select("demo_id", (F.col("med") > 20).alias("was_mm"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + v)
+    return img.join(unit, "demo_id").select("demo_id", "t", "was_mm", r6(total / F.when(F.col("was_mm"), 1000.0).otherwise(1.0)).alias("total_m"))
 
 
 @query("h13_safe_numbers", f"""
@@ -290,10 +291,11 @@ def uv_px(d: Data):
 
 @query("j11_bilinear_depth", f"""
 with p as (select demo_id, t, point_id, least(greatest(u100 / 100.0, 0), 15) as x, least(greatest(v100 / 100.0, 0), 15) as y from fx_uv),
- c as (select *, floor(x)::int as x0, floor(y)::int as y0, least(floor(x) + 1, 15)::int as x1, least(floor(y) + 1, 15)::int as y1, x - floor(x) as ax, y - floor(y) as ay from p)
-select c.demo_id, c.t, point_id, {q6('(1 - ax) * (1 - ay) * a.z + (1 - ax) * ay * b.z + ax * (1 - ay) * cc.z + ax * ay * dd.z')} as z
-from c join fx_depth a on a.demo_id = c.demo_id and a.t = c.t and a.y = y0 and a.x = x0 join fx_depth b on b.demo_id = c.demo_id and b.t = c.t and b.y = y1 and b.x = x0
-join fx_depth cc on cc.demo_id = c.demo_id and cc.t = c.t and cc.y = y0 and cc.x = x1 join fx_depth dd on dd.demo_id = c.demo_id and dd.t = c.t and dd.y = y1 and dd.x = x1""")
+ c as (select *, floor(x)::int as x0, floor(y)::int as y0, least(floor(x) + 1, 15)::int as x1, least(floor(y) + 1, 15)::int as y1, x - floor(x) as ax, y - floor(y) as ay from p),
+ k as (select demo_id, t, point_id, unnest([1, 2, 3, 4]) as corner, unnest([y0, y1, y0, y1]) as y, unnest([x0, x0, x1, x1]) as x,
+   unnest([(1 - ax) * (1 - ay), (1 - ax) * ay, ax * (1 - ay), ax * ay]) as w from c)
+select k.demo_id, k.t, point_id, {q6('sum(w * g.z order by corner)')} as z from k join fx_depth g on g.demo_id = k.demo_id and g.t = k.t and g.y = k.y and g.x = k.x
+group by k.demo_id, k.t, point_id""")
 def bilinear_depth(d: Data):
     j = lifting.on_frame(uv_px(d), d.depth_images().select("demo_id", "t", "z"))
     return j.select("demo_id", "t", "point_id", r6(geo.bilinear(F.col("z"), SIDE, SIDE, F.col("u"), F.col("v"))).alias("z"))
@@ -422,10 +424,11 @@ def pixel_colour(d: Data):
 
 
 @query("j17_camera_for_frame", f"""
-with cam as (select demo_id, t, tx, ty, tz from fx_camera where t < 40), mx as (select demo_id, max(t) as mt from cam group by 1)
+with cam as (select c.demo_id, t, tx, ty, tz from fx_camera c join fx_demo using (demo_id) where t <= t_len * 4 // 5), mx as (select demo_id, max(t) as mt from cam group by 1)
 select s.demo_id, s.t, {q6('tx')} as clipped_tx, {q6(f'-({C30} * tx + {S30} * ty)')} as inv_tx from fx_steps s join mx using (demo_id) join cam on cam.demo_id = s.demo_id and cam.t = least(s.t, mt)""")
 def camera_for_frame(d: Data):
-    cam = d.camera().filter("t < 40")  # the recording of the camera stops early
+    # the recording of the camera stops after four fifths of the demo
+    cam = d.camera().join(d.demo().select("demo_id", "t_len"), "demo_id").filter(F.col("t") <= F.floor(F.col("t_len") * 4 / 5)).drop("t_len")
     mx = cam.groupBy("demo_id").agg(F.max("t").alias("mt"))
     s = d.steps().select("demo_id", F.col("t").alias("frame")).join(mx, "demo_id").withColumn("t", F.least("frame", "mt"))
     j = s.join(cam, ["demo_id", "t"])
@@ -515,13 +518,12 @@ def percentile_scale(d: Data):
 @query("h25_scene_cloud", f"""
 with g as (select demo_id, t, y, x, z, (demo_id % 5) as kind from fx_depth where y % 2 = 0 and x % 2 = 0),
  v as (select g.* from g where kind <> 4 and z > 0), q as (select demo_id, t, quantile_cont(z, 0.995) as hi from v group by 1, 2),
- k as (select v.demo_id, v.t, y, x, z, row_number() over (partition by v.demo_id, v.t order by y, x) - 1 as i, count(*) over (partition by v.demo_id, v.t) as m from v join q using (demo_id, t) where z <= hi),
- pk as (select * from k where m <= 40 or i in (select round_even(j * (m - 1) / 39.0, 0) from unnest(range(40)) as r(j))),
+ pk as (select v.demo_id, v.t, y, x, z from v join q using (demo_id, t) where z <= hi),
  rgb as (select demo_id, t, y, x, 1.0 as z from g where kind = 4),
- allp as (select demo_id, t, y, x, z::double as z, 'depth' as source from pk union all select demo_id, t, y, x, z, 'rgb_plane' from (select *, row_number() over (partition by demo_id, t order by y, x) - 1 as i from rgb) where i in (select round_even(j * 63 / 39.0, 0) from unnest(range(40)) as r(j)))
+ allp as (select demo_id, t, y, x, z::double as z, 'depth' as source from pk union all select demo_id, t, y, x, z, 'rgb_plane' from rgb)
 select a.demo_id, a.t, a.y::int as y, a.x::int as x, source, {q6(f'{C30} * ((a.x - cx) * z / fx) - {S30} * ((a.y - cy) * z / fy) + tx')} as wx, {q6('z + tz')} as wz, {q6(f'((a.y * 13 + a.x * 7 + a.t) % 256) / 255.0')} as red
 from allp a join fx_camera using (demo_id, t)""")
-def scene_cloud(d: Data, stride: int = 2, limit: int = 40):
+def scene_cloud(d: Data, stride: int = 2):
     # demos whose number ends in 4 or 9 have no depth: their picture stands on a plane one unit before the camera
     f = lifting.on_frame(d.depth_images().select("demo_id", "t", "z"), d.camera())
     has = F.col("demo_id") % 5 != 4
@@ -531,12 +533,7 @@ def scene_cloud(d: Data, stride: int = 2, limit: int = 40):
     def below_cut(p):
         return let(quantile(F.transform(p, lambda s: s["z"]), 0.995), lambda c: F.filter(p, lambda s: s["z"] <= c))
 
-    def at_most(p):
-        picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)),
-                            lambda j: F.get(p, F.rint(j * (F.size(p) - 1) / F.lit(limit - 1.0)).cast("int")))
-        return F.when(F.size(p) > limit, F.array_distinct(picks)).otherwise(p)
-
-    f = f.withColumn("p", let(let(F.filter(pts, lambda s: s["z"] > 0), below_cut), at_most))
+    f = f.withColumn("p", let(F.filter(pts, lambda s: s["z"] > 0), below_cut))
     f = f.select("demo_id", "t", *[F.col(c) for c in ("fx", "fy", "cx", "cy", "tx", "ty", "tz")], F.when(has, "depth").otherwise("rgb_plane").alias("source"), F.inline_outer("p"))
     f = f.withColumns({"y": F.floor(F.col("i") / SIDE).cast("int"), "x": F.col("i") % SIDE})
     cam = geo.unproject(*[F.col(c) for c in ("fx", "fy", "cx", "cy")], F.col("x"), F.col("y"), F.col("z"))

@@ -311,8 +311,8 @@ def infer_dims(d: Data):
 @query("j05_lookup_prompt", """
 with pr as (select case n_nationkey % 5 when 0 then 'base_name' when 1 then 'hdf5_stem' when 2 then 'path' when 3 then 'task_text' else 'text' end as space, lower(trim(n_name)) as key, 'prompt ' || n_nationkey as prompt from nation),
  c as (select s_suppkey, 'NATION_' || (s_suppkey % 40) as k0, 'nation_' || ((s_suppkey * 3) % 40) as k1, ' Nation_' || ((s_suppkey * 7) % 40) || ' ' as k2, s_name as txt from supplier),
- e as (select s_suppkey, txt, 1 as prio, 'base_name' as space, lower(trim(k0)) as key from c union all select s_suppkey, txt, 2, 'hdf5_stem', lower(trim(k1)) from c union all select s_suppkey, txt, 3, 'path', lower(trim(k0)) from c
-   union all select s_suppkey, txt, 4, 'task_text', lower(trim(k2)) from c union all select s_suppkey, txt, 5, 'text', lower(trim(k1)) from c)
+ e as (select s_suppkey, txt, 1 as prio, 'base_name' as space, lower(trim(k0)) as key from c union all select s_suppkey, txt, 2, 'hdf5_stem', lower(trim(k1)) from c union all select s_suppkey, txt, 3, 'path', lower(trim(k1)) from c
+   union all select s_suppkey, txt, 4, 'task_text', lower(trim(k2)) from c union all select s_suppkey, txt, 5, 'text', lower(trim(k2)) from c)
 select s_suppkey, 'robot: ' || coalesce(arg_min(prompt, prio) filter (prompt is not null), nullif(any_value(txt), ''), 'do the task') as prompt from e left join pr using (space, key) group by s_suppkey""")
 def lookup_prompt(d: Data):
     spaces = ("base_name", "hdf5_stem", "path", "task_text", "text")
@@ -321,7 +321,7 @@ def lookup_prompt(d: Data):
     prompts = d.table("nation").select(sp.alias("space"), F.lower(F.trim("n_name")).alias("key"), F.concat(F.lit("prompt "), F.col("n_nationkey")).alias("prompt"))
     s = F.col("s_suppkey")
     k0, k1, k2 = F.concat(F.lit("NATION_"), s % 40), F.concat(F.lit("nation_"), s * 3 % 40), F.concat(F.lit(" Nation_"), s * 7 % 40, F.lit(" "))
-    cand = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(n).alias("space"), F.lower(F.trim(c)).alias("key")) for i, (n, c) in enumerate(zip(spaces, (k0, k1, k0, k2, k1)))])
+    cand = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(n).alias("space"), F.lower(F.trim(c)).alias("key")) for i, (n, c) in enumerate(zip(spaces, (k0, k1, k1, k2, k2)))])
     e = d.table("supplier").select("s_suppkey", F.col("s_name").alias("txt"), F.inline(cand)).join(prompts, ["space", "key"], "left")
     first = F.min_by("prompt", F.when(F.col("prompt").isNotNull(), F.col("prio")))
     return e.groupBy("s_suppkey").agg(F.concat(F.lit("robot: "), F.coalesce(first, F.nullif(F.max("txt"), F.lit("")), F.lit("do the task"))).alias("prompt"))

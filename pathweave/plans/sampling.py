@@ -87,19 +87,18 @@ def gauss(*parts, tag: str):
 
 @query("h27_noise_augmentation")
 def noise_augmentation(d: Data):
-    """Global shift per demo, bias per point, drift along frames, jitter per row, outlier tracks, dropped tracks that
+    """Global shift per demo, bias per point, drift along a point's frames, jitter per row, outlier tracks, dropped tracks that
     copy a kept one, clipping, and a permutation of the points (``slot``). Every input row has one output row."""
     tr = d.tracks().select("demo_id", "t", "point_id", *XYZ)
-    steps = d.steps().select("demo_id", "t")
-    walk = steps.withColumns({f"g{a}": gauss("demo_id", "t", tag=f"drift{a}") * 2.0 for a in "xyz"})
-    walk = prefix(walk, ["demo_id"], "t", {f"w{a}": ("sum", f"g{a}") for a in "xyz"}).select("demo_id", "t", "wx", "wy", "wz")
+    walk = tr.withColumns({f"g{a}": gauss("demo_id", "point_id", "t", tag=f"drift{a}") * 2.0 for a in "xyz"})
+    walk = prefix(walk, ["demo_id", "point_id"], "t", {f"w{a}": ("sum", f"g{a}") for a in "xyz"})
     out = hash_unit("demo_id", "point_id", text("outlier"), 0) < 0.02
     cols = []
     for a in "xyz":
         noise = gauss("demo_id", tag=f"shift{a}") * 50 + gauss("demo_id", "point_id", tag=f"bias{a}") * 20 + F.col(f"w{a}")
         noise = noise + gauss("demo_id", "t", "point_id", tag=f"jitter{a}") * 5 + F.when(out, gauss("demo_id", "point_id", tag=f"big{a}") * 5000).otherwise(0.0)
         cols.append(clip(F.col(f"{a}u") + noise, -100000.0, 100000.0).alias(f"{a}u"))
-    noisy = tr.join(walk, ["demo_id", "t"]).select("demo_id", "t", "point_id", *cols)
+    noisy = walk.select("demo_id", "t", "point_id", *cols)
     # one row per track: whether it is dropped, its donor among the kept ones, its new place
     flags = tr.filter("t = 0").select("demo_id", "point_id", (hash_unit("demo_id", "point_id", text("drop"), 0) >= 0.1).alias("kept"))
     donors = flt.random_donor(flags, "kept")

@@ -85,9 +85,9 @@ def anchors_query(d: Data):
 
 
 @query("w12_viewer_starts", f"""
-with {STAGE_CTE} select demo_id, s0::int as s0, s1::int as s1, unnest(list_slice(range(s0, s1, 20), 1, 5))::int as s from sg""")
+with {STAGE_CTE} select demo_id, s0::int as s0, s1::int as s1, unnest(range(s0, s1, 20))::int as s from sg""")
 def viewer_starts(d: Data):
-    return seg.anchors(stage_segments(d), 20, 1, cap=5, inclusive=True).select("demo_id", "s0", "s1", "s")
+    return seg.anchors(stage_segments(d), 20, 1, inclusive=True).select("demo_id", "s0", "s1", "s")
 
 
 def keyframe_sql(starts: str, k: int = K, gs: float = 1.2, ge: float = 1.6) -> str:
@@ -173,11 +173,11 @@ def endpoint_lerp(d: Data):
 
 @query("h28_manifest", f"""
 with {STAGE_CTE} select task, demo_id, s0::int as s0, concat('{{"seg":[', s0, ',', s1, '],"starts":[',
-  array_to_string(list_slice(range(s0, s1, 20), 1, 5), ','), '],"n_frames":', s1 - s0, '}}') as entry
+  array_to_string(range(s0, s1, 20), ','), '],"n_frames":', s1 - s0, '}}') as entry
 from sg join fx_demo using (demo_id)""")
 def manifest(d: Data):
-    # one JSON text per segment: an entry is bounded by the cap on starts, a demo or task is not
+    # one JSON text per segment: an entry grows with its segment, a demo or task would gather all of them
     s = stage_segments(d).join(d.demo().select("demo_id", "task"), "demo_id")
-    starts = F.slice(F.sequence("s0", F.col("s1") - 1, F.lit(20)), 1, 5)
+    starts = F.sequence("s0", F.col("s1") - 1, F.lit(20))
     entry = F.to_json(F.struct(F.array("s0", "s1").alias("seg"), starts.alias("starts"), (F.col("s1") - F.col("s0")).alias("n_frames")))
     return s.select("task", "demo_id", "s0", entry.alias("entry"))

@@ -51,7 +51,7 @@ def mapping_csv(d: Data):
 @query("s06_explode_episode", """
 with c as (select *, length(text) % 3 <> 0 or conv_id % 2 = 0 as has_frame from conversations)
 select conv_id, turn, role, bool_and(has_frame) over (partition by conv_id) as frames_complete, first_instr from c
-join (select conv_id, arg_min(substr(text, 1, 20), turn) filter (role = 'user' and trim(text) <> '') as first_instr from conversations group by 1) using (conv_id)""")
+join (select conv_id, arg_min(text, turn) filter (role = 'user' and trim(text) <> '') as first_instr from conversations group by 1) using (conv_id)""")
 def explode_episode(d: Data):
     # the nested form such sources deliver: arrays of steps, a long episode in shards of 64 steps
     step = F.struct("turn", "role", "text", F.when((F.length("text") % 3 != 0) | (F.col("conv_id") % 2 == 0), F.lit(1)).alias("frame"))
@@ -59,7 +59,7 @@ def explode_episode(d: Data):
     complete = F.forall("steps", lambda s: s["frame"].isNotNull())
     instr = F.get(F.filter("steps", lambda s: (s["role"] == "user") & (F.trim(s["text"]) != "")), F.lit(0))["text"]
     per = nested.groupBy("conv_id").agg(F.bool_and(complete).alias("frames_complete"),
-                                        F.substring(F.min_by(instr, F.when(instr.isNotNull(), F.col("shard"))), 1, 20).alias("first_instr"))
+                                        F.min_by(instr, F.when(instr.isNotNull(), F.col("shard"))).alias("first_instr"))
     rows = nested.select("conv_id", F.inline("steps")).select("conv_id", "turn", "role")
     return rows.join(per, "conv_id")
 

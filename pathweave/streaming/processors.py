@@ -111,7 +111,7 @@ def jumps(steps: DataFrame, limit: float) -> DataFrame:
 
 
 def temporal_patch(cands: DataFrame, weight: float, percentile: float) -> DataFrame:
-    """The previous-point choice of operators.lifting.temporal_patch, kept per track between batches."""
+    """The previous-point choice of operators.lifting.temporal_patch, kept per track between batches. Empty windows have no position."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(pdfs, ["t"])
@@ -119,7 +119,7 @@ def temporal_patch(cands: DataFrame, weight: float, percentile: float) -> DataFr
         picked = []
         for _, _, _, cx, cy, cz, z, dist in rows[["demo_id", "point_id", "t", "cx", "cy", "cz", "z", "pd"]].itertuples(index=False, name=None):
             xyz = np.stack([cx, cy, cz], axis=1)
-            prev = xyz[choose_nearest(prev, xyz, np.asarray(z), np.asarray(dist), weight, percentile)]
+            prev = xyz[choose_nearest(prev, xyz, np.asarray(z), np.asarray(dist), weight, percentile)] if len(xyz) else np.full(3, np.nan)
             picked.append(prev)
         state.update(tuple(float(c) for c in prev))
         out = np.array(picked)

@@ -45,7 +45,7 @@ def test_degenerate_groups_have_no_fit(spark):
 
 def test_ransac_and_trim_resist_outliers(spark):
     x, y, rot = planted(outliers=0.3, seed=3)
-    r = cal.ransac_sim3(corr(spark, x, y), ["demo_id"], ["i"], iterations=128, threshold=0.1, max_corr=1000).first()
+    r = cal.ransac_sim3(corr(spark, x, y), ["demo_id"], ["i"], iterations=128, threshold=0.1).first()
     assert abs(r["scale"] - 1.7) < 5e-3 and 0.6 < r["n_inliers"] / r["n_corr"] < 0.8
     x, y, _ = planted(outliers=0.04, seed=4)
     t = cal.trimmed_fit(corr(spark, x, y), ["demo_id"]).first()
@@ -53,6 +53,39 @@ def test_ransac_and_trim_resist_outliers(spark):
     assert abs(t["scale"] - 1.7) < abs(plain["scale"] - 1.7) and t["n"] < 400
 
 
+def test_ransac_uses_every_correspondence_of_a_large_group(spark):
+    x, y, rot = planted(120_000, outliers=0.4, seed=5)
+    r = cal.ransac_sim3(corr(spark, x, y), ["demo_id"], ["i"], iterations=64, threshold=0.1).first()
+    assert r["n_corr"] == 120_000 and abs(r["n_inliers"] - 72_000) < 1_500
+    np.testing.assert_allclose(np.array(r["rot"]).reshape(3, 3), rot, atol=1e-3)
+
+
+def test_scores_equal_a_loop_over_hypotheses(spark):
+    x, y, _ = planted(300, outliers=0.3, seed=6)
+    c = corr(spark, x, y)
+    hyps = cal.hypotheses(c, ["demo_id"], ["i"], 40).cache()
+    h = hyps.first()
+    got = {r["h"]: r["n_in"] for r in cal.score(c, hyps, ["demo_id"], ["i"], 0.2).collect()}
+    for k in range(40):
+        pred = h["hs"][k] * x @ np.array(h["hr"][9 * k:9 * k + 9]).reshape(3, 3).T + np.array(h["ht"][3 * k:3 * k + 3])
+        assert got[k] == (np.linalg.norm(pred - y, axis=1) <= 0.2).sum()
+    assert max(got.values()) > 150
+
+
+def test_draws_are_different_rows():
+    for pool in (3, 4, 5, 7, 100, 2048):
+        at = cal.draw_positions(pool, 200, 1)
+        assert all(len(set(row)) == min(4, pool) for row in at.tolist()) and at.max() < pool
+
+
+def test_tiny_and_degenerate_groups(spark):
+    x, y, _ = planted(2)
+    assert cal.ransac_sim3(corr(spark, x, y), ["demo_id"], ["i"], 16, 0.1).first()["scale"] is None
+    same = np.ones((10, 3))
+    r = cal.ransac_sim3(corr(spark, same, same), ["demo_id"], ["i"], 16, 0.1).first()
+    assert r["scale"] is None and r["n_corr"] == 10
+
+
 def test_trim_stops_when_too_few_would_stay(spark):
     x, y, _ = planted(20)
     assert cal.trimmed_fit(corr(spark, x, y), ["demo_id"], percentile=0.5, min_points=16).first()["n"] == 20
@@ -65,6 +98,17 @@ def test_unproject_project_identity(spark):
     assert df.select(F.max(F.abs(u - F.col("u")) + F.abs(v - F.col("v")))).first()[0] < 1e-9
 
 
+def test_holes_in_the_depth_do_not_end_the_walk(spark):
+    none = ([],) * 5
+    one = ([1.0], [2.0], [3.0], [3.0], [0.5])
+    rows = [(1, 1, 0, *none), (1, 1, 1, *one), (1, 1, 2, *none), (1, 1, 3, *one)]
+    df = spark.createDataFrame(rows, "demo_id bigint, point_id bigint, t int, cx array<double>, cy array<double>, cz array<double>, z array<double>, pd array<double>")
+    got = {r["t"]: r["x"] for r in temporal_patch(df, 0.01, 0.2).collect()}
+    assert got[1] == got[3] == 1.0 and np.isnan(got[0]) and np.isnan(got[2])
+    with_own = df.withColumns({b: F.lit(9.0) for b in ("bx", "by", "bz")})
+    assert {r["t"]: r["x"] for r in temporal_patch(with_own, 0.01, 0.2).collect()} == {0: 9.0, 1: 1.0, 2: 9.0, 3: 1.0}
+
+
 def candidates(spark):
     rng = np.random.default_rng(7)
     rows = []
