@@ -78,12 +78,13 @@ def with_next(df: DataFrame, columns: list[str], order: list[Column]) -> DataFra
     """Add ``next_<c>`` of the row that follows in descending ``__id``, after the last the first.
 
     Windows see one bucket of ids each. The last row of a bucket takes the head of the next bucket that has rows; buckets are linked the
-    same way within groups, and groups (one row per 2^20 ids) by one short window.
+    same way within groups, and groups (one row per 2^20 ids) by one short window. ``columns`` should be all of ``df``: then all
+    branches read one and the same shuffle.
     """
     bucket, group = F.shiftright("__id", ID_BITS), F.shiftright("__bucket", GROUP_BITS)
     w = W.partitionBy("__bucket").orderBy(F.col("__id").desc(), *order)
     rows = df.withColumn("__bucket", bucket).withColumns({
-        **{f"next_{c}": F.lead(c).over(w) for c in columns}, "__first": F.row_number().over(w) == 1, "__last": F.lead(F.lit(True)).over(w).isNull()})
+        **{f"next_{c}": F.lead(c).over(w) for c in columns}, "__first": F.lag(F.lit(True)).over(w).isNull(), "__last": F.lead(F.lit(True)).over(w).isNull()})
     inside = rows.filter(~F.col("__last"))
     heads = rows.filter("__first").select(F.col("__bucket").alias("__head"), *[F.col(c).alias(f"next_{c}") for c in columns])
     buckets = df.select(bucket.alias("__bucket")).distinct().withColumn("__group", group)
@@ -98,14 +99,16 @@ def with_next(df: DataFrame, columns: list[str], order: list[Column]) -> DataFra
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    own = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"))
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id."""
+    least = F.lit(-(1 << 63))  # stands for null
+    # only computed columns: a bare one is renamed in one branch of the union, which then doesn't share the shuffle of the others
+    own = documents(docs).select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", least).alias("__id"))
     own = fingerprint(own, "text", "fp")
-    both = with_next(own, ["text", "fp"], [F.col("text")])
+    both = with_next(own, ["text", "__id", "fp"], [F.col("text")])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))).drop("next_text")
     both = fingerprint(both, "edited", "fe")
     return both.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("fp").alias("fingerprint"),
-        shown("fe").alias("edited_fingerprint"), likeness("fp", "fe").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+        F.nullif("__id", least).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("fp").alias("fingerprint"),
+        shown("fe").alias("edited_fingerprint"), likeness("fp", "fe").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), F.nullif("next___id", least).alias("next_doc_id"))

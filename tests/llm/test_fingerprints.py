@@ -47,12 +47,12 @@ def brute(rows):
     docs = sorted(((i if i is not None else -(1 << 63), t or "", i) for i, t in rows), key=lambda r: (-r[0], r[1].encode()))
     out = []
     for k, (_, text, doc) in enumerate(docs):
-        nxt = docs[(k + 1) % len(docs)][1]
+        _, nxt, next_doc = docs[(k + 1) % len(docs)]
         half = len(text) // 2
         edited = text[: len(text) - half] + nxt[:half]
         a, b = sign(text), sign(edited)
         show = lambda f: "".join(f"{x:010x}" for x in f)
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), alike(a, b), alike(a, sign(nxt))))
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), alike(a, b), alike(a, sign(nxt)), next_doc))
     return sorted(out, key=str)
 
 
