@@ -30,8 +30,8 @@ from pathweave.llm.tables import documents, written
 from pathweave.llm.text import SPACED, Block, blocks, find_words, window_hashes
 
 WINDOW, ANCHOR = 20, 6
-#: Occurrences of one anchor that a task takes at once; about as many times 150 bytes.
-GROUP = 4096
+#: Occurrences of one anchor that a task takes at once: some 5 MB of words, 20 MB as sorted rows.
+GROUP = 32_768
 
 NO_WORDS = hashlib.sha256(b"").hexdigest()
 
