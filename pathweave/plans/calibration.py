@@ -15,6 +15,8 @@ from pathweave.plans.registry import q6, query
 from pathweave.plans.segments import STAGE_CTE, stage_segments
 from pathweave.session import materialize
 
+PLANTED = "2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22"
+GROSS = "(demo_id * 101 + t * 31 + point_id * 17) % 50 = 0"
 KEY = ["demo_id", "t", "point_id"]
 
 
@@ -83,15 +85,74 @@ select t.demo_id, t.t, t.point_id, {q6('t.xu + coalesce((1 - w) * a.ox + w * b.o
 from (select t.*, s0, s1, (t.t - s0) / greatest(s1 - s0 - 1, 1) as w from fx_tracks t left join sg on sg.demo_id = t.demo_id and t.t >= s0 and t.t < s1) t
 left join o a on a.demo_id = t.demo_id and a.s0 = t.s0 and a.f = t.s0 left join o b on b.demo_id = t.demo_id and b.s0 = t.s0 and b.f = t.s1 - 1""")
 def stage_align(d: Data):
-    sg = materialize(stage_segments(d), "segments")  # a few rows per demo, used twice
+    fr = frame_offsets(d, materialize(stage_segments(d), "segments"))  # a few rows per demo, used twice
+    return d.tracks().join(fr, ["demo_id", "t"]).select(*KEY, *[r6(F.col(f"{a}u") + F.col(f"o{a}")).alias(a) for a in "xyz"])
+
+
+def frame_offsets(d: Data, sg):
+    """Per frame: its segment, the weight of the segment's end, and the offset between those of both ends (zero outside)."""
     o = endpoints(d, sg)
     first = o.groupBy("demo_id", "s0").agg(*[F.min_by(c, "f").alias(f"a_{c}") for c in ("ox", "oy", "oz")], *[F.max_by(c, "f").alias(f"b_{c}") for c in ("ox", "oy", "oz")])
     sg = sg.join(first, ["demo_id", "s0"])
     # offsets per frame first (a row per frame), then every point of the frame
     fr = join_interval(d.steps().select("demo_id", "t"), sg, how="left")
     w = (F.col("t") - F.col("s0")) / F.greatest(F.col("s1") - F.col("s0") - 1, F.lit(1))
-    fr = fr.select("demo_id", "t", *[F.coalesce((1 - w) * F.col(f"a_o{a}") + w * F.col(f"b_o{a}"), F.lit(0.0)).alias(f"o{a}") for a in "xyz"])
-    return d.tracks().join(fr, ["demo_id", "t"]).select(*KEY, *[r6(F.col(f"{a}u") + F.col(f"o{a}")).alias(a) for a in "xyz"])
+    return fr.select("demo_id", "t", "s0", w.alias("w"), *[F.coalesce((1 - w) * F.col(f"a_o{a}") + w * F.col(f"b_o{a}"), F.lit(0.0)).alias(f"o{a}") for a in "xyz"])
+
+
+def aligned(d: Data, sg, first, last):
+    """Tracks moved by their segment's fits (``first`` and ``last`` blended along it), or by offsets where it has none.
+
+    Gives the coordinates, ``mode`` and, for moved points, whether they lie where the planted transform puts them.
+    """
+    fits = first.select("demo_id", "s0", F.struct("scale", "rot", "trans").alias("a")).join(last.select("demo_id", "s0", F.struct("scale", "rot", "trans").alias("b")), ["demo_id", "s0"])
+    fr = frame_offsets(d, sg).join(fits, ["demo_id", "s0"], "left")
+    tr = d.tracks().select(*KEY, *[F.col(c).cast("double").alias(s) for c, s in zip(XYZ, cal.SRC)]).join(fr, ["demo_id", "t"])
+    a, b = (cal.moved((f"{c}.scale", f"{c}.rot", f"{c}.trans")) for c in "ab")
+    has = F.col("a").isNotNull()
+    blend = [F.when(has, (1 - F.col("w")) * p + F.col("w") * q).otherwise(F.col(s) + F.col(f"o{c}")) for p, q, s, c in zip(a, b, cal.SRC, "xyz")]
+    out = tr.select(*KEY, *cal.SRC, F.when(has, "sim3").when(F.col("s0").isNotNull(), "translation").otherwise("none").alias("mode"), *[v.alias(c) for v, c in zip(blend, "xyz")])
+    return out.select(*KEY, "mode", F.when(F.col("mode") == "sim3", near_planted()).alias("as_planted"))
+
+
+def near_planted():
+    want = (-2 * F.col("sy") + 1000, 2 * F.col("sx") - 500, 2 * F.col("sz") + 250)
+    return norm(*[F.col(a) - w for a, w in zip("xyz", want)]) <= 6.0 + 0.01 * norm(*cal.SRC)
+
+
+ALIGNED = """
+select t.demo_id, t.t, t.point_id, case when ok then 'sim3' when s0 is not null then 'translation' else 'none' end as mode, case when ok then true end as as_planted
+from (select t.*, sg.s0 from fx_tracks t left join sg on sg.demo_id = t.demo_id and t.t >= sg.s0 and t.t < sg.s1) t left join ok on ok.demo_id = t.demo_id and ok.s = t.s0"""
+
+
+@query("a32_stage_align_sim3", f"""
+with {STAGE_CTE}, ok as (select sg.demo_id, s0 as s, count(*) >= 24 and count(*) filter (where not ({GROSS})) >= greatest(12, 0.35 * count(*)) as ok
+  from sg join (select demo_id, t, point_id from fx_tracks where vis >= 0.5) c using (demo_id) where t >= s0 and t < s1 group by 1, 2)
+{ALIGNED}""")
+def stage_align_sim3(d: Data):
+    """Each segment by its own robust similarity; segments without a usable one fall back to offsets."""
+    sg = materialize(stage_segments(d), "segments")
+    c = join_interval(correspondences(d).filter(F.col("vis") >= 0.5), sg.select("demo_id", "s0", "s1"))
+    f = cal.ransac_sim3(c, ["demo_id", "s0"], ["t", "point_id"], iterations=256, threshold=50.0)
+    f = materialize(f.filter(cal.stage_reason(24, 12, 0.35, (0.1, 10.0), 60.0) == ""), "stage-fits")
+    return aligned(d, sg, f, f)
+
+
+@query("a32_stage_align_endpoint_sim3", f"""
+with {STAGE_CTE}, e as (select demo_id, s0, unnest(case when s0 = s1 - 1 then [s0] else [s0, s1 - 1] end) as f from sg),
+ g as (select e.demo_id, e.s0, f, count(*) >= 12 and count(*) filter (where not gross) >= greatest(8, 0.35 * count(*)) as ok
+  from e join (select demo_id, t, {GROSS} as gross from fx_tracks where vis >= 0.5) c on c.demo_id = e.demo_id and c.t = e.f group by 1, 2, 3),
+ ok as (select sg.demo_id, sg.s0 as s, bool_and(ok) and count(*) = any_value(case when sg.s0 = s1 - 1 then 1 else 2 end) as ok from sg join g using (demo_id, s0) group by 1, 2)
+{ALIGNED}""")
+def stage_align_endpoint_sim3(d: Data):
+    """Similarities of the first and of the last frame of each segment, blended along it; else offsets."""
+    sg = materialize(stage_segments(d), "segments")
+    ends = sg.select("demo_id", "s0", F.explode(F.array_distinct(F.array(F.col("s0"), F.col("s1") - 1))).alias("t"))
+    c = correspondences(d).filter(F.col("vis") >= 0.5).join(ends, ["demo_id", "t"]).withColumnRenamed("t", "f")
+    f = cal.ransac_sim3(c, ["demo_id", "s0", "f"], ["point_id"], iterations=256, threshold=50.0)
+    f = materialize(f.filter(cal.stage_reason(12, 8, 0.35, (0.1, 10.0), 60.0) == ""), "end-fits")
+    last = f.join(sg.select("demo_id", "s0", (F.col("s1") - 1).alias("f")), ["demo_id", "s0", "f"])
+    return aligned(d, sg, f.filter("f = s0"), last)
 
 
 @query("a33_flow_align", f"""
@@ -113,10 +174,6 @@ def flow_align(d: Data):
                     r6(F.col("sx") + (1 - a) * F.col("o0") + a * F.col("o1")).alias("lerp_x"), r6(F.col("sx") + F.col("ox")).alias("frame_x"))
 
 
-PLANTED = "2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22"
-GROSS = "(demo_id * 101 + t * 31 + point_id * 17) % 50 = 0"
-
-
 def planted_columns():
     """Scale and rotation to two decimals, which the planted transform fixes."""
     return [round_half_even("scale", 2).alias("scale"), *[round_half_even(F.get("rot", F.lit(i)), 2).alias(n) for i, n in ((1, "r01"), (3, "r10"), (8, "r22"))]]
@@ -224,8 +281,7 @@ def apply_calibration(d: Data):
     tr = d.tracks().select(*KEY, *[F.col(c).cast("double").alias(s) for c, s in zip(XYZ, cal.SRC)]).join(fit, "demo_id", "left")
     has = F.col("scale").isNotNull()
     out = tr.select(*KEY, *cal.SRC, has.alias("calibrated"), *[F.when(has, m).otherwise(F.col(c)).alias(a) for m, c, a in zip(cal.moved(), cal.SRC, "xyz")])
-    want = (-2 * F.col("sy") + 1000, 2 * F.col("sx") - 500, 2 * F.col("sz") + 250)
-    return out.select(*KEY, "calibrated", (norm(*[F.col(a) - w for a, w in zip("xyz", want)]) <= 6.0 + 0.01 * norm(*cal.SRC)).alias("as_planted"))
+    return out.select(*KEY, "calibrated", near_planted().alias("as_planted"))
 
 
 @query("f01_sim3_from_moments", "select demo_id, 2.0::double as scale, -1.0::double as r01, 1.0::double as r10, 1.0::double as r22 from fx_demo")

@@ -10,6 +10,7 @@ from pathweave.operators import filters as flt
 from pathweave.operators.motion import XYZ, point_motion
 from pathweave.operators.neighbours import knn, knn_mean, largest_component
 from pathweave.plans.fixtures import Data
+from pathweave.plans.geometry import H05, reprojection_error
 from pathweave.plans.registry import h32, q6, query
 from pathweave.plans.stats import STEP_SQL
 from pathweave.session import materialize
@@ -166,6 +167,9 @@ def component_filter(d: Data):
     return flt.component_filter(tr, tr.filter("t = 0").select("demo_id", "point_id"), k=5, factor=1.5, stride=1, min_bad=3)
 
 
+REPROJECTION = 0.52
+
+
 @query("a35_quality_mask", f"""
 with f as ({FIRST}), q as (select demo_id, point_id, exists_mask from (
     select u.demo_id, u.point_id, m.x is not null as exists_mask from fx_uv u left join fx_mask m on m.demo_id = u.demo_id and m.t = u.t
@@ -181,8 +185,8 @@ with f as ({FIRST}), q as (select demo_id, point_id, exists_mask from (
  fb as (select *, avg(case when sor and tele then 1.0 else 0.0 end) over (partition by demo_id) < 0.35 as fallback from tk),
  keep as (select *, case when fallback then exists_mask and tele else sor and tele end as track_keep from fb)
 select keep.demo_id, any_value(fallback) as fallback_used, count(*)::bigint as n_rows,
-  count(*) filter (track_keep and vis = 1 and ((t.t * 7 + t.point_id * 5) % 9) <= 6)::bigint as n_valid,
-  count(*) filter (track_keep and t.t = 0)::bigint as n_tracks from keep join fx_tracks t using (demo_id, point_id) group by keep.demo_id""")
+  count(*) filter (track_keep and vis = 1 and err <= {REPROJECTION})::bigint as n_valid,
+  count(*) filter (track_keep and t.t = 0)::bigint as n_tracks from keep join fx_tracks t using (demo_id, point_id) left join ({H05}) e using (demo_id, t, point_id) group by keep.demo_id""")
 def quality_mask(d: Data):
     uv = d.uv().filter("t = 0")
     px = F.least(F.greatest(F.rint(F.col("u100") / 100.0), F.lit(0.0)), F.lit(15.0)).cast("int")
@@ -197,7 +201,8 @@ def quality_mask(d: Data):
     f = f.join(share, "demo_id").withColumn("track_keep", F.when(F.col("fallback_used"), F.col("candidate") & F.col("tele"))
                                             .otherwise(F.col("sor") & F.col("tele"))).select("demo_id", "point_id", "track_keep", "fallback_used")
     rows = d.tracks().select("demo_id", "t", "point_id", "vis").join(f, ["demo_id", "point_id"])
-    reproj_ok = (F.col("t") * 7 + F.col("point_id") * 5) % 9 <= 6  # stands for the reprojection test of h05
+    rows = rows.join(reprojection_error(d), ["demo_id", "t", "point_id"], "left")
+    reproj_ok = F.col("err") <= REPROJECTION  # pixels; a point that was not lifted fails
     return rows.groupBy("demo_id").agg(
         F.bool_or("fallback_used").alias("fallback_used"), F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("track_keep") & (F.col("vis") == 1) & reproj_ok).alias("n_valid"),

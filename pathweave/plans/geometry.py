@@ -88,10 +88,13 @@ def inverse(d: Data):
                     r6(geo.at(F.col("general"), 0, 3)).alias("gtx"), r6(geo.at(F.col("general"), 0, 1)).alias("g01"), close.alias("agree"))
 
 
-@query("h05_reprojection_error", f"""
+H05 = f"""
 select w.demo_id, w.t, point_id, {q6('sqrt((100 * rx / greatest(rz, 1e-6) + 8 - u100 / 100.0) ** 2 + (100 * ry / greatest(rz, 1e-6) + 8 - v100 / 100.0) ** 2)')} as err from (
  select w.*, {C30} * (wx + 3.1 - tx) + {S30} * (wy - ty) as rx, -{S30} * (wx + 3.1 - tx) + {C30} * (wy - ty) as ry, wz - tz as rz
- from ({UNPROJECT}) w join fx_camera using (demo_id, t)) w join fx_uv using (demo_id, t, point_id)""")
+ from ({UNPROJECT}) w join fx_camera using (demo_id, t)) w join fx_uv using (demo_id, t, point_id)"""
+
+
+@query("h05_reprojection_error", H05)
 def reprojection_error(d: Data):
     j, w = unprojected(d)
     # a shift of 3.1 along x makes the error visible
@@ -484,14 +487,20 @@ def best_detection(d: Data):
 @query("a38_lift_stats", f"""
 with l as ({_patch_sql('median(z)').strip()}), w as (select l.*, (x - 8) * z / 100 as bx, (y - 8) * z / 100 as by_ from l)
 select demo_id, min(z) as depth_min, max(z) as depth_max, {q6('min(bx)')} as x_min, {q6('max(by_)')} as y_max, {q6('avg(pixel_dist)')} as offset_mean, {q6('quantile_cont(pixel_dist, 0.95)')} as offset_p95,
- {q6('max(pixel_dist)')} as offset_max, {q6('median(pixel_dist)')} as offset_median from w group by demo_id""")
+ {q6('max(pixel_dist)')} as offset_max, {q6('median(pixel_dist)')} as offset_median,
+ any_value(reproj_median) as reproj_median, any_value(reproj_p95) as reproj_p95, any_value(reproj_max) as reproj_max
+from w join (select demo_id, {q6('median(err)')} as reproj_median, {q6('quantile_cont(err, 0.95)')} as reproj_p95, max(err) as reproj_max from ({H05}) group by demo_id) using (demo_id)
+group by demo_id""")
 def lift_stats(d: Data):
     # lifted points are a product of their own; the statistics read the written table several times
     p = materialize(_patch(d, "patch_median"), "lifted").withColumns({"bx": (F.col("x") - 8) * F.col("z") / 100, "by": (F.col("y") - 8) * F.col("z") / 100})
     plain = p.groupBy("demo_id").agg(F.min("z").alias("depth_min"), F.max("z").alias("depth_max"), r6(F.min("bx")).alias("x_min"), r6(F.max("by")).alias("y_max"),
                                      r6(F.avg("pixel_dist")).alias("offset_mean"), r6(F.max("pixel_dist")).alias("offset_max"))
     q = exact_quantiles(p, ["demo_id"], "pixel_dist", {"offset_p95": 0.95, "offset_median": 0.5})
-    return plain.join(q.select("demo_id", r6("offset_p95").alias("offset_p95"), r6("offset_median").alias("offset_median")), "demo_id")
+    q = q.select("demo_id", r6("offset_p95").alias("offset_p95"), r6("offset_median").alias("offset_median"))
+    err = materialize(reprojection_error(d), "reprojection")
+    back = exact_quantiles(err, ["demo_id"], "err", {"m": 0.5, "p": 0.95}).select("demo_id", r6("m").alias("reproj_median"), r6("p").alias("reproj_p95"))
+    return plain.join(q, "demo_id").join(back, "demo_id").join(err.groupBy("demo_id").agg(F.max("err").alias("reproj_max")), "demo_id")
 
 
 @query("a45_scene_points_cut", f"""
