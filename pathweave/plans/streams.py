@@ -71,30 +71,34 @@ def window_stats(rows, window):
 WIN = "count(*)::bigint as n, {s} as total, {q} as total_sq, min(value) as lo, max(value) as hi".format(s=q6("sum(value)"), q=q6("sum(value * value)"))
 
 
+# A window is written once the watermark, an hour behind the newest event, has passed its end; its state is then dropped.
+CLOSED = "<= (select epoch(max(ts)) - 3600 from events)"
+
+
 @query("x05_stream_stats_tumbling", f"""
-select epoch(date_trunc('day', ts))::bigint as window_start, event_type, {WIN} from events group by 1, 2""")
+select epoch(date_trunc('day', ts))::bigint as window_start, event_type, {WIN} from events group by 1, 2 having epoch(any_value(date_trunc('day', ts))) + 86400 {CLOSED}""")
 def stream_stats(d: Data):
     s = events(d).withWatermark("ts", "1 hour")
-    return run_to_table(window_stats(s, F.window("ts", "1 day")), "tumbling", mode="complete")
+    return run_to_table(window_stats(s, F.window("ts", "1 day")), "tumbling")
 
 
 @query("x05_stream_stats_sliding", f"""
 select (epoch(ts)::bigint // 21600 - o) * 21600 as window_start, event_type, {WIN}
-from (select *, unnest([0, 1, 2, 3]) as o from (select date_trunc('second', ts) as ts, event_type, value from events)) group by 1, 2""")
+from (select *, unnest([0, 1, 2, 3]) as o from (select date_trunc('second', ts) as ts, event_type, value from events)) group by 1, 2
+having (epoch(ts)::bigint // 21600 - o) * 21600 + 86400 {CLOSED}""")
 def stream_stats_sliding(d: Data):
     s = events(d).withWatermark("ts", "1 hour")
-    return run_to_table(window_stats(s, F.window("ts", "1 day", "6 hours")), "sliding", mode="complete")
+    return run_to_table(window_stats(s, F.window("ts", "1 day", "6 hours")), "sliding")
 
 
 @query("x05_stream_sessions", f"""
 with g as (select *, case when ts - lag(ts) over w >= interval 12 hour or lag(ts) over w is null then 1 else 0 end as nw from events window w as (partition by user_id order by ts, event_id)),
  s as (select *, sum(nw) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from g)
-select user_id as demo_id, epoch(min(date_trunc('second', ts)))::bigint as session_start, count(*)::bigint as n, {q6('sum(value)')} as total from s group by user_id, sid""")
+select user_id as demo_id, epoch(min(date_trunc('second', ts)))::bigint as session_start, count(*)::bigint as n, {q6('sum(value)')} as total from s group by user_id, sid having epoch(max(ts)) + 43200 {CLOSED}""")
 def stream_sessions(d: Data):
     s = events(d).withWatermark("ts", "1 hour")
     g = s.groupBy(F.session_window("ts", "12 hours").alias("w"), "demo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
-    out = run_to_table(g.select("demo_id", F.unix_seconds("w.start").alias("session_start"), "n", r6("s").alias("total")), "sessions", mode="complete")
-    return out
+    return run_to_table(g.select("demo_id", F.unix_seconds("w.start").alias("session_start"), "n", r6("s").alias("total")), "sessions")
 
 
 @query("x06_stream_patch_temporal")

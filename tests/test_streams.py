@@ -61,3 +61,14 @@ def test_late_rows_inside_the_watermark_count(spark):
     g = s.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     out = run_to_table(g.select("n"), "late", mode="complete")
     assert out.agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_windows_close_and_rows_past_the_watermark_are_dropped(spark):
+    df = steps(spark)  # 40 steps of 7 minutes from midnight on, for each demo
+    step = F.col("event_id") % 1000
+    s = stream_of(spark, df, [(step >= 2) & (step < 20), step >= 20, step < 2])
+    g = s.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    got = {r["hour"]: r["n"] for r in run_to_table(g.select(F.hour("w.start").alias("hour"), "n"), "closing").collect()}
+    rows = df.withColumn("hour", F.hour("ts")).filter(step >= 2).groupBy("hour").count().collect()
+    want = {r["hour"]: r["count"] for r in rows}
+    assert got == {h: n for h, n in want.items() if h < 4}  # the last hour is still open
