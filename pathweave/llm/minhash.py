@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     shared = written(in_bands.join(shared.select(own_key("band"), "n"), "band"), "shared")
     weights = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     buckets = written(shared.join(weights, "rep").select("band", "rep", "weight"), "bands")
-    texts = written(docs.join(weights.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    texts = written(docs.join(weights.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "candidates")
     labels = components(linked(buckets, texts, size, threshold))
     groups = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("rep").alias("text_class"), F.coalesce("label", "rep").alias("class_id"))
@@ -247,7 +247,8 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay: one row per group, that of the least doc_id; rows in no group all stay."""
     groups = near_duplicates(docs, **params).filter("doc_id is not null")
     groups = written(groups.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "groups")
-    gone = groups.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    # the list grows with the documents: one kind of join at every size, none that turns from broadcast to shuffle
+    gone = groups.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).hint("merge")
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
     again = groups.filter("doc_id = class_id and n > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
