@@ -72,6 +72,11 @@ class Vocabulary:
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        """Drop remembered words and pairs."""
+        self.words, self.flat, self.begin = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.fits, self.solo = np.zeros(0, np.int64), np.zeros(0, np.bool_), {}
+
     def merge(self, word: bytes) -> list[int]:
         """The merge rules: always the pair of lowest rank, the leftmost of equals."""
         ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
@@ -205,6 +210,7 @@ def encode(df: DataFrame, path: str, column: str = "bpe") -> DataFrame:
             ids = [i for group in in_groups(texts) for i in vocab.encode(group)]
             return [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
 
+        compute.done = vocab.forget
         return compute
 
     return with_results(df, column, FIELDS, start)

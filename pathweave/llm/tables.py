@@ -32,7 +32,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def with_results(df: DataFrame, column: str, fields: T.StructType, start, needs: Sequence[str] = ("text",)) -> DataFrame:
     """Add struct ``column``, computed in Arrow batches from the whole of ``needs``; all other columns pass through.
 
-    ``start`` is called once per task and returns the function from those columns to a list of arrays, one per field.
+    ``start`` is called once per task and returns the function from those columns to a list of arrays, one per field; an
+    attribute ``done`` of it is called at the end of the task, as workers live on and would keep what it remembers.
     A column that already bears the name of the new one (in any case) is replaced. No shuffle.
     """
     names = fields.names
@@ -47,5 +48,6 @@ def with_results(df: DataFrame, column: str, fields: T.StructType, start, needs:
                 part = batch.slice(i, ROWS)
                 made = pa.StructArray.from_arrays(compute(*[part.column(k) for k in inputs]), names)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], made], schema.names)
+        getattr(compute, "done", lambda: None)()
 
     return df.mapInArrow(run, schema)

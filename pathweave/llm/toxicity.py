@@ -37,6 +37,8 @@ MAX_TERMS = 5_000
 FOLDS = 5
 PREFIXES = range(3, 7)
 LONGEST_TERM = 40
+#: Counts that a task holds before it passes them on.
+HELD = 150_000
 WEAK, STRONG, MIN_DOCS = 2.6, 4.0, 4
 #: Log odds count up to here; beyond, they tell more about the number of labelled rows than about the word.
 MOST_ODDS = 5.0
@@ -216,7 +218,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         for batch in batches:
             for text, fold, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 seen.update((t, fold, toxic) for t in terms_of((text or "").encode()))
-                if len(seen) > 500_000:
+                if len(seen) > HELD:
                     yield packed(seen)
                     seen.clear()
         yield packed(seen)
