@@ -4,8 +4,8 @@ Base spans are an assignment of a value to a secret's name, an access key id, an
 spans of kind ``random``: runs of 20 or more characters of the value alphabet which mix at least two of lower case, upper
 case and digits and need many tokens for their length (characters per token below ``ratio`` under a public vocabulary).
 Known digests (hexadecimal runs of the usual digest lengths) and identifiers (UUIDs, dates and numbers, dotted or
-slashed names of plain words) are excluded from the method; base spans always stay. A random run inside a base span isn't
-reported twice.
+slashed names of plain words) are excluded from the method; base spans always stay. A random run isn't reported again where base
+spans together cover all of it but plain words; if anything else lies outside them, the whole run is reported.
 
 Defined results: null counts as empty; offsets are code points, end exclusive; a text of any length is scanned whole.
 """
@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +70,7 @@ def excluded(run: str) -> bool:
     core = run.strip("+/_.=-")
     if re.fullmatch(r"[0-9a-fA-F]+", core) and (len(core) in DIGEST_LENGTHS or core.isdigit()):
         return True
-    if UUID.fullmatch(core) or all(PLAIN.fullmatch(part) for part in re.split(r"[+/_.=-]+", run)):
+    if UUID.fullmatch(core) or plain(run):
         return True
     return sum(any(map(kind, run)) for kind in (str.islower, str.isupper, str.isdigit)) < 2
 
@@ -107,16 +106,30 @@ def scan_block(block: Block, tokens, ratio: float) -> list[list[tuple[str, int,
     return found
 
 
-def kept_spans(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans by start, then kind, without random runs that touch a base span."""
-    base = sorted(s[1:] for s in found if s[0] != "random")
-    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+def plain(text: str) -> bool:
+    """Words, numbers and punctuation only."""
+    return all(PLAIN.fullmatch(part) for part in re.split(r"[+/_.=-]+", text))
 
-    def touches(a, b):
-        k = bisect_left(starts, b)
-        return k > 0 and reach[k - 1] > a
 
-    return sorted((s for s in found if s[0] != "random" or not touches(*s[1:])), key=lambda s: (s[1], KINDS.index(s[0])))
+def kept_spans(found: list[tuple[str, int, int]], text: bytes) -> list[tuple[str, int, int]]:
+    """Spans by start, then kind, without random runs of which base spans leave nothing, or only plain words."""
+    base: list[list[int]] = []
+    for a, b in sorted(s[1:] for s in found if s[0] != "random"):
+        if base and a <= base[-1][1]:
+            base[-1][1] = max(base[-1][1], b)
+        else:
+            base.append([a, b])
+    ends = [b for _, b in base]
+
+    def reported(a, b):
+        k = bisect_right(ends, a)
+        while k < len(base) and base[k][0] < b:
+            if not plain(text[a : max(a, base[k][0])].decode()):
+                return False
+            a, k = base[k][1], k + 1
+        return a >= b or (k > 0 and a == base[k - 1][1] and plain(text[a:b].decode()))
+
+    return sorted((s for s in found if s[0] != "random" or not reported(*s[1:])), key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def in_points(spans: list[tuple[str, int, int]], text: bytes) -> list[dict]:
@@ -149,7 +162,7 @@ def with_secrets(df: DataFrame, path: str, pattern: str, ratio: float = 2.0, mar
             spans, redacted = [], []
             for block in blocks(texts):
                 for i, found in enumerate(scan_block(block, tokens, ratio)):
-                    kept = kept_spans(found)
+                    kept = kept_spans(found, block.text(i))
                     spans.append(in_points(kept, block.text(i)) if kept else [])
                     redacted.append(without(block.text(i), kept, mark) if kept and mark is not None else None)
             return [pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
