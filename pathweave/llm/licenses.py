@@ -6,15 +6,26 @@ is the file's own license. A file that opens with its license (first line, or th
 name if there are several. Files without own license take that of the nearest directory above them, found by joining each directory
 with all its ancestors.
 
-Only marked lines are cut into words, and directories (not files) are joined with ancestors. The templates are a parameter
+With ``forms`` (sentences, source headers and licence texts of any length), a license may also run over several lines: at every word that
+holds a marker, the text has for each form a window of as many words as the form, laid so that the marker meets the form's first one of
+its kind; line breaks don't matter. Windows are compared by the same cosine, where words beyond the form weigh like the rarest. Tags
+``SPDX-License-Identifier:`` give their license as written, without -only, -or-later or +. The best of all counts. ``sql`` says the part
+without forms.
+
+Only marked texts are cut into words, and directories (not files) are joined with ancestors. The templates are a parameter
 of code size and are joined by broadcast where Spark measures them as small.
 
 Defined results: a null text has no header, a null path counts as the root directory's unnamed file; repeated rows get equal
-answers; of equal cosines the least license name wins; an empty template table gives no license.
+answers; of equal cosines the least license name wins; an empty template table and no forms give no license.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +46,9 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: What marks a word, as the markers do a line.
+STEMS = ("licen[cs]", "copyright", "permission")
+TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]*[A-Za-z0-9+](?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]*[A-Za-z0-9+])*)"
 WORD = r"[^\s\x{21}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}]+"
 
 
@@ -71,16 +85,78 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST) -
     return best.select("key", "license", "score", "opens")
 
 
+def form_table(forms) -> tuple[str, int]:
+    """Forms as JSON rows: license, stem, words before the first marker of that stem, length, and words with their rarity and weight; greatest length."""
+    cut = [(name, re.findall(re.sub(r"\\x\{(..)\}", r"\\x\1", WORD), text.lower())) for name, text in forms]
+    df = Counter(w for _, words in cut for w in set(words))
+    rows = []
+    for name, words in cut:
+        weights = {w: (tf, math.log((1 + len(cut)) / (1 + df[w])) + 1) for w, tf in Counter(words).items()}
+        norm = math.sqrt(sum((tf * idf) ** 2 for tf, idf in weights.values()))
+        vector = [{"word": w, "idf": idf, "weight": tf * idf / norm} for w, (tf, idf) in weights.items()]
+        for stem, pattern in enumerate(STEMS):
+            before = next((i for i, w in enumerate(words) if re.search(pattern, w)), None)
+            if before is not None:
+                rows.append({"license": name, "stem": stem, "before": before, "length": len(words), "vector": vector})
+    return json.dumps(rows), max((len(words) for _, words in cut), default=0)
+
+
+def form_licenses(files: DataFrame, forms, least: float = LEAST) -> DataFrame:
+    """(key, license, score, opens) of all windows that a form matches, and of all tags; ``files``: key, text."""
+    rows, reach = form_table(forms)
+    unseen = math.log(1 + len(forms)) + 1
+    known = F.from_json(F.lit(rows), "array<struct<license:string,stem:int,before:int,length:int,vector:array<struct<word:string,idf:double,weight:double>>>>")
+    texts = files.filter(marked(F.lower("text"))).select("key", "text").distinct()
+
+    def stem(w):
+        out = F.when(F.rlike(w, F.lit(STEMS[0])), 0)
+        for i, pattern in enumerate(STEMS[1:], 1):
+            out = out.when(F.rlike(w, F.lit(pattern)), i)
+        return out
+
+    words = texts.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).withColumn(
+        "first", F.size(F.regexp_extract_all(F.regexp_extract(F.lower("text"), r"^\s*([^\n]*)", 1), F.lit(WORD), F.lit(0))))
+    # each marker carries the words around it only, so that long texts aren't copied for each of theirs
+    hits = words.withColumn("hit", F.explode(F.filter(F.transform("words", lambda w, i: F.struct(stem(w).alias("stem"), i.alias("at"))), lambda h: h.stem.isNotNull())))
+    low = F.greatest(F.col("hit.at") - reach, F.lit(0))
+    hits = hits.select("key", "first", "hit.stem", "hit.at", low.alias("low"), F.slice("words", low + 1, F.lit(2 * reach)).alias("near"))
+    begin = lambda f: F.greatest(F.col("at") - f.before, F.lit(0))
+    window = lambda f: F.slice("near", begin(f) - F.col("low") + 1, f.length)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def possible(f):
+        """The cosine is at most the length of the part of the form whose words occur."""
+        w = F.array(window(f))
+        return F.transform(w, lambda w: total(F.transform(F.filter(f.vector, lambda v: F.array_contains(w, v.word)), lambda v: v.weight * v.weight)))[0] >= least * least - 1e-9
+
+    met = hits.withColumn("form", F.explode(F.filter(known, lambda f: (f.stem == F.col("stem")) & possible(f))))
+    f = F.col("form")
+    met = met.select("key", (begin(f) < F.col("first")).alias("opens"), f.license.alias("license"), window(f).alias("window"), f.vector.alias("vector"))
+    times = lambda w: F.size(F.filter("window", lambda x: x == w)).cast("double")
+    inside = F.filter(F.transform("vector", lambda v: F.struct((times(v.word) * v.idf).alias("x"), v.weight.alias("weight"))), lambda p: p.x > 0)
+    others = F.transform(F.array_except("window", F.transform("vector", lambda v: v.word)), lambda w: times(w) * unseen)
+    met = met.withColumn("inside", inside).withColumn("others", others)
+    norm = F.sqrt(total(F.transform("inside", lambda p: p.x * p.x)) + total(F.transform("others", lambda x: x * x)))
+    met = met.select("key", "license", F.round(total(F.transform("inside", lambda p: p.x * p.weight)) / norm, 6).alias("score"), "opens").filter(F.col("score") >= least)
+    tags = texts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "unit")).filter(F.contains(F.lower("unit"), F.lit("spdx-license-identifier:")))
+    tags = tags.select("key", F.regexp_replace(F.regexp_extract("unit", TAG, 1), r"(?i)(-only|-or-later|\+)(?=\s|$)", "").alias("license"), F.lit(1.0).alias("score"),
+                       (F.col("line") == 0).alias("opens")).filter(~F.upper("license").isin("", "NONE", "NOASSERTION"))
+    return met.union(tags)
+
+
 def directory(path: Column) -> Column:
     """Path up to the last slash, without it; '' for the root."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: DataFrame, least: float = LEAST, forms=()) -> DataFrame:
     """``files`` (doc_id, path, text) with: path, own_license, own_score, license (own or inherited), license_dir (whence), levels_up."""
     files = files.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     named = files.select("doc_id", "path", F.struct("path", F.xxhash64("text")).alias("key"), "text", directory(F.col("path")).alias("dir"))
     own = own_licenses(named, templates, least)
+    if forms:
+        own = own.union(form_licenses(named, forms, least)).groupBy("key").agg(
+            F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.max("opens").alias("opens"))
     rows = named.drop("text").join(own, "key", "left")
     speaking = own.filter("opens").select(F.col("key.path").alias("path"), "license", F.col("key").alias("k")).groupBy(
         directory(F.col("path")).alias("above")).agg(F.min_by("license", F.struct("path", "k")).alias("inherited"))

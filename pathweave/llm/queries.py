@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathweave.llm import bpe, chat, decontaminate, fingerprints, licenses, minhash, secrets, substring, toxicity, urls
+from pathweave.llm.license_forms import FORMS
 from pathweave.llm.tables import documents, table
 
 
@@ -21,7 +22,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")), licenses.template_table(spark))
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")), licenses.template_table(spark), forms=licenses.TEMPLATES + FORMS)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
