@@ -51,7 +51,7 @@ def teleport(d: Data):
 @query("j07_knn_self", f"""
 with src as (select * from fx_tracks), k as ({knn_sql('src', 5, 'demo_id, t')}) select demo_id, t, point_id, {q6('mean_knn')} as mean_knn from k""")
 def knn_self(d: Data):
-    nn = knn(d.tracks(), ["demo_id", "t"], "point_id", XYZ, 5, known_small=True)
+    nn = knn(d.tracks(), ["demo_id", "t"], "point_id", XYZ, 5)
     return nn.select("demo_id", "t", "point_id", r6(knn_mean(F.col("nn"))).alias("mean_knn"))
 
 

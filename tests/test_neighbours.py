@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathweave.operators import filters as flt
+from pathweave.operators import neighbours
 from pathweave.operators.neighbours import component_labels, knn, largest_component
+from pathweave.plans.filters import knn_self
 
 XYZ = ["xu", "yu", "zu"]
 
@@ -37,6 +39,28 @@ def test_knn_matches_brute_force(spark, limit):
             assert [(x["d2"], x["point_id"]) for x in r["nn"]] == want[r["point_id"]]
 
 
+def test_query_measures_its_frames(spark, monkeypatch):
+    """j07: a frame beyond the limit, here of 100 points, goes through the grid, not into one row."""
+    split, sizes = neighbours._split_by_size, []
+
+    def measured(df, keys, limit):
+        small, large = split(df, keys, 100)
+        sizes.append((small.count(), large.count()))
+        return small, large
+
+    monkeypatch.setattr(neighbours, "_split_by_size", measured)
+    pdf = pd.concat([cloud(1), cloud(2, 20)]).rename(columns={"g": "demo_id"}).assign(t=0)
+
+    class Frames:
+        def tracks(self):
+            return spark.createDataFrame(pdf)
+
+    got = {(r.demo_id, r.point_id): r.mean_knn for r in knn_self(Frames()).collect()}
+    assert sizes == [(50, 175)] and len(got) == len(pdf)
+    for g, part in pdf.groupby("demo_id"):
+        assert all(abs(got[g, i] - np.mean([d**0.5 for d, _ in near])) < 1e-5 for i, near in brute(part, 5).items())
+
+
 def test_component_routes_agree(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame(rng.integers(0, 400, (150, 3)), columns=XYZ).assign(g=1, point_id=np.arange(150), thr=60.0)
