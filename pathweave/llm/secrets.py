@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from pathweave.llm.tables import with_results
 from pathweave.llm.text import Block, blocks, byte_class
 
-#: The kinds in their order, and the patterns of the contract.
+#: The kinds in their order, and the patterns of the contract (on UTF-8: all their characters are ASCII).
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 8, 16, 32, 20
@@ -94,11 +94,9 @@ def scan_block(block: Block, tokens, ratio: float) -> list[list[tuple[str, int,
     lowered = whole.lower()
     wanted = {int(own(m.start())) for name in NAMES for m in re.finditer(re.escape(name), lowered)}
     for i in wanted:
-        text = block.text(i).decode()
-        for m in ASSIGN.finditer(text):
+        for m in ASSIGN.finditer(block.text(i)):
             if m.end(2) - m.start(2) >= MIN_ASSIGN:
-                a = len(text[: m.start()].encode())
-                found[i].append(("assign", a, a + m.end() - m.start()))
+                found[i].append(("assign", m.start(), m.end()))
     for i in {int(own(m.start())) for m in re.finditer(rb"AKIA", whole)}:
         for m in ACCESS.finditer(block.text(i).decode("latin-1")):
             if m.end() - m.start() >= MIN_ACCESS:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from pathweave.session import materialize, prepare
 
-#: Rows that a task works on at once.
-ROWS = 1000
+#: Rows and bytes that a task works on at once.
+ROWS, BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,25 +29,30 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return materialize(df, f"llm-{purpose}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get few rows and bytes at a time, as a row may be a long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+
+
 def with_results(df: DataFrame, column: str, fields: T.StructType, start, needs: Sequence[str] = ("text",)) -> DataFrame:
-    """Add struct ``column``, computed in Arrow batches from the whole of ``needs``; all other columns pass through.
+    """Add struct ``column``, computed in Arrow batches from the whole of ``needs``; no other column leaves the JVM.
 
-    ``start`` is called once per task and returns the function from those columns to a list of arrays, one per field; an
-    attribute ``done`` of it is called at the end of the task, as workers live on and would keep what it remembers.
+    ``start`` is called once per task and returns the function from those columns to a list of arrays, one per field.
     A column that already bears the name of the new one (in any case) is replaced. No shuffle.
     """
     names = fields.names
-    kept = [i for i, c in enumerate(df.columns) if c.lower() != column.lower()]
-    inputs = [df.columns.index(c) for c in needs]
-    schema = T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(column, fields)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         compute = start()
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                made = pa.StructArray.from_arrays(compute(*[part.column(k) for k in inputs]), names)
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], made], schema.names)
-        getattr(compute, "done", lambda: None)()
-
-    return df.mapInArrow(run, schema)
+        for arrays in batches:
+            yield pa.StructArray.from_arrays(compute(*arrays), names)
+
+    def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run((a,) for a in batches)
+
+    small_batches(df.sparkSession)
+    # said to be nondeterministic, so that a filter on the result doesn't compute it a second time
+    made = F.arrow_udf(run_one if len(needs) == 1 else run, fields).asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != column.lower()]
+    return df.select(*kept, made(*[F.col(f"`{c}`") for c in needs]).alias(column))

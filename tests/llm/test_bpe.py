@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,8 +57,26 @@ def test_greedy_words_are_corrected():
     assert wrong and [i.tolist() for i in vocab.encode(words)] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
 
 
-def test_memory_starts_anew(monkeypatch):
+def test_memory_is_thinned(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     vocab = bpe.Vocabulary(PATH)
     for text in ("one two three four five six seven", "eight nine <|endoftext|> ten", "one two"):
         assert vocab.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_pair_verdicts_and_rounds_equal_merging():
+    vocab = bpe.Vocabulary(PATH)
+    assert vocab.ordered
+    rng = np.random.default_rng(5)
+    common = np.array([i for i, t in vocab.tokens.items() if len(t) <= 3 and i not in vocab.special.values()])
+    left, right = (np.concatenate([rng.integers(0, 50_000, 3000), rng.choice(common, 3000)]) for _ in range(2))
+    reached = vocab.reachable(left) & vocab.reachable(right)
+    left, right = left[reached], right[reached]
+    merged = [vocab.merge(vocab.tokens[a] + vocab.tokens[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist())]
+    assert vocab.compatible(left, right).tolist() == merged and 0 < sum(merged) < len(merged)
+    vocab.ordered = False
+    assert vocab.compatible(left[:200], right[:200]).tolist() == merged[:200]
+    words = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in range(1, 130)]
+    assert vocab.merged(words) == [vocab.merge(w) for w in words]
+    flat, counts = vocab.propose_all(words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [vocab.propose(w) for w in words]

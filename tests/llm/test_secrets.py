@@ -77,3 +77,18 @@ def test_rest_of_a_run_beside_a_base_span(make_docs):
     assert [r.spans for r in secrets.report(docs, PATH, bpe.PATTERN).orderBy("doc_id").collect()] == [s for _, s in cases]
     hidden = [r.text for r in secrets.redact(docs, PATH, bpe.PATTERN).orderBy("doc_id").collect()]
     assert hidden == ["[SECRET]"] * 5 + ["[SECRET].tar.gz", "[SECRET]/[SECRET]", "é [SECRET] [SECRET]"]
+
+
+def test_one_long_text_full_of_hits():
+    from time import perf_counter
+
+    import pyarrow as pa
+
+    line = "tökén=ä token=Zq8LmX2vT7Rk4WpB9sNd\n"
+    text = line * 60_000
+    block = next(secrets.blocks(pa.array([text])))
+    begin = perf_counter()
+    found = [s for s in secrets.scan_block(block, secrets.encoding(PATH, bpe.PATTERN), 2.0)[0] if s[0] == "assign"]
+    assert perf_counter() - begin < 30 and len(found) == 60_000
+    points = secrets.in_points(found, block.text(0))
+    assert text[points[-1]["start"] : points[-1]["end"]] == "token=Zq8LmX2vT7Rk4WpB9sNd"
