@@ -343,19 +343,21 @@ def in_groups(texts: pa.Array, limit: int = 1 << 20):
         yield group
 
 
-def encode(df: DataFrame, path: str, column: str = "bpe") -> DataFrame:
-    """Add a struct with n_tokens and ids (little-endian unsigned 32-bit integers) of column ``text``."""
+def encode(df: DataFrame, path: str, column: str = "bpe", decoded: bool = False) -> DataFrame:
+    """Add a struct with n_tokens and ids (little-endian unsigned 32-bit integers) of column ``text``; ``decoded`` adds what the ids
+    say again, in the same worker."""
 
     def start():
         vocab = vocabulary(path)
 
         def compute(texts):
             ids = [i for group in in_groups(texts) for i in vocab.encode(group)]
-            return [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
+            out = [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
+            return [*out, pa.array(map(vocab.decode, ids), pa.string())] if decoded else out
 
         return compute
 
-    return with_results(df, column, FIELDS, start)
+    return with_results(df, column, T.StructType([*FIELDS.fields, *DECODED.fields]) if decoded else FIELDS, start)
 
 
 def decode(df: DataFrame, path: str, ids: str, column: str = "decoded") -> DataFrame:
@@ -370,9 +372,12 @@ def decode(df: DataFrame, path: str, ids: str, column: str = "decoded") -> DataF
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids = encode(docs.select("doc_id", "text"), path).select("doc_id", "bpe.*")
-    return decode(ids, path, "ids").select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded.text").cast("binary"), 256).alias("decoded_sha256"))
+    return hashed(encode(docs.select("doc_id", "text"), path, decoded=True), "doc_id")
+
+
+def hashed(encoded: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, n_tokens, ids_sha256 and decoded_sha256 of rows that were encoded and decoded."""
+    return encoded.select(*columns, "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2(F.col("bpe.text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def sha256(data: bytes) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathweave.llm import bpe, chat, decontaminate, fingerprints, licenses, minhash, secrets, substring, toxicity, urls
+from pathweave.llm import bpe, chat, decontaminate, fingerprints, licenses, merkle, minhash, negatives, pii, secrets, substring, toxicity, urls
 from pathweave.llm.license_forms import FORMS
 from pathweave.llm.tables import documents, table
 
@@ -57,6 +58,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_licenses": op2_licenses,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_pii": op11_pii,
+    "op12_merkle": op12_merkle,
+    "op13_negatives": op13_negatives,
 }
 
-SQL: dict[str, str] = {"op2_licenses": licenses.sql(), "op7_urls": urls.sql(), "op9_chat": chat.sql()}
+SQL: dict[str, str] = {"op2_licenses": licenses.sql(), "op7_urls": urls.sql(), "op9_chat": chat.sql(), "op13_negatives": negatives.sql()}

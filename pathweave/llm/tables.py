@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -35,6 +37,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_results(df: DataFrame, column: str, fields: T.StructType, start, needs: Sequence[str] = ("text",)) -> DataFrame:
     """Add struct ``column``, computed in Arrow batches from the whole of ``needs``; no other column leaves the JVM.
 
@@ -47,6 +58,7 @@ def with_results(df: DataFrame, column: str, fields: T.StructType, start, needs:
         compute = start()
         for arrays in batches:
             yield pa.StructArray.from_arrays(compute(*arrays), names)
+        give_back()
 
     def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run((a,) for a in batches)

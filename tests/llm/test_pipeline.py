@@ -14,7 +14,7 @@ from tests.llm.test_secrets import base_spans
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "benchmark_decontamination", "secret_scan", "bpe"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in entry.queries() if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_run_equals_brute_force(spark):
