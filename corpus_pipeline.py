@@ -42,10 +42,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256 and decoded_sha256 of every document that is left."""
-    path = tokenizer("byte_bpe_50k.json")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "bpe.*")
-    return bpe.decode(ids, path, "ids").select(
-        "doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded.text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer("byte_bpe_50k.json"), decoded=True)
+    return bpe.hashed(encoded, "doc_id", "lang", "source")
 
 
 STAGES = [
