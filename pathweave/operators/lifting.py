@@ -3,16 +3,15 @@ array per frame and single pixels are read by position."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import quantile_sorted
+from pathweave.functions.arrays import let, quantile, quantile_sorted
 from pathweave.functions.geometry import bilinear
 from pathweave.functions.numeric import clip
+from pathweave.operators.compose import BLOCK, follow
+from pathweave.operators.sequence import sparse_neighbour
 
 FRAME = ["demo_id", "t"]
 
@@ -69,30 +68,39 @@ def choose_nearest(prev: np.ndarray | None, xyz: np.ndarray, zs: np.ndarray, pd_
     return int(np.argmin(np.sqrt(((xyz - prev) ** 2).sum(axis=1)) + weight * pd_))
 
 
-def temporal_patch(cands: DataFrame, weight: float, percentile: float) -> DataFrame:
+def first_least(scores: Column) -> Column:
+    """Position of the least score, the first of equals."""
+    return let(scores, lambda s: F.array_position(s, F.array_min(s)).cast("int") - 1)
+
+
+def temporal_patch(cands: DataFrame, weight: float, percentile: float, block: int = BLOCK) -> DataFrame:
     """Choice that depends on the point chosen in the frame before (``cands``: demo_id, point_id, t and the arrays
     cx, cy, cz, z, pd of candidate positions).
 
-    Tracks are hash-partitioned and sorted by frame inside the partition; each task walks its rows once and keeps one
-    position per track, so memory does not grow with the length of a track. A window without candidates (a hole in the
-    depth) takes the position bx, by, bz where these columns exist, else it has none.
+    A frame maps the candidates of the frame before to its own, so tracks are composed block by block (operators.compose) and no
+    task walks a whole track. A window without candidates (a hole in the depth) takes the position bx, by, bz where these
+    columns exist, else its position is null; after a null or non-finite position the choice begins anew.
     """
-    cols = ["demo_id", "point_id", "t", "cx", "cy", "cz", "z", "pd"]
-    cands = cands.withColumns({b: F.lit(float("nan")) for b in ("bx", "by", "bz") if b not in cands.columns})
-    cols += ["bx", "by", "bz"]
-    ordered = cands.select(*cols).repartition("demo_id", "point_id").sortWithinPartitions("demo_id", "point_id", "t")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, prev = None, None
-        for b in batches:
-            picked = []
-            for demo, point, _, cx, cy, cz, z, dist, *fallback in b.itertuples(index=False, name=None):
-                if (demo, point) != key:
-                    key, prev = (demo, point), None
-                xyz = np.stack([cx, cy, cz], axis=1)
-                prev = xyz[choose_nearest(prev, xyz, z, dist, weight, percentile)] if len(xyz) else np.array(fallback, float)
-                picked.append(prev)
-            out = np.array(picked).reshape(-1, 3)
-            yield b[["demo_id", "point_id", "t"]].assign(x=out[:, 0], y=out[:, 1], z=out[:, 2])
-
-    return ordered.mapInPandas(walk, "demo_id bigint, point_id bigint, t int, x double, y double, z double")
+    key = ["demo_id", "point_id"]
+    cands = cands.withColumns({b: F.lit(None).cast("double") for b in ("bx", "by", "bz") if b not in cands.columns})
+    own = F.transform("cx", lambda x, i: F.struct(x.alias("x"), F.get("cy", i).alias("y"), F.get("cz", i).alias("z")))
+    hole = F.array(F.struct(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z")))
+    rows = cands.select(*key, "t", "z", "pd", F.when(F.size("cx") > 0, own).otherwise(hole).alias("spots"), (F.size("cx") > 0).alias("seen"))
+    rows = sparse_neighbour(rows, key, "t", "last", value="spots", previous=True)
+
+    def known(p: Column) -> Column:
+        return F.coalesce(p["x"] - p["x"] == 0, F.lit(False)) & F.coalesce(p["y"] - p["y"] == 0, F.lit(False)) & F.coalesce(p["z"] - p["z"] == 0, F.lit(False))
+
+    anew = let(quantile(F.col("z"), percentile), lambda q: first_least(F.zip_with("z", "pd", lambda z, d: F.abs(z - q) + 1e-4 * d)))
+
+    def nearest(p: Column) -> Column:
+        def apart(s):
+            return F.sqrt((s["x"] - p["x"]) * (s["x"] - p["x"]) + (s["y"] - p["y"]) * (s["y"] - p["y"]) + (s["z"] - p["z"]) * (s["z"] - p["z"]))
+
+        return first_least(F.zip_with("spots", "pd", lambda s, d: apart(s) + weight * d))
+
+    before = F.coalesce("last", F.array(F.struct(*[F.lit(None).cast("double").alias(c) for c in "xyz"])))
+    pick = F.transform(before, lambda p: F.when(~F.col("seen"), F.lit(0)).when(known(p), nearest(p)).otherwise(anew))
+    out = follow(rows.withColumn("m", pick), key, "t", "m", carry=["spots"], block=block)
+    spot = F.get("spots", F.col("after"))
+    return out.select(*key, "t", *[spot[c].alias(c) for c in "xyz"])

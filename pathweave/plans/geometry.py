@@ -348,7 +348,22 @@ def temporal_candidates(d: Data):
     return j.select("demo_id", "t", "point_id", base(0).alias("cx"), base(1).alias("cy"), base(2).alias("cz"), F.col("c.z").alias("z"), F.col("c.pd").alias("pd"))
 
 
-@query("j13_patch_depth_temporal")
+TEMPORAL = f"""
+with recursive p as (select demo_id, t, point_id, u100 / 100.0 as u, v100 / 100.0 as v, round_even(least(greatest(u100 / 100.0, 0), 15), 0)::int as cx, round_even(least(greatest(v100 / 100.0, 0), 15), 0)::int as cy from fx_uv),
+ k as (select p.demo_id, p.t, point_id, g.x as gx, g.y as gy, g.z::double as z, sqrt((g.x - u) ** 2 + (g.y - v) ** 2) as pd, (g.x - 8.0) * g.z / 100.0 as a, (g.y - 8.0) * g.z / 100.0 as b
+   from p join fx_depth g on g.demo_id = p.demo_id and g.t = p.t and g.x between cx - 1 and cx + 1 and g.y between cy - 1 and cy + 1 where g.z > 0),
+ c as (select demo_id, t, point_id, quantile_cont(z, 0.2) as q, list(struct_pack(x := {C30} * a - {S30} * b + tx, y := {S30} * a + {C30} * b + ty, z := z + tz, d := z, pd := pd) order by gy, gx) as l
+   from k join fx_camera using (demo_id, t) group by 1, 2, 3),
+ s as (select demo_id, t, point_id, q, l, row_number() over (partition by demo_id, point_id order by t) as n from p left join c using (demo_id, t, point_id)),
+ r as (select demo_id, t, point_id, n, list_sort(list_transform(l, lambda e, i: struct_pack(s := abs(e.d - q) + 1e-4 * e.pd, i := i, e := e)))[1].e as e from s where n = 1
+   union all
+   select s.demo_id, s.t, s.point_id, s.n, list_sort(list_transform(l, lambda f, i: struct_pack(s := case when e is null then abs(f.d - q) + 1e-4 * f.pd
+     else sqrt((f.x - e.x) ** 2 + (f.y - e.y) ** 2 + (f.z - e.z) ** 2) + 0.01 * f.pd end, i := i, e := f)))[1].e
+   from r join s on s.demo_id = r.demo_id and s.point_id = r.point_id and s.n = r.n + 1)
+select demo_id, t, point_id, {q6('e.x')} as x, {q6('e.y')} as y, {q6('e.z')} as z from r"""
+
+
+@query("j13_patch_depth_temporal", TEMPORAL)
 def patch_temporal(d: Data):
     out = lifting.temporal_patch(temporal_candidates(d), weight=0.01, percentile=0.2)
     return out.select("demo_id", "t", "point_id", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))

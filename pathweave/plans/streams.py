@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pathweave.functions.numeric import r6
 from pathweave.operators import segments as seg
 from pathweave.plans.fixtures import Data
-from pathweave.plans.geometry import temporal_candidates
+from pathweave.plans.geometry import TEMPORAL, temporal_candidates
 from pathweave.plans.registry import q6, query
 from pathweave.session import scratch_dir
 from pathweave.streaming import processors as proc
@@ -101,7 +101,7 @@ def stream_sessions(d: Data):
     return run_to_table(g.select("demo_id", F.unix_seconds("w.start").alias("session_start"), "n", r6("s").alias("total")), "sessions")
 
 
-@query("x06_stream_patch_temporal")
+@query("x06_stream_patch_temporal", TEMPORAL)
 def stream_patch(d: Data):
     folder = scratch_dir(d.spark, "cands")
     temporal_candidates(d).write.parquet(folder)

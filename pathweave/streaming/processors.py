@@ -111,7 +111,7 @@ def jumps(steps: DataFrame, limit: float) -> DataFrame:
 
 
 def temporal_patch(cands: DataFrame, weight: float, percentile: float) -> DataFrame:
-    """The previous-point choice of operators.lifting.temporal_patch, kept per track between batches. Empty windows have no position."""
+    """The previous-point choice of operators.lifting.temporal_patch, kept per track between batches. Empty windows have a null position."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(pdfs, ["t"])

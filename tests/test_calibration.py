@@ -104,22 +104,43 @@ def test_holes_in_the_depth_do_not_end_the_walk(spark):
     rows = [(1, 1, 0, *none), (1, 1, 1, *one), (1, 1, 2, *none), (1, 1, 3, *one)]
     df = spark.createDataFrame(rows, "demo_id bigint, point_id bigint, t int, cx array<double>, cy array<double>, cz array<double>, z array<double>, pd array<double>")
     got = {r["t"]: r["x"] for r in temporal_patch(df, 0.01, 0.2).collect()}
-    assert got[1] == got[3] == 1.0 and np.isnan(got[0]) and np.isnan(got[2])
+    assert got[1] == got[3] == 1.0 and got[0] is None and got[2] is None
     with_own = df.withColumns({b: F.lit(9.0) for b in ("bx", "by", "bz")})
     assert {r["t"]: r["x"] for r in temporal_patch(with_own, 0.01, 0.2).collect()} == {0: 9.0, 1: 1.0, 2: 9.0, 3: 1.0}
 
 
-def candidates(spark):
+def candidates(spark, tracks=4, frames=30, least=1, step=1):
     rng = np.random.default_rng(7)
     rows = []
-    for p in range(4):
-        for t in range(30):
-            n = int(rng.integers(1, 9))
+    for p in range(tracks):
+        for t in range(0, frames * step, step):
+            n = int(rng.integers(least, 9))
             c = rng.normal(size=(5, n)) + 5
             rows.append((1, p, t, *[list(map(float, r)) for r in c]))
     return spark.createDataFrame(rows, "demo_id bigint, point_id bigint, t int, cx array<double>, cy array<double>, cz array<double>, z array<double>, pd array<double>")
 
 
+def walked(df):
+    want = {}
+    for (p,), g in df.toPandas().groupby(["point_id"]):
+        prev = None
+        for r in g.sort_values("t").itertuples():
+            xyz = np.stack([r.cx, r.cy, r.cz], axis=1)
+            prev = xyz[choose_nearest(prev, xyz, np.array(r.z), np.array(r.pd), 0.01, 0.2)] if len(xyz) else None
+            want[(p, r.t)] = (None,) * 3 if prev is None else tuple(prev)
+    return want
+
+
+def test_long_tracks_with_holes_and_gaps_are_composed_by_blocks(spark):
+    # blocks of 4 of blocks of 4: four levels, with holes, missing frames and block borders inside them
+    df = candidates(spark, tracks=2, frames=300, least=0, step=3).filter("t % 7 <> 0").cache()
+    want = walked(df)
+    assert any(v[0] is None for v in want.values())
+    for block in (4, 256):
+        assert {(r["point_id"], r["t"]): (r["x"], r["y"], r["z"]) for r in temporal_patch(df, 0.01, 0.2, block=block).collect()} == want
+    assert temporal_patch(df.limit(0), 0.01, 0.2).count() == 0
+
+
 def test_temporal_choice_batch_stream_and_loop_agree(spark):
     df = candidates(spark)
     batch = {(r["point_id"], r["t"]): (r["x"], r["y"], r["z"]) for r in temporal_patch(df, 0.01, 0.2).collect()}
