@@ -8,6 +8,7 @@ from pathweave.functions.arrays import robust_upper
 from pathweave.functions.numeric import r6
 from pathweave.operators import filters as flt
 from pathweave.operators.motion import XYZ, point_motion
+from pathweave.operators.metric import nearest
 from pathweave.operators.neighbours import knn, knn_mean, largest_component
 from pathweave.plans.fixtures import Data
 from pathweave.plans.geometry import H05, reprojection_error
@@ -55,19 +56,34 @@ def knn_self(d: Data):
     return nn.select("demo_id", "t", "point_id", r6(knn_mean(F.col("nn"))).alias("mean_knn"))
 
 
+VEC_PAIRS = """select a.label, a.vec_id as point_id, b.vec_id as nb, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)) as d2
+ from v a join v b on a.label = b.label and a.vec_id <> b.vec_id"""
+VECTORS = "v as (select label, vec_id, list_transform(embedding, lambda x: round_even(x::double * 1e6, 0)) as v from embeddings)"
+
+
+def vectors(d: Data):
+    """Embeddings in millionths, all components: label, point_id, v."""
+    return d.table("embeddings").select("label", F.col("vec_id").alias("point_id"), F.transform("embedding", lambda x: F.rint(x.cast("double") * 1e6)).alias("v"))
+
+
 @query("t06_kth_neighbour", f"""
-with src as (select vec_id as point_id, label, round_even(embedding[1]::double * 1e6, 0)::bigint as xu, round_even(embedding[2]::double * 1e6, 0)::bigint as yu,
-   round_even(embedding[3]::double * 1e6, 0)::bigint as zu from embeddings)
+with {VECTORS}
 select label, point_id, nb::bigint as neighbour, {q6('sqrt(d2)')} as distance from (
-  select *, row_number() over (partition by label, point_id order by d2, nb) as r from ({pair_sql('src', 'label')})) where r = 4""")
+  select *, row_number() over (partition by label, point_id order by d2, nb) as r from ({VEC_PAIRS})) where r = 4""")
 def kth_neighbour(d: Data, k: int = 4):
-    # labels are few and their groups grow with the table: group sizes are measured, large ones use the grid
-    e = d.table("embeddings").select("label", F.col("vec_id").alias("point_id"), *[
-        F.rint(F.get("embedding", F.lit(i)).cast("double") * 1e6).cast("bigint").alias(c) for i, c in enumerate(XYZ)])
-    nn = knn(e, ["label"], "point_id", XYZ, k).withColumn("kth", F.get("nn", F.lit(k - 1))).filter("kth is not null")
+    nn = nearest(vectors(d), ["label"], "point_id", "v", k).withColumn("kth", F.get("nn", F.lit(k - 1))).filter("kth is not null")
     return nn.select("label", "point_id", F.col("kth.point_id").alias("neighbour"), r6(F.sqrt("kth.d2")).alias("distance"))
 
 
+@query("j07_knn_embeddings", f"""
+with {VECTORS}
+select label, point_id, {q6('avg(sqrt(d2))')} as mean_knn from (
+  select *, row_number() over (partition by label, point_id order by d2, nb) as r from ({VEC_PAIRS})) where r <= 5 group by 1, 2""")
+def knn_embeddings(d: Data):
+    nn = nearest(vectors(d), ["label"], "point_id", "v", 5)
+    return nn.select("label", "point_id", r6(knn_mean(F.col("nn"))).alias("mean_knn"))
+
+
 FIRST = f"""select m.*, f.xu, f.yu, f.zu, path > {MOVE} as moving, max_step > {LIMIT} and exceed >= 1 as teleport
 from ({MOTION}) m join (select demo_id, point_id, xu, yu, zu from fx_tracks where t = 0) f using (demo_id, point_id)"""
 
