@@ -171,6 +171,26 @@ def hypotheses(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], iterati
     return packed.mapInPandas(kernel, schema)
 
 
+def inliers(x: np.ndarray, y: np.ndarray, scale: np.ndarray, rot: np.ndarray, trans: np.ndarray, threshold: float) -> np.ndarray:
+    """(hypotheses, rows): whether |s R x + t - y| is within the threshold.
+
+    The squared residual is linear in |x|^2, |y|^2, x, y and their products, so all hypotheses meet all rows in one matrix product. Rows
+    so near the threshold that its rounding could decide are computed once more in the plain way.
+    """
+    n, h = len(x), len(scale)
+    xx, yy, tt = (x * x).sum(1), (y * y).sum(1), (trans * trans).sum(1)
+    rows = np.concatenate([xx[:, None], yy[:, None], np.ones((n, 1)), x, y, (y[:, :, None] * x[:, None, :]).reshape(n, 9)], axis=1)
+    back = np.einsum("hji,hj->hi", rot, trans)
+    fits = np.concatenate([(scale**2)[:, None], np.ones((h, 1)), tt[:, None], 2 * scale[:, None] * back, -2 * trans, -2 * scale[:, None] * rot.reshape(h, 9)], axis=1)
+    r2 = fits @ rows.T
+    inside = r2 <= threshold**2
+    doubt = 1e-12 * (scale**2 * xx.max(initial=0.0) + tt + yy.max(initial=0.0) + threshold**2)
+    k, i = np.nonzero(np.abs(r2 - threshold**2) <= doubt[:, None])
+    plain = scale[k, None] * np.einsum("pij,pj->pi", rot[k], x[i]) + trans[k] - y[i]
+    inside[k, i] = (plain * plain).sum(1) <= threshold**2
+    return inside
+
+
 def score(corr: DataFrame, hyps: DataFrame, keys: Sequence[str], ids: Sequence[str], threshold: float) -> DataFrame:
     """(keys, h, n_in, same): inliers of each hypothesis among all correspondences, and a digest of which they are.
 
@@ -181,26 +201,21 @@ def score(corr: DataFrame, hyps: DataFrame, keys: Sequence[str], ids: Sequence[s
     sizes = corr.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("__k"))
     mark = F.xxhash64(*ids)
     blocks = corr.join(sizes, keys).groupBy(*keys, F.pmod(mark, F.col("__k")).alias("__blk")).agg(
-        F.collect_list(F.struct(mark.alias("m"), *SRC, *DST)).alias("c"))
+        F.collect_list(F.struct(F.shiftrightunsigned(mark, 33).alias("m"), *SRC, *DST)).alias("c"))
     rows = blocks.join(hyps, keys).select(*keys, *[F.col(f"c.{c}").alias(c) for c in ("m", *SRC, *DST)], "hs", "hr", "ht")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(len(b)):
-                r = b.iloc[i]
-                x, y = (np.stack([r[c] for c in cols], axis=1) for cols in (SRC, DST))
-                s, rot, trans = r["hs"], r["hr"].reshape(-1, 3, 3), r["ht"].reshape(-1, 3)
-                n_in, same = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-                for h in range(0, len(s), 64):  # bounded memory: 64 hypotheses by a block
-                    part = slice(h, h + 64)
-                    pred = s[part, None, None] * np.einsum("ni,hji->hnj", x, rot[part]) + trans[part, None, :]
-                    inside = ((pred - y[None]) ** 2).sum(axis=2) <= threshold**2
-                    n_in[part] = inside.sum(axis=1)
-                    same[part] = np.bitwise_xor.reduce(np.where(inside, r["m"], 0), axis=1)
-                yield pd.DataFrame({**{k: [r[k]] * len(s) for k in keys}, "h": np.arange(len(s)), "n_in": n_in, "same": same})[np.isfinite(s)]
+            for *own, m, x, y, z, u, v, w, s, rot, trans in b[[*keys, "m", *SRC, *DST, "hs", "hr", "ht"]].itertuples(index=False, name=None):
+                x, y, rot, trans = np.stack([x, y, z], axis=1), np.stack([u, v, w], axis=1), rot.reshape(-1, 3, 3), trans.reshape(-1, 3)
+                # counts, and sums of 31-bit marks, which are exact in doubles
+                weights = np.stack([np.ones(len(m)), m.astype(np.float64)], axis=1)
+                sums = [inliers(x, y, s[h : h + 128], rot[h : h + 128], trans[h : h + 128], threshold).astype(np.float64) @ weights for h in range(0, len(s), 128)]
+                n_in, same = np.concatenate(sums).astype(np.int64).T
+                yield pd.DataFrame({**{k: [o] * len(s) for k, o in zip(keys, own)}, "h": np.arange(len(s)), "n_in": n_in, "same": same})[np.isfinite(s)]
 
     schema = T.StructType([rows.schema[k] for k in keys] + list(T._parse_datatype_string("h int, n_in bigint, same bigint").fields))
-    return rows.mapInPandas(kernel, schema).groupBy(*keys, "h").agg(F.sum("n_in").alias("n_in"), F.bit_xor("same").alias("same"))
+    return rows.mapInPandas(kernel, schema).groupBy(*keys, "h").agg(F.sum("n_in").alias("n_in"), F.sum("same").alias("same"))
 
 
 def leaders(corr: DataFrame, hyps: DataFrame, keys: Sequence[str], ids: Sequence[str], threshold: float) -> DataFrame:

@@ -72,6 +72,18 @@ def test_scores_equal_a_loop_over_hypotheses(spark):
     assert max(got.values()) > 150
 
 
+def test_one_product_decides_like_plain_residuals():
+    rng = np.random.default_rng(8)
+    x, y, rot = planted(3000, outliers=0.5, seed=9)
+    x, y = x * 1000 + 50_000, y * 1000 - 90_000
+    scale, turn, trans = rng.normal(1.7, 0.1, 40), np.repeat(rot[None], 40, axis=0), rng.normal(size=(40, 3)) * 1000
+    plain = ((scale[:, None, None] * np.einsum("hij,nj->hni", turn, x) + trans[:, None] - y) ** 2).sum(2)
+    limit = float(np.sqrt(np.median(plain)))
+    assert (cal.inliers(x, y, scale, turn, trans, limit) == (plain <= limit**2)).mean() > 1 - 1e-5
+    exact = cal.inliers(np.array([[1.0, 0, 0]] * 2), np.array([[4.0, 0, 0], [4.0, 1e-7, 0]]), np.ones(1), np.eye(3)[None], np.zeros((1, 3)), 3.0)
+    assert exact.tolist() == [[True, False]]
+
+
 def test_draws_are_different_rows():
     for pool in (3, 4, 5, 7, 100, 2048):
         at = cal.draw_positions(pool, 200, 1)
