@@ -1,13 +1,17 @@
 """Order MinHash: fingerprints that follow the edit distance, as they keep the order of the chosen k-mers.
 
 K-mers are KMER consecutive words (runs without white space, cut into pieces of PIECE characters), each numbered by how often it has
-occurred before in the text. Their hashes deal them over BUCKETS; every bucket keeps its LENGTH least k-mers, puts them in text order, and hashes that tuple. Dealing
-by one hash stands for independent draws and reads each k-mer once. To keep sorting short, only hashes below a rank limit take part,
-set so that a bucket expects FILL candidates; a bucket with fewer than LENGTH keeps what it has.
+occurred before in the text. One hash deals them over BUCKETS. A bucket ranks its own k-mers by that hash and, behind them, all others of the text by a
+hash of its own; it takes the LENGTH least, puts them in text order, and hashes that tuple. So long texts read each k-mer once, and in short texts,
+where buckets have few k-mers of their own, the ranking of every bucket is an independent one over the whole text and order counts at every length.
+
+Sorting is kept short by a first try with the hashes below a limit, at which a bucket expects FILL candidates; the buckets that get fewer than LENGTH that
+way are ranked over all k-mers. FILL changes the work, not the result.
 
 The likeness of two fingerprints is the share of buckets, of those filled in either, whose tuples are equal (1 for equal fingerprints, empty ones too).
 
-Defined results: null counts as an empty text, whose fingerprint is empty; texts with fewer words than KMER are one k-mer. Documents are ordered by doc_id, null
+Defined results: null counts as an empty text, whose fingerprint is empty; texts with fewer words than KMER are one k-mer, and
+buckets of a text with fewer k-mers than LENGTH hash what there is. Documents are ordered by doc_id, null
 as the least, equal ids by text; a row that repeats an id follows its twin. The only document of a table is its own next one.
 """
 
@@ -19,14 +23,15 @@ from pyspark.sql import functions as F
 
 from pathweave.llm.tables import documents
 
-KMER, LENGTH, BUCKETS, FILL, PIECE = 3, 2, 64, 6, 12
+KMER, LENGTH, BUCKETS, FILL, PIECE = 3, 2, 64, 8, 12
 #: Documents are put in order within buckets of 2^ID_BITS ids, these within 2^GROUP_BITS buckets.
 ID_BITS, GROUP_BITS = 8, 12
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: one number per filled bucket (the bucket above 32 bits of the tuple's hash), by bucket."""
-    words, kmers, ranked, least, chosen, ordered = (f"__{out}_{x}" for x in ("words", "kmers", "ranked", "least", "chosen", "ordered"))
+def fingerprint(df: DataFrame, text: str, out: str, fill: int = FILL) -> DataFrame:
+    """Add ``out``: one number per bucket (the bucket above 32 bits of the tuple's hash), by bucket; none for a text without words."""
+    words, kmers, ranked, least, chosen, short, ordered = (
+        f"__{out}_{x}" for x in ("words", "kmers", "ranked", "least", "chosen", "short", "ordered"))
     n = F.size(words)
     df = df.withColumn(words, F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0)))
     df = df.withColumn(kmers, F.when(n >= KMER, F.transform(
@@ -35,17 +40,44 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # texts without a repeated k-mer need no sort to number them
     first = F.transform(kmers, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("v"), i.alias("p")))
     df = df.withColumn(ranked, F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), first).otherwise(numbered(F.col(kmers))))
-    limit = F.least(F.lit(1.0), F.lit(float(BUCKETS * FILL)) / F.size(ranked)) * float(1 << 53)
+    limit = F.least(F.lit(1.0), F.lit(float(BUCKETS * fill)) / F.size(ranked)) * float(1 << 53)
     low = F.filter(ranked, lambda x: F.shiftrightunsigned(x.v, 11) < limit)
     df = df.withColumn(least, F.sort_array(F.transform(low, lambda x: F.struct(
-        x.v.bitwiseAND(F.lit(BUCKETS - 1)).alias("b"), F.shiftrightunsigned(x.v, 11).alias("r"), x.p.alias("p"), x.v.alias("v")))))
+        own_bucket(x.v).alias("b"), F.shiftrightunsigned(x.v, 11).alias("r"), x.p.alias("p"), x.v.alias("v")))))
     df = df.withColumn(chosen, F.filter(least, lambda x, i: (i < LENGTH) | (F.get(F.col(least), i - LENGTH).b != x.b)))
-    df = df.withColumn(ordered, F.sort_array(F.transform(chosen, lambda x: F.struct(x.b, x.p, x.v))))
+    full = F.transform(F.filter(chosen, lambda x, i: F.get(F.col(chosen), i + LENGTH - 1).b == x.b), lambda x: x.b)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))
+    df = df.withColumn(short, F.when(F.size(ranked) == 0, F.array().cast("array<bigint>")).otherwise(F.array_except(every, full)))
+    found = F.transform(chosen, lambda x: F.struct(x.b.alias("b"), x.p.alias("p"), x.v.alias("v")))
+    drawn = F.flatten(F.transform(short, lambda b: draw(F.col(ranked), b)))
+    # what a short bucket had found is drawn again: equal entries become neighbours
+    df = df.withColumn(ordered, F.sort_array(F.concat(found, drawn)))
+    df = df.withColumn(ordered, F.filter(ordered, lambda x, i: (i == 0) | (F.get(F.col(ordered), i - 1) != x)))
     own = F.filter(F.transform(ordered, lambda x, i: F.when(
         (i == 0) | (F.get(F.col(ordered), i - 1).b != x.b),
         F.shiftleft(x.b, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.transform(F.filter(
             F.slice(F.col(ordered), i + 1, LENGTH), lambda y: y.b == x.b), lambda y: y.v)), 32)))), lambda x: x.isNotNull())
-    return df.withColumn(out, own).drop(words, kmers, ranked, least, chosen, ordered)
+    return df.withColumn(out, own).drop(words, kmers, ranked, least, chosen, short, ordered)
+
+
+def own_bucket(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def draw(ranked: Column, b: Column) -> Column:
+    """The LENGTH least k-mers of a bucket: its own by their hash, then the others by a hash for this bucket (above 53 bits)."""
+    ranks = F.transform(ranked, lambda x: F.when(own_bucket(x.v) == b, F.shiftrightunsigned(x.v, 11)).otherwise(
+        F.shiftrightunsigned(F.xxhash64(x.v, b), 11) + F.lit(1 << 53)))
+
+    def pick(r):
+        ends = [F.array_min(r)]
+        for _ in range(LENGTH - 1):
+            before = ends[-1]
+            ends.append(let(before, lambda e: F.array_min(F.filter(r, lambda x: x > e))))
+        return F.transform(F.filter(F.array(*ends), lambda e: e.isNotNull()), lambda e: let(
+            F.element_at(ranked, F.array_position(r, e).cast("int")), lambda x: F.struct(b.alias("b"), x.p.alias("p"), x.v.alias("v"))))
+
+    return let(ranks, pick)
 
 
 def numbered(kmers: Column) -> Column:

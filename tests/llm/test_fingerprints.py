@@ -26,15 +26,11 @@ def sign(text):
     for p, k in enumerate(kmers):
         ranked.append((h(as_long(k), ("i", seen.get(k, 0))), p))
         seen[k] = seen.get(k, 0) + 1
-    limit = min(1.0, 64 * 6.0 / max(1, len(ranked))) * 2**53
-    buckets = {}
-    for v, p in ranked:
-        if v >> 11 < limit:
-            buckets.setdefault(v & 63, []).append((v >> 11, p, v))
     out = []
-    for b, xs in sorted(buckets.items()):
-        chosen = sorted(sorted(xs)[:2], key=lambda x: x[1])
-        out.append(b << 32 | h(*(as_long(v) for _, _, v in chosen)) >> 32)
+    for b in range(64 if ranked else 0):
+        rank = lambda x: (x[0] & 63 != b, (x[0] if x[0] & 63 == b else h(as_long(x[0]), ("q", b))) >> 11)
+        chosen = sorted(sorted(ranked, key=rank)[:2], key=lambda x: x[1])
+        out.append(b << 32 | h(*(as_long(v) for v, _ in chosen)) >> 32)
     return out
 
 
@@ -77,12 +73,33 @@ def test_odd_rows_and_far_ids(edge_docs, no_docs, make_docs):
     assert rows(fp.fingerprints(make_docs(far))) == brute(far)
 
 
-def test_order_matters(make_docs):
+def test_order_matters_at_every_length(spark):
     rng = random.Random(4)
-    blocks = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
-    text, shuffled = " ".join(blocks), " ".join(rng.sample(blocks, 12))
-    a, b, c = sign(text), sign(shuffled), sign(text.replace(blocks[3], ""))
-    assert alike(a, c) > 0.6 > alike(a, b)
+    sizes = (30, 53, 100, 146, 250, 480)
+    texts, swapped = [], []
+    for size in sizes:
+        for _ in range(10):
+            words = [f"w{x}" for x in rng.sample(range(10**6), size)]
+            texts.append(" ".join(words))
+            swapped.append(" ".join(words[size // 2 :] + words[: size // 2]))
+    docs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, swapped))], "doc_id long, a string, b string")
+    both = fp.fingerprint(fp.fingerprint(docs, "a", "x"), "b", "y")
+    near = {r.doc_id: r.near for r in both.select("doc_id", fp.likeness("x", "y").alias("near")).collect()}
+    for k, size in enumerate(sizes):
+        assert sum(near[k * 10 + i] for i in range(10)) / 10 < 0.53, size
+
+
+def test_deletions_keep_most():
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(480)]
+    assert alike(sign(" ".join(words)), sign(" ".join(words[:200] + words[220:]))) > 0.7
+
+
+def test_the_first_try_changes_no_result(make_docs):
+    rng = random.Random(6)
+    docs = make_docs([(i, " ".join(rng.choice("abcdefghijkl") * rng.randrange(1, 4) for _ in range(n))) for i, n in enumerate([0, 1, 3, 4, 60, 700, 3000])])
+    got = [fp.fingerprint(docs, "text", "x", fill).select("doc_id", "x").orderBy("doc_id").collect() for fill in (1, 8, 1000)]
+    assert got[0] == got[1] == got[2] and [len(r.x) for r in got[0]] == [0] + [64] * 6
 
 
 def test_no_python_runs(spark, sf_dir):
