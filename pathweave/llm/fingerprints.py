@@ -40,19 +40,25 @@ def fingerprint(df: DataFrame, text: str, out: str, fill: int = FILL) -> DataFra
     # texts without a repeated k-mer need no sort to number them
     first = F.transform(kmers, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("v"), i.alias("p")))
     df = df.withColumn(ranked, F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), first).otherwise(numbered(F.col(kmers))))
-    limit = F.least(F.lit(1.0), F.lit(float(BUCKETS * fill)) / F.size(ranked)) * float(1 << 53)
-    low = F.filter(ranked, lambda x: F.shiftrightunsigned(x.v, 11) < limit)
+    low = let(rank_below(fill * BUCKETS, F.size(ranked)), lambda m: F.filter(ranked, lambda x: F.shiftrightunsigned(x.v, 11) < m))
     df = df.withColumn(least, F.sort_array(F.transform(low, lambda x: F.struct(
         own_bucket(x.v).alias("b"), F.shiftrightunsigned(x.v, 11).alias("r"), x.p.alias("p"), x.v.alias("v")))))
     df = df.withColumn(chosen, F.filter(least, lambda x, i: (i < LENGTH) | (F.get(F.col(least), i - LENGTH).b != x.b)))
     full = F.transform(F.filter(chosen, lambda x, i: F.get(F.col(chosen), i + LENGTH - 1).b == x.b), lambda x: x.b)
     every = F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))
     df = df.withColumn(short, F.when(F.size(ranked) == 0, F.array().cast("array<bigint>")).otherwise(F.array_except(every, full)))
-    found = F.transform(chosen, lambda x: F.struct(x.b.alias("b"), x.p.alias("p"), x.v.alias("v")))
-    drawn = F.flatten(F.transform(short, lambda b: draw(F.col(ranked), b)))
-    # what a short bucket had found is drawn again: equal entries become neighbours
-    df = df.withColumn(ordered, F.sort_array(F.concat(found, drawn)))
+    found = F.transform(chosen, lambda x: F.struct(x.b.alias("b"), F.lit(0).alias("far"), x.r.alias("r"), x.p.alias("p"), x.v.alias("v")))
+    far = let(rank_below(fill, F.size(ranked)), lambda m: F.flatten(F.transform(short, lambda b: draw(F.col(ranked), b, m))))
+    # a first try that left k-mers out has not seen all that are a bucket's own
+    rest = F.when(F.size(ranked) > fill * BUCKETS, F.flatten(F.transform(short, lambda b: F.transform(
+        F.filter(ranked, lambda x: own_bucket(x.v) == b),
+        lambda x: F.struct(b.alias("b"), F.lit(0).alias("far"), F.shiftrightunsigned(x.v, 11).alias("r"), x.p.alias("p"), x.v.alias("v")))))).otherwise(
+        F.slice(found, 1, 0))
+    # what was found twice becomes neighbours
+    df = df.withColumn(ordered, F.sort_array(F.concat(found, rest, far)))
     df = df.withColumn(ordered, F.filter(ordered, lambda x, i: (i == 0) | (F.get(F.col(ordered), i - 1) != x)))
+    df = df.withColumn(ordered, F.filter(ordered, lambda x, i: (i < LENGTH) | (F.get(F.col(ordered), i - LENGTH).b != x.b)))
+    df = df.withColumn(ordered, F.sort_array(F.transform(ordered, lambda x: F.struct(x.b.alias("b"), x.p.alias("p"), x.v.alias("v")))))
     own = F.filter(F.transform(ordered, lambda x, i: F.when(
         (i == 0) | (F.get(F.col(ordered), i - 1).b != x.b),
         F.shiftleft(x.b, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.transform(F.filter(
@@ -64,20 +70,19 @@ def own_bucket(v: Column) -> Column:
     return v.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def draw(ranked: Column, b: Column) -> Column:
-    """The LENGTH least k-mers of a bucket: its own by their hash, then the others by a hash for this bucket (above 53 bits)."""
-    ranks = F.transform(ranked, lambda x: F.when(own_bucket(x.v) == b, F.shiftrightunsigned(x.v, 11)).otherwise(
-        F.shiftrightunsigned(F.xxhash64(x.v, b), 11) + F.lit(1 << 53)))
+def rank_below(wanted: int, n: Column) -> Column:
+    """The 53-bit rank below which ``wanted`` of n are expected."""
+    return (F.least(F.lit(1.0), F.lit(float(wanted)) / F.greatest(n, F.lit(1))) * float(1 << 53)).cast("bigint")
 
-    def pick(r):
-        ends = [F.array_min(r)]
-        for _ in range(LENGTH - 1):
-            before = ends[-1]
-            ends.append(let(before, lambda e: F.array_min(F.filter(r, lambda x: x > e))))
-        return F.transform(F.filter(F.array(*ends), lambda e: e.isNotNull()), lambda e: let(
-            F.element_at(ranked, F.array_position(r, e).cast("int")), lambda x: F.struct(b.alias("b"), x.p.alias("p"), x.v.alias("v"))))
 
-    return let(ranks, pick)
+def draw(ranked: Column, b: Column, m: Column) -> Column:
+    """The LENGTH least k-mers of a text by the hash for bucket b, but for the bucket's own; those below rank m are tried first."""
+    rank = lambda x: F.shiftrightunsigned(F.xxhash64(x.v, b), 11)
+    few = F.filter(ranked, lambda x: rank(x) < m)
+    least = let(few, lambda some: F.slice(F.sort_array(F.transform(
+        F.when(F.size(some) < LENGTH, ranked).otherwise(some), lambda x: F.struct(rank(x).alias("r"), x.p.alias("p"), x.v.alias("v")))), 1, LENGTH))
+    return F.transform(F.filter(least, lambda x: own_bucket(x.v) != b), lambda x: F.struct(
+        b.alias("b"), F.lit(1).alias("far"), x.r.alias("r"), x.p.alias("p"), x.v.alias("v")))
 
 
 def numbered(kmers: Column) -> Column:
