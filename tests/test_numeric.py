@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pathweave.functions import arrays as arr
 from pathweave.functions.numeric import all_finite, is_finite, r6, round_half_even
 from pathweave.functions import text as tx
-from pathweave.operators.quantile import exact_quantiles
+from pathweave.operators.quantile import exact_mad, exact_quantiles
 
 
 def test_rounding_is_half_even(spark):
@@ -50,6 +50,34 @@ def test_exact_quantiles_match_numpy(spark):
     assert np.isclose(whole["m"], np.median(v))
 
 
+def test_selection_narrows_crowded_buckets(spark):
+    rng = np.random.default_rng(6)
+    # one hot group of a constant plus noise (one bucket holds nearly all), equal values, infinities, tiny and negative numbers
+    groups = {0: 7.0 + rng.normal(0, 1e-9, 4000), 1: np.repeat([3.0, 3.0 + 1e-15, -3.0], 200), 2: np.array([np.inf, -np.inf, 1.0, 2.0, 3.0]),
+              3: np.array([5e-324, 1e-323, -5e-324, 0.0]), 4: np.array([1.0]), 5: np.nextafter(1.0, 2.0) * np.ones(9)}
+    df = spark.createDataFrame(pd.DataFrame([(k, float(x)) for k, v in groups.items() for x in v], columns=["k", "v"]))
+    df = df.unionByName(spark.createDataFrame([(0, None), (6, None), (4, float("nan"))], "k bigint, v double"))
+    probs = {"a": 0.02, "b": 0.5, "c": 0.51, "d": 0.98}
+    for limit in (1, 64, 1 << 16):
+        got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, limit=limit).collect()}
+        low = {r.k: r.m for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}, disc=True, limit=limit).collect()}
+        assert set(got) == set(low) == set(groups)
+        for k, v in groups.items():
+            assert low[k] == np.sort(v)[(len(v) - 1) // 2]
+            if k != 2:
+                np.testing.assert_allclose([got[k][c] for c in probs], np.quantile(v, list(probs.values())), rtol=1e-15, atol=1e-323)
+        assert got[2].b == 2.0
+    assert exact_quantiles(df.filter("false"), ["k"], "v", probs).collect() == []
+
+
+def test_median_absolute_deviation(spark):
+    rng = np.random.default_rng(7)
+    v = {k: 5.0 + rng.normal(0, 10.0 ** -k, 50 + k) for k in range(4)}
+    df = spark.createDataFrame(pd.DataFrame([(k, x) for k, xs in v.items() for x in xs], columns=["k", "v"]))
+    for r in exact_mad(df, ["k"], "v", limit=8).collect():
+        assert np.isclose(r.med, np.median(v[r.k]), rtol=1e-14) and np.isclose(r.mad, np.median(np.abs(v[r.k] - np.median(v[r.k]))), rtol=1e-12)
+
+
 def test_names(spark):
     df = spark.createDataFrame([("KITCHEN_SCENE3_pick_up_the_red_cup_demo_tracks",), ("Put the two bowls onto the plate, and then wait.",)], "s string")
     a, b = df.select(tx.normalize_instruction(F.col("s")), tx.object_phrase(F.col("s"))).collect()
