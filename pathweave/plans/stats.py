@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions.arrays import let, quantile, robust_upper
 from pathweave.functions.numeric import all_finite, norm, r6, round_half_even
+from pathweave.operators.audit import Limits, audit
 from pathweave.operators.motion import clamped_std, forward_flow, point_motion, steps_between
 from pathweave.operators.quantile import exact_quantiles
 from pathweave.plans.fixtures import Data
@@ -183,6 +184,41 @@ def audit_quality(d: Data):
                     (reasons != "").alias("is_bad"))
 
 
+AUDIT_KEYS = ("actions", "point_traj")
+
+
+@query("a06_audit_reasons", f"""
+with x as (select demo_id, t, point_id, case when demo_id % 9 = 2 and t = 1 and point_id = 3 then 'nan'::double else xu::double end as xu, yu, zu
+           from fx_tracks where demo_id % 9 <> 4 or t = 0),
+     s as (select *, sqrt((xu - lag(xu) over w) ** 2 + (yu - lag(yu) over w) ** 2 + (zu - lag(zu) over w) ** 2) as step
+           from x window w as (partition by demo_id, point_id order by t)),
+     p as (select demo_id, point_id, max(step) filter (not isnan(step)) as ms, count(*) as frames, bool_and(isfinite(xu)) as fin from s group by 1, 2),
+     u as (select demo_id, count(distinct (round_even(xu / 1e3, 0), round_even(yu / 1e3, 0), round_even(zu / 1e3, 0))) as uniq from x where t = 0 group by 1),
+     a as (select demo_id, count(*) as n, max(frames) as frames, max(ms) as max_step, quantile_cont(ms, 0.95) as p95, bool_and(fin) as fin from p group by 1),
+     k as (select demo_id, concat_ws(';', {", ".join(f"case when not coalesce(bool_or(key_name = '{x}'), false) then 'missing:{x}' end" for x in AUDIT_KEYS)}) as miss
+           from fx_demo left join fx_catalog using (demo_id) group by 1),
+     c as (select demo_id, case when demo_id % 6 <> 1 then 24 - demo_id % 5 end as ic, case when demo_id % 7 <> 3 then demo_id % 4 end as cc from fx_demo),
+     j as (select *, miss = '' as there, miss = '' and frames >= 2 as ok, uniq / n as ur, ic / n as ir, cc / n as cr
+           from k join c using (demo_id) join a using (demo_id) join u using (demo_id)),
+     r as (select *, case when not there then miss when not ok then 'bad_shape' else concat_ws(';', case when not fin then 'nonfinite' end,
+             case when ic is null then 'missing_filter_inlier_attr' end, case when cc is null then 'missing_filter_changed_attr' end,
+             case when max_step > {MAX_STEP} then 'max_step' end, case when ur < {MIN_UNIQUE} then 'low_unique0' end,
+             case when ir < {MIN_INLIER} then 'low_inlier' end, case when cr > {MAX_CHANGED} then 'too_many_replaced' end) end as bad_reasons from j)
+select demo_id, case when there then frames || 'x' || n || 'x3' end as shape, case when ok then fin end as finite, (case when ok then n end)::bigint as num_points,
+  {q6('case when ok then max_step end')} as max_step, {q6('case when ok then p95 end')} as p95_point_max_step, (case when ok then uniq end)::bigint as unique0,
+  {q6('case when ok then ur end')} as unique0_ratio, (case when ok then ic end)::bigint as inlier_count, {q6('case when ok then ir end')} as inlier_ratio,
+  (case when ok then cc end)::bigint as changed_count, {q6('case when ok then cr end')} as changed_ratio, bad_reasons, bad_reasons <> '' as is_bad from r""")
+def audit_reasons(d: Data):
+    # some demos hold a coordinate that is no number, some only their first frame, some lack keys or a filter's stored counts
+    x = d.tracks().filter((F.col("demo_id") % 9 != 4) | (F.col("t") == 0)).withColumn("xu", F.when(
+        (F.col("demo_id") % 9 == 2) & (F.col("t") == 1) & (F.col("point_id") == 3), float("nan")).otherwise(F.col("xu").cast("double")))
+    counts = d.demo().select("demo_id", F.when(F.col("demo_id") % 6 != 1, 24 - F.col("demo_id") % 5).alias("inlier_count"),
+                             F.when(F.col("demo_id") % 7 != 3, F.col("demo_id") % 4).alias("changed_count"))
+    a = audit(d.demo(), d.catalog(), x, counts, AUDIT_KEYS, Limits(MAX_STEP, MIN_UNIQUE, MIN_INLIER, MAX_CHANGED))
+    rounded = ("max_step", "p95_point_max_step", "unique0_ratio", "inlier_ratio", "changed_ratio")
+    return a.select(*[r6(c).alias(c) if c in rounded else F.col(c) for c in a.columns])
+
+
 def pair_error(d: Data):
     tr = d.tracks()
     # target rows are a function of the source rows here; the join itself is query j01_pair_variants

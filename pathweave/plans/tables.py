@@ -363,7 +363,15 @@ def cap_per_class(d: Data, n_success: int = 5, n_fail: int = -1):
 with track as (select demo_id, 1 + demo_id % 4 as st from fx_demo), tl as (select d.demo_id, case when demo_id % 11 = 0 then t_len - 3 else (t_len + st - 1) // st end as n, st, t_len from fx_demo d join track using (demo_id))
 select demo_id, case when n = t_len then 'same_length' when demo_id % 11 <> 0 then case when demo_id % 5 = 0 then 'inferred_stride_' || st else 'matched_actions_stride_' || st end else 'linspace_fallback' end as method from tl""")
 def infer_stride(d: Data):
-    """The track's actions are every st-th action of the source (spoilt for some demos); the stride is found again."""
+    n, _, _ = strided(d)
+    return n.select("demo_id", "method")
+
+
+def strided(d: Data):
+    """The track's actions are every st-th action of the source (spoilt for some demos); the stride is found again.
+
+    Returns one row per demo (n, t_len, method, stride: null for linspace), the track's rows and those of the source.
+    """
     src = d.steps().select("demo_id", "t", F.col("value").alias("a")).join(d.demo().select("demo_id", "t_len"), "demo_id")
     st = 1 + F.col("demo_id") % 4
     odd = F.col("demo_id") % 11 == 0
@@ -375,9 +383,28 @@ def infer_stride(d: Data):
     pairs = cand.join(tr, "demo_id").withColumn("t", F.col("i") * F.col("stride")).join(src.select("demo_id", "t", "a"), ["demo_id", "t"])
     close = pairs.groupBy("demo_id", "stride").agg(F.bool_and(F.abs(F.col("a") - F.col("b")) <= 1e-5 + 1e-5 * F.abs("b")).alias("close"))
     best = close.groupBy("demo_id").agg(F.min(F.when(F.col("close"), F.col("stride"))).alias("m"), F.min("stride").alias("i"))
-    method = (F.when(F.col("n") == F.col("t_len"), "same_length").when(F.col("m").isNotNull(), F.concat(F.lit("matched_actions_stride_"), "m"))
+    same = F.col("n") == F.col("t_len")
+    method = (F.when(same, "same_length").when(F.col("m").isNotNull(), F.concat(F.lit("matched_actions_stride_"), "m"))
               .when(F.col("i").isNotNull(), F.concat(F.lit("inferred_stride_"), "i")).otherwise("linspace_fallback"))
-    return n.join(best, "demo_id", "left").select("demo_id", method.alias("method"))
+    n = n.join(best, "demo_id", "left").select("demo_id", "n", "t_len", method.alias("method"), F.when(same, 1).otherwise(F.coalesce("m", "i")).alias("stride"))
+    return n, tr, src
+
+
+@query("j19_aligned_rows", """
+with track as (select demo_id, 1 + demo_id % 4 as st from fx_demo),
+ tl as (select d.demo_id, case when demo_id % 11 = 0 then t_len - 3 else (t_len + st - 1) // st end as n, st, t_len from fx_demo d join track using (demo_id)),
+ r as (select *, unnest(range(n)) as i from tl),
+ x as (select demo_id, i, case when n = t_len then i when demo_id % 11 <> 0 then i * st when n = 1 then 0 else round_even(i * ((t_len - 1) / (n - 1)), 0) end::bigint as t,
+   case when n = t_len then 'same_length' when demo_id % 11 <> 0 then case when demo_id % 5 = 0 then 'inferred_stride_' || st else 'matched_actions_stride_' || st end else 'linspace_fallback' end as method from r)
+select x.demo_id, x.i::bigint as i, x.t, s.value, x.method from x join fx_steps s on s.demo_id = x.demo_id and s.t = x.t""")
+def aligned_rows(d: Data):
+    """Every frame of the track with the source frame it is aligned with and that frame's value."""
+    n, tr, src = strided(d)
+    at = tr.select("demo_id", F.col("i").cast("bigint").alias("i")).join(n, "demo_id")
+    even = F.when(F.col("n") > 1, F.rint(F.col("i") * ((F.col("t_len") - 1) / F.greatest(F.col("n") - 1, F.lit(1))))).otherwise(0.0)
+    at = at.withColumn("t", F.coalesce(F.col("i") * F.col("stride"), even.cast("bigint")))
+    rows = src.select("demo_id", F.col("t").cast("bigint").alias("t"), F.col("a").alias("value"))
+    return at.join(rows, ["demo_id", "t"]).select("demo_id", "i", "t", "value", "method")
 
 
 @query("j21_paired_frames", "select demo_id, t from fx_steps where event_type <> 'error' and event_id % 4 <> 0")
