@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import robust_upper
-from pathweave.functions.numeric import hash_u32, text
+from pathweave.functions.numeric import all_finite, hash_u32, text
+from pathweave.operators.metric import nearest
 from pathweave.operators.motion import TRACK, XYZ, point_motion
 from pathweave.operators.neighbours import knn, knn_mean, largest_component
-from pathweave.operators.sequence import BLOCK
+from pathweave.operators.quantile import robust_limits
+from pathweave.operators.sequence import BLOCK, dense_index
 from pathweave.session import materialize
 
 DEMO = ("demo_id",)
@@ -38,8 +39,8 @@ def first_frame_sor(points0: DataFrame, candidate: str, k: int, ratio: float, ro
     nn = knn(cand, DEMO, "point_id", XYZ, k, known_small=True)
     m = nn.select("demo_id", "point_id", knn_mean(F.col("nn")).alias("mean_knn"))
     if robust:
-        packed = m.groupBy("demo_id").agg(F.collect_list("mean_knn").alias("v"), F.count(F.lit(1)).alias("n"))
-        limits = packed.select("demo_id", "n", robust_upper(F.col("v"), ratio, "floor").alias("limit"))
+        m = materialize(m, "first-frame-score")
+        limits = robust_limits(m, DEMO, "mean_knn", ratio, "floor").join(m.groupBy("demo_id").agg(F.count(F.lit(1)).alias("n")), "demo_id")
         free = max(k, 2)
     else:
         limits = m.groupBy("demo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("mean_knn").alias("mu"),
@@ -54,24 +55,25 @@ def first_frame_sor(points0: DataFrame, candidate: str, k: int, ratio: float, ro
 def nearest_donor(points0: DataFrame, inlier: str) -> DataFrame:
     """For every point that is not an inlier: the nearest inlier of the first frame, lowest id on ties.
 
-    Inliers ride as one packed array per demo (one frame's points); no pair rows are made.
+    A search between two sets on tiles (``metric.nearest``): no demo's inliers are gathered. Points without a finite
+    position neither get nor are donors; without inliers a demo has no rows.
     """
-    packed = points0.filter(F.col(inlier)).groupBy("demo_id").agg(
-        F.collect_list(F.struct("point_id", *XYZ)).alias("cand"))
-    out = points0.filter(~F.col(inlier)).join(packed, "demo_id")
-
-    def d2(s):
-        return sum(((s[c] - F.col(c)) * (s[c] - F.col(c)) for c in XYZ[1:]), (s[XYZ[0]] - F.col(XYZ[0])) * (s[XYZ[0]] - F.col(XYZ[0])))
-
-    best = F.array_min(F.transform("cand", lambda s: F.struct(d2(s).alias("d2"), s["point_id"].alias("donor"))))
-    return out.select("demo_id", "point_id", best["donor"].alias("donor"), best["d2"].alias("d2"))
+    p = points0.filter(all_finite(XYZ)).select("demo_id", "point_id", F.array(*[F.col(c).cast("double") for c in XYZ]).alias("p"), F.col(inlier).alias("give"))
+    p = materialize(p.withColumn("ask", ~F.col("give")), "donor-points")
+    nn = nearest(p, DEMO, "point_id", "p", 1, ask="ask", give="give")
+    return nn.select("demo_id", "point_id", F.get("nn", F.lit(0))["point_id"].alias("donor"), F.get("nn", F.lit(0))["d2"].alias("d2"))
 
 
 def random_donor(flags: DataFrame, inlier: str, seed: int = 0) -> DataFrame:
-    """For every outlier one inlier of its demo, chosen by hash."""
-    packed = flags.filter(F.col(inlier)).groupBy("demo_id").agg(F.array_sort(F.collect_list("point_id")).alias("cand"))
-    pick = F.pmod(hash_u32("demo_id", "point_id", text("donor"), seed), F.size("cand")).cast("int")
-    return flags.filter(~F.col(inlier)).join(packed, "demo_id").select("demo_id", "point_id", F.get("cand", pick).alias("donor"))
+    """For every outlier one inlier of its demo, chosen by hash: the inliers are numbered and met by number."""
+    own = flags.select("demo_id", "point_id", F.col(inlier).alias("give"))
+    given = dense_index(own.filter("give").select("demo_id", F.col("point_id").alias("donor")), DEMO, ["donor"],
+                        [F.shiftright("donor", 24), F.shiftright("donor", 12)], "at")
+    given = materialize(given, "donors")
+    n = given.groupBy("demo_id").agg(F.count(F.lit(1)).alias("n"))
+    want = own.filter("not give").join(n, "demo_id")
+    want = want.withColumn("at", F.pmod(hash_u32("demo_id", "point_id", text("donor"), seed), F.col("n")).cast("int"))
+    return want.join(given, ["demo_id", "at"]).select("demo_id", "point_id", "donor")
 
 
 def copy_tracks(tracks: DataFrame, donors: DataFrame, cols: Sequence[str] = XYZ) -> DataFrame:
@@ -144,8 +146,8 @@ def component_filter(tracks: DataFrame, candidates: DataFrame, k: int = 5, facto
     pts = pts.filter((F.col("t") % stride == 0) | (F.col("t") == F.col("t_max")))
     frame = ["demo_id", "t"]
     score = knn(pts.select(*frame, "point_id", *XYZ), frame, "point_id", XYZ, k, known_small=True)
-    limits = score.groupBy(*frame).agg(F.collect_list(knn_mean(F.col("nn"))).alias("v"))
-    limits = limits.select(*frame, robust_upper(F.col("v"), factor, "mean").alias("thr"))
+    score = materialize(score.select(*frame, knn_mean(F.col("nn")).alias("score")), "frame-score")
+    limits = robust_limits(score, frame, "score", factor, "mean").withColumnRenamed("limit", "thr")
     usable = pts.join(limits.filter((F.col("thr") > 0) & (F.col("thr") < float("inf"))), frame)
     comp = largest_component(usable.select(*frame, "point_id", *XYZ, "thr"), frame, "point_id", XYZ, "thr", known_small=True)
     kept = comp.groupBy(*frame).agg(F.count_if("in_largest").alias("kept")).join(n, "demo_id").filter("kept >= min_keep")

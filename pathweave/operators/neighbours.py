@@ -153,9 +153,9 @@ def _knn_grid(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequence[str
 
 
 def knn_mean(nn) -> F.Column:
-    """Mean distance to the listed neighbours."""
+    """Mean distance to the listed neighbours; null for a point that has none."""
     d = F.transform(nn, lambda s: F.sqrt(s["d2"]))
-    return F.aggregate(d, F.lit(0.0), lambda a, v: a + v) / F.size(nn)
+    return F.aggregate(d, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(nn), F.lit(0))
 
 
 def largest_component(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequence[str], threshold: str,

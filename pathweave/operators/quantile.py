@@ -76,14 +76,52 @@ def exact_quantiles(
     return out.drop("__all") if keys == ["__all"] else out
 
 
-def exact_mad(df: DataFrame, keys: Sequence[str], value: str, disc: bool = False, limit: int = LIMIT) -> DataFrame:
-    """Median and median absolute deviation from it, per key: ``med``, ``mad``; two selections, no group is gathered."""
+def exact_mad(df: DataFrame, keys: Sequence[str], value: str, disc: bool = False, limit: int = LIMIT,
+              also: dict[str, float] | None = None) -> DataFrame:
+    """Median and median absolute deviation from it, per key: ``med``, ``mad``, and the quantiles of ``also``; two selections, no group is gathered."""
     keys = list(keys)
-    med = materialize(exact_quantiles(df, keys, value, {"med": 0.5}, disc, limit), "medians")
-    away = df.join(med, keys).select(*keys, F.abs(F.col(value).cast("double") - F.col("med")).alias("__away"))
+    med = materialize(exact_quantiles(df, keys, value, {"med": 0.5, **(also or {})}, disc, limit), "medians")
+    away = df.join(med.select(*keys, "med"), keys).select(*keys, F.abs(F.col(value).cast("double") - F.col("med")).alias("__away"))
     return med.join(exact_quantiles(away, keys, "__away", {"mad": 0.5}, disc, limit), keys)
 
 
+def spread(df: DataFrame, keys: Sequence[str], value: str, kind: str, limit: int = LIMIT) -> DataFrame:
+    """What ``upper_limit`` of this kind reads, per key, over the finite values: n, mu, sd, top, med, mad, q25, q75.
+
+    A key whose values are all null or not finite keeps a row with n = 0.
+    """
+    keys, v = list(keys), F.col(value).cast("double")
+    rows = df.select(*keys, F.when(F.abs(v) < float("inf"), v).alias("__x"))
+    plain = rows.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mu"), F.stddev_pop("__x").alias("sd"), F.max("__x").alias("top"))
+    ranges = {"q25": 0.25, "q75": 0.75} if kind == "iqr" else {}
+    middle = exact_mad(rows.filter("__x is not null"), keys, "__x", kind == "mean", limit, ranges)
+    return plain.join(middle, keys, "left")
+
+
+def upper_limit(factor: float, kind: str, margin: float = 1e-6) -> Column:
+    """Upper threshold from the columns of ``spread``; the kinds are those of ``functions.arrays.robust_upper``."""
+    med, mad, f = F.col("med"), F.col("mad"), F.lit(factor)
+    wide = med + F.lit(factor * 1.4826) * mad
+    if kind == "mean":
+        out = F.when(mad > 1e-12, wide).otherwise(F.col("mu") + f * (F.col("sd") + F.lit(1e-12)))
+    elif kind == "iqr":
+        width = F.col("q75") - F.col("q25")
+        out = F.when(mad > 1e-8, wide).when(width > 1e-8, F.col("q75") + f * width).otherwise(F.col("top"))
+    elif kind == "margin":
+        sigma = F.lit(1.4826) * mad
+        out = F.when(sigma < margin, med + F.lit(margin)).otherwise(med + f * sigma)
+    elif kind == "floor":
+        out = med + f * F.greatest(F.lit(1.4826) * mad, F.lit(1e-8))
+    else:
+        raise ValueError(kind)
+    return F.when(F.col("n") == 0, F.lit(float("inf"))).otherwise(out)
+
+
+def robust_limits(df: DataFrame, keys: Sequence[str], value: str, factor: float, kind: str, margin: float = 1e-6, limit: int = LIMIT) -> DataFrame:
+    """One row per key with the upper threshold ``limit`` of its values; ``df`` is read several times, so it should be a written table."""
+    return spread(df, keys, value, kind, limit).select(*keys, upper_limit(factor, kind, margin).alias("limit"))
+
+
 def _wanted(probs: dict[str, float], disc: bool, n: Column) -> Column:
     """The ranks to be found in a group of n rows, with the weight of each in its quantile."""
     wanted = []

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import robust_upper
 from pathweave.functions.numeric import r6
 from pathweave.operators import filters as flt
 from pathweave.operators.motion import XYZ, point_motion
 from pathweave.operators.metric import nearest
 from pathweave.operators.neighbours import knn, knn_mean, largest_component
+from pathweave.operators.quantile import robust_limits
 from pathweave.plans.fixtures import Data
 from pathweave.plans.geometry import H05, reprojection_error
 from pathweave.plans.registry import h32, q6, query
@@ -209,9 +209,9 @@ def quality_mask(d: Data):
     py = F.least(F.greatest(F.rint(F.col("v100") / 100.0), F.lit(0.0)), F.lit(15.0)).cast("int")
     on = uv.join(d.mask_images().filter("t = 0").select("demo_id", "m"), "demo_id").select(
         "demo_id", "point_id", F.get("m", py * 16 + px).alias("candidate"))
-    f = flt.first_frame_sor(first_flags(d).join(on, ["demo_id", "point_id"]), "candidate", SOR_K, 2.0, robust=True)
-    packed = f.groupBy("demo_id").agg(F.collect_list(F.when(F.col("sor"), F.col("max_step"))).alias("v"), F.collect_list("max_step").alias("all"))
-    limit = packed.select("demo_id", robust_upper(F.when(F.size("v") > 0, F.col("v")).otherwise(F.col("all")), 8.0, "margin", 1e-4).alias("limit"))
+    f = materialize(flt.first_frame_sor(first_flags(d).join(on, ["demo_id", "point_id"]), "candidate", SOR_K, 2.0, robust=True), "first-frame")
+    judged = f.join(f.groupBy("demo_id").agg(F.bool_or("sor").alias("any_sor")), "demo_id").filter(F.col("sor") | ~F.col("any_sor"))
+    limit = robust_limits(judged, ["demo_id"], "max_step", 8.0, "margin", 1e-4)
     f = f.join(limit, "demo_id").withColumn("tele", F.col("max_step") <= F.col("limit"))
     share = f.groupBy("demo_id").agg((F.avg(F.when(F.col("sor") & F.col("tele"), 1.0).otherwise(0.0)) < 0.35).alias("fallback_used"))
     f = f.join(share, "demo_id").withColumn("track_keep", F.when(F.col("fallback_used"), F.col("candidate") & F.col("tele"))
@@ -247,15 +247,15 @@ select demo_id, point_id, case when n2 < greatest(3, ceil(0.5 * na)) then true e
 def visual_outliers(d: Data, k: int = 4):
     tr = d.tracks()
     m = materialize(point_motion(tr, LIMIT), "track-motion")
-    packed = m.groupBy("demo_id").agg(F.collect_list("max_step").alias("s"), F.collect_list("path").alias("p"))
-    lim = packed.select("demo_id", F.least(F.lit(LIMIT), robust_upper(F.col("s"), 6.0, "iqr")).alias("sl"), robust_upper(F.col("p"), 6.0, "iqr").alias("pl"))
+    step, path = (robust_limits(m, ["demo_id"], v, 6.0, "iqr") for v in ("max_step", "path"))
+    lim = step.select("demo_id", F.least(F.lit(LIMIT), F.col("limit")).alias("sl")).join(path.withColumnRenamed("limit", "pl"), "demo_id")
     c = m.join(lim, "demo_id").withColumn("keep1", (F.col("max_step") <= F.col("sl")) & (F.col("path") <= F.col("pl")))
     n = c.groupBy("demo_id").agg(F.count_if("keep1").alias("nk"), F.count(F.lit(1)).alias("na"))
     c = c.join(n, "demo_id").select("demo_id", "point_id", "keep1", "nk", "na")
     cand = tr.join(c.filter(F.col("keep1") & (F.col("nk") >= max(4, k + 2))).select("demo_id", "point_id"), ["demo_id", "point_id"])
     nn = knn(cand, ["demo_id", "t"], "point_id", XYZ, k, known_small=True)
-    worst = nn.groupBy("demo_id", "point_id").agg(F.max(knn_mean(F.col("nn"))).alias("worst"))
-    wl = worst.groupBy("demo_id").agg(F.collect_list("worst").alias("w")).select("demo_id", robust_upper(F.col("w"), 3.0, "iqr").alias("wl"))
+    worst = materialize(nn.groupBy("demo_id", "point_id").agg(F.max(knn_mean(F.col("nn"))).alias("worst")), "worst-frame")
+    wl = robust_limits(worst, ["demo_id"], "worst", 3.0, "iqr").withColumnRenamed("limit", "wl")
     f = c.join(worst, ["demo_id", "point_id"], "left").join(wl, "demo_id", "left")
     f = f.withColumn("keep2", F.col("keep1") & ~F.coalesce(F.col("worst") > F.col("wl"), F.lit(False)))
     g = f.groupBy("demo_id").agg(F.count_if("keep2").alias("n2"))

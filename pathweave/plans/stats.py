@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.functions.arrays import let, quantile, robust_upper
 from pathweave.functions.numeric import all_finite, norm, r6, round_half_even
 from pathweave.operators.audit import Limits, audit
 from pathweave.operators.motion import clamped_std, forward_flow, point_motion, steps_between
-from pathweave.operators.quantile import exact_quantiles
+from pathweave.operators.quantile import exact_quantiles, spread, upper_limit
 from pathweave.plans.fixtures import Data
 from pathweave.plans.registry import q6, query
+from pathweave.session import materialize
 
 STEP_SQL = """
 select demo_id, t, point_id, vis,
@@ -326,10 +329,11 @@ def robust_upper_query(d: Data):
     # flattened values on some demos reach the fall-back branches
     v = F.when(F.col("demo_id") % 3 == 0, F.when(F.col("point_id") < 14, 5.0).otherwise(F.col("max_step"))) \
         .when(F.col("demo_id") % 7 == 1, 2.5).otherwise(F.col("max_step"))
-    packed = p.groupBy("demo_id").agg(F.collect_list(v).alias("vals"))
-    rows = [F.struct(F.lit(k).alias("kind"), r6(robust_upper(F.col("vals"), 3.0, k)).alias("threshold"))
-            for k in ("mean", "iqr", "margin", "floor")]
-    return packed.select("demo_id", F.size("vals").cast("bigint").alias("n"), F.inline(F.array(*rows)))
+    p = materialize(p.select("demo_id", v.alias("v")), "spread-values")
+    parts = {kind: spread(p, ["demo_id"], "v", kind) for kind in ("mean", "iqr")}
+    of = {"mean": "mean", "iqr": "iqr", "margin": "iqr", "floor": "iqr"}  # the last three share their medians
+    rows = [parts[src].select("demo_id", "n", F.lit(kind).alias("kind"), r6(upper_limit(3.0, kind)).alias("threshold")) for kind, src in of.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("a24_first_frame_radius", f"""
@@ -339,15 +343,12 @@ with f as (select demo_id, point_id, xu, yu, zu from fx_tracks where t = 0),
      q as (select demo_id, quantile_cont(radius, 0.9) as cut, count(*) as n from r group by 1)
 select demo_id, point_id, {q6('radius')} as radius, (n < 4 or radius <= cut) as keep from r join q using (demo_id)""")
 def first_frame_radius(d: Data):
-    # one frame per demo: the group is the query grid
-    f = d.tracks().filter("t = 0")
-    pts = f.groupBy("demo_id").agg(F.collect_list(F.struct("point_id", "xu", "yu", "zu")).alias("p"))
     axes = ("xu", "yu", "zu")
-    centre = F.struct(*[quantile(F.col(f"p.{c}").cast("array<double>"), 0.5).alias(c) for c in axes])
-    pts = pts.withColumn("r", let(centre, lambda m: F.transform("p", lambda s: norm(*[s[c] - m[c] for c in axes]))))
-    pts = pts.withColumn("cut", quantile(F.col("r"), 0.9))
-    out = pts.select("demo_id", "cut", F.size("p").alias("n"), F.inline(F.arrays_zip("p", "r")))
-    return out.select("demo_id", F.col("p.point_id").alias("point_id"), r6("r").alias("radius"),
+    f = materialize(d.tracks().filter("t = 0").select("demo_id", "point_id", *axes), "first-frame")
+    centre = reduce(lambda x, y: x.join(y, "demo_id"), [exact_quantiles(f, ["demo_id"], c, {f"m_{c}": 0.5}) for c in axes])
+    r = materialize(f.join(centre, "demo_id").select("demo_id", "point_id", norm(*[F.col(c) - F.col(f"m_{c}") for c in axes]).alias("r")), "radius")
+    cut = exact_quantiles(r, ["demo_id"], "r", {"cut": 0.9}).join(r.groupBy("demo_id").agg(F.count(F.lit(1)).alias("n")), "demo_id")
+    return r.join(cut, "demo_id").select("demo_id", "point_id", r6("r").alias("radius"),
                       ((F.col("n") < 4) | (F.col("r") <= F.col("cut"))).alias("keep"))
 
 

@@ -112,3 +112,24 @@ def test_donor_copy_replaces_whole_tracks(spark):
     out = flt.copy_tracks(tr, flt.nearest_donor(f, "inlier"))
     assert out.count() == tr.count()
     assert out.filter("xu > 4000").count() == 0
+
+
+def test_donors_of_demos_without_inliers_or_positions(spark):
+    rows = [(1, 1, 0.0, True), (1, 2, 10.0, True), (1, 3, 5.0, False), (1, 4, None, False), (1, 5, float("nan"), True),  # 3: a tie
+            (2, 1, 0.0, False), (3, 1, 0.0, True)]
+    p = spark.createDataFrame(rows, "demo_id bigint, point_id bigint, xu double, inlier boolean").withColumns({"yu": F.lit(1), "zu": F.lit(2)})
+    assert [tuple(r) for r in flt.nearest_donor(p, "inlier").collect()] == [(1, 3, 1, 25.0)]
+    chosen = {(r["demo_id"], r["point_id"]): r["donor"] for r in flt.random_donor(p, "inlier").collect()}
+    assert chosen.keys() == {(1, 3), (1, 4)} and set(chosen.values()) <= {1, 2, 5}
+    assert flt.nearest_donor(p.filter("false"), "inlier").count() == 0 and flt.random_donor(p.filter("false"), "inlier").count() == 0
+
+
+def test_random_donors_are_spread(spark):
+    p = spark.range(4000).select(F.lit(1).cast("bigint").alias("demo_id"), F.col("id").alias("point_id"), (F.col("id") % 4 == 0).alias("inlier"))
+    out = flt.random_donor(p, "inlier").toPandas()
+    assert len(out) == 3000 and (out["donor"] % 4 == 0).all() and out["donor"].nunique() > 900
+
+
+def test_a_point_alone_has_no_mean_distance(spark):
+    one = spark.createDataFrame([(1, 1, 0, 0, 0)], "g bigint, point_id bigint, xu bigint, yu bigint, zu bigint")
+    assert [r[0] for r in knn(one, ["g"], "point_id", XYZ, 3).select(neighbours.knn_mean(F.col("nn"))).collect()] == [None]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pathweave.functions import arrays as arr
 from pathweave.functions.numeric import all_finite, is_finite, r6, round_half_even
 from pathweave.functions import text as tx
-from pathweave.operators.quantile import exact_mad, exact_quantiles
+from pathweave.operators.quantile import exact_mad, exact_quantiles, robust_limits
 
 
 def test_rounding_is_half_even(spark):
@@ -78,6 +78,20 @@ def test_median_absolute_deviation(spark):
         assert np.isclose(r.med, np.median(v[r.k]), rtol=1e-14) and np.isclose(r.mad, np.median(np.abs(v[r.k] - np.median(v[r.k]))), rtol=1e-12)
 
 
+def test_limits_of_groups_equal_those_of_arrays(spark):
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(5, 2, 101), 2: [5.0] * 9 + [50.0], 3: [1.0, 2.0, 3.0, 4.0, 100.0], 4: [7.0], 5: [2.0] * 6 + [3.0] * 4,
+              6: [float("nan"), float("inf"), 1.0, 4.0], 7: [float("nan"), None], 8: [None]}
+    df = spark.createDataFrame([(k, None if x is None else float(x)) for k, xs in values.items() for x in xs], "k int, v double")
+    packed = df.groupBy("k").agg(F.collect_list("v").alias("a"))
+    for kind in ("mean", "iqr", "margin", "floor"):
+        want = {r[0]: r[1] for r in packed.select("k", arr.robust_upper(F.col("a"), 3.0, kind)).collect()}
+        got = {r[0]: r[1] for r in robust_limits(df, ["k"], "v", 3.0, kind, limit=4).collect()}
+        assert got.keys() == want.keys() and got[8] == float("inf")
+        np.testing.assert_allclose([got[k] for k in values], [want[k] for k in values], rtol=1e-12)
+    assert robust_limits(df.filter("false"), ["k"], "v", 3.0, "iqr").collect() == []
+
+
 def test_names(spark):
     df = spark.createDataFrame([("KITCHEN_SCENE3_pick_up_the_red_cup_demo_tracks",), ("Put the two bowls onto the plate, and then wait.",)], "s string")
     a, b = df.select(tx.normalize_instruction(F.col("s")), tx.object_phrase(F.col("s"))).collect()
