@@ -76,3 +76,20 @@ def robust_upper(a: Column, factor: float, kind: str, margin: float = 1e-6) -> C
         return F.when(F.size(a) == 0, F.lit(float("inf"))).otherwise(let(median(a), lambda med: with_median(a, med)))
 
     return let(finite_only(a), threshold)
+
+
+def channels_last(values: Column, shape: Column) -> Column:
+    """Flat picture in row, column, colour order with three colours, from a flat array and its shape.
+
+    Dimensions of one are dropped. Two dimensions are grey and repeated; three end with 3 or 4 colours, of which three stay, or
+    begin with them. Any other shape gives null.
+    """
+    def of(s: Column) -> Column:
+        planes = F.flatten(F.transform(F.sequence(F.lit(0), F.get(s, F.lit(1)) * F.get(s, F.lit(2)) - 1), lambda p: F.array(
+            *[F.get(values, p + c * F.get(s, F.lit(1)) * F.get(s, F.lit(2))) for c in range(3)])))
+        last, first = F.get(s, F.lit(2)).isin(3, 4), F.get(s, F.lit(0)).isin(3, 4)
+        return (F.when(F.size(s) == 2, F.flatten(F.transform(values, lambda x: F.array(x, x, x))))
+                .when((F.size(s) == 3) & last, F.filter(values, lambda _, i: i % F.get(s, F.lit(2)) < 3))
+                .when((F.size(s) == 3) & first, planes))
+
+    return let(F.filter(shape, lambda n: n != 1), of)

@@ -76,6 +76,19 @@ def truncate_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words, 1, n), " ")
 
 
+def resolve_prompt(found: Column, prompt: str | None, task: Column, max_words: int | None, prefix: str = "") -> Column:
+    """Prompt of a table, else the fixed one, else the first words of the task text (slashes part words), else ``object``; a prefix
+    ends with a full stop. ``max_words`` None leaves the task text out."""
+    candidates = [F.nullif(F.trim(found), F.lit(""))]
+    if prompt:
+        candidates.append(F.lit(prompt.strip()))
+    if max_words is not None:
+        candidates.append(F.when(F.coalesce(task, F.lit("")) != "", truncate_words(F.translate(task, "/", " "), max_words)))
+    value = F.coalesce(*candidates, F.lit("object"))
+    head = prefix.strip()
+    return F.trim(F.concat(F.lit(head if head.endswith(".") else head + "."), F.lit(" "), value)) if head else value
+
+
 def count_items(c: Column) -> Column:
     return F.size(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""))
 

@@ -327,6 +327,19 @@ def lookup_prompt(d: Data):
     return e.groupBy("s_suppkey").agg(F.concat(F.lit("robot: "), F.coalesce(first, F.nullif(F.max("txt"), F.lit("")), F.lit("do the task"))).alias("prompt"))
 
 
+@query("j05_resolve_prompt", r"""
+with r as (select p_partkey, case when p_partkey % 4 = 0 then ' prompt ' || p_size || ' ' when p_partkey % 4 = 1 then '  ' end as found,
+   case p_partkey % 3 when 0 then p_name || '/' || p_type || ' ' || p_brand || ' by the door' when 1 then '' end as task from part)
+select p_partkey, 'robot. ' || coalesce(nullif(trim(found), ''), case when task <> '' then array_to_string(list_slice(list_filter(regexp_split_to_array(replace(task, '/', ' '), '\s+'), lambda x: x <> ''), 1, 4), ' ') end, 'object') as prompt,
+  'a:. ' || coalesce(nullif(trim(found), ''), 'the ring') as fixed from r""")
+def resolve_prompt(d: Data):
+    k = F.col("p_partkey")
+    found = F.when(k % 4 == 0, F.concat(F.lit(" prompt "), F.col("p_size"), F.lit(" "))).when(k % 4 == 1, "  ")
+    task = F.when(k % 3 == 0, F.concat("p_name", F.lit("/"), "p_type", F.lit(" "), "p_brand", F.lit(" by the door"))).when(k % 3 == 1, "")
+    return d.table("part").select("p_partkey", tx.resolve_prompt(found, None, task, 4, "robot").alias("prompt"),
+                                  tx.resolve_prompt(found, " the ring ", task, 4, "a:.").alias("fixed"))
+
+
 @query("j26_mask_dir_candidates", """
 with c as (select s_suppkey, unnest([0, 1, 2, 3]) as prio, unnest(['stem_' || s_name, 'stem_' || s_suppkey, 'stem_demo_' || s_name, s_name]) as dir from supplier),
  l as (select case s_suppkey % 4 when 0 then 'stem_' || s_name when 1 then 'stem_' || s_suppkey when 2 then s_name else 'other_' || s_name end as dir from supplier)

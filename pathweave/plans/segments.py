@@ -8,7 +8,8 @@ from pathweave.functions.numeric import r6
 from pathweave.operators import segments as seg
 from pathweave.plans.fixtures import Data
 from pathweave.plans.registry import q6, query
-from pathweave.session import materialize
+from pathweave.session import materialize, scratch_dir
+from pathweave.sources.tables import write_nested
 
 K = 8
 
@@ -181,3 +182,21 @@ def manifest(d: Data):
     starts = F.sequence("s0", F.col("s1") - 1, F.lit(20))
     entry = F.to_json(F.struct(F.array("s0", "s1").alias("seg"), starts.alias("starts"), (F.col("s1") - F.col("s0")).alias("n_frames")))
     return s.select("task", "demo_id", "s0", entry.alias("entry"))
+
+
+@query("h28_manifest_nested", f"""
+with {STAGE_CTE}, e as (select task, demo_id, s0, s1 - s0 as n, concat('{{"seg":[', s0, ',', s1, '],"starts":[', array_to_string(range(s0, s1, 20), ','), ']}}') as entry
+   from sg join fx_demo using (demo_id)),
+ w as (select *, count(*) over d as dn, sum(n) over d as df, count(*) over k as tn, sum(n) over k as tf, s0 = min(s0) over d as o, s0 = max(s0) over d as c,
+   demo_id = min(demo_id) over k as fd, demo_id = max(demo_id) over k as ld from e window d as (partition by task, demo_id), k as (partition by task)),
+ td as (select task, count(distinct demo_id) as nd from e group by task)
+select concat(case when o and fd then concat('{{"task":"', task, '","n_demos":', nd, ',"n_segments":', tn, ',"n_frames":', tf, ',"demos":[') else ',' end,
+  case when o then concat('{{"demo_id":', demo_id, ',"n_segments":', dn, ',"n_frames":', df, ',"segments":[') else '' end, entry,
+  case when c then ']}}' else '' end, case when c and ld then ']}}' else '' end) as line from w join td using (task)""")
+def nested_manifest(d: Data):
+    s = stage_segments(d).join(d.demo().select("demo_id", "task"), "demo_id")
+    entry = F.to_json(F.struct(F.array("s0", "s1").alias("seg"), F.sequence("s0", F.col("s1") - 1, F.lit(20)).alias("starts")))
+    rows = materialize(s.select("task", "demo_id", "s0", (F.col("s1") - F.col("s0")).alias("n_frames"), entry.alias("entry")), "manifest-rows")
+    path = scratch_dir(d.spark, "manifest")
+    write_nested(rows, path)
+    return d.spark.read.text(path).withColumnRenamed("value", "line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathweave import schemas
+from pathweave.functions.arrays import channels_last
 from pathweave.operators.motion import forward_flow
 from pathweave.operators.sequence import first_n
 from pathweave.plans.fixtures import Data
@@ -12,6 +13,7 @@ from pathweave.plans.registry import query
 from pathweave.plans.segments import K, SEGEND, keyframe_sql, keyframes
 from pathweave.session import scratch_dir
 from pathweave.sources import tables as io
+from pathweave.sources.catalog import inspect_tables
 
 
 @query("s01_scan_tracks", """
@@ -177,6 +179,22 @@ def inspect_catalog(d: Data):
                                                F.min("size_n").cast("bigint").alias("min_size"), F.max("size_n").cast("bigint").alias("max_size"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def described_sql(t: str) -> str:
+    return f"""select '{t}' as tbl, s.column_name as "column", case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double'
+   when 'FLOAT[]' then 'array<float>' else 'timestamp_ntz' end as dtype, s.count::bigint as n_rows, case when column_type not like '%]' then n end as n_values,
+   case when column_type in ('INTEGER', 'BIGINT') then s.min end::bigint as lo, case when column_type in ('INTEGER', 'BIGINT') then s.max end::bigint as hi
+ from (summarize {t}) s join (from (unpivot (select count(columns(*)) as '\\0' from {t}) on columns(*) into name c value n)) on c = s.column_name"""
+
+
+@query("s19_inspect_tables", " union all ".join(described_sql(t) for t in TABLES))
+def inspect_given(d: Data):
+    found = inspect_tables(d.spark, {t: f"{d.dir}/{t}.parquet" for t in TABLES})
+    return found.select("tbl", "column", "dtype", "n_rows", "n_values", "lo", "hi")
+
+
 @query("s20_merge_source_columns", """
 with src as (select s.demo_id, s.t, s.event_id from fx_steps s join fx_demo using (demo_id) where s.t < t_len - demo_id % 4)
 select f.demo_id, f.t, f.grip, src.event_id as src_event from fx_steps f join (select demo_id, max(t) as mt from src group by 1) using (demo_id) join src on src.demo_id = f.demo_id and src.t = least(f.t, mt)""")
@@ -230,6 +248,20 @@ def flatten_unflatten(d: Data):
     return p.select("demo_id", "t", F.array_join(F.col("p.xu").cast("array<string>"), ",").alias("xs"), F.size("p").cast("bigint").alias("n"))
 
 
+@query("p10_channel_layouts", """
+with e as (select event_id, event_id % 6 as kind, unnest(range(10)) as p from events),
+ c as (select *, unnest(range(3)) as c from e),
+ i as (select *, case kind when 0 then p * 3 + c when 1 then p * 4 + c when 2 then c * 10 + p when 3 then p when 4 then p end as i from c)
+select event_id, case when kind < 5 then string_agg(((event_id * 31 + i * 7) % 256)::varchar, ',' order by p, c) end as pixels from i group by event_id, kind""")
+def channel_layouts(d: Data):
+    shapes = ([2, 5, 3], [2, 5, 4], [3, 2, 5], [2, 5], [1, 2, 5, 1], [2, 5, 2])
+    shape = F.get(F.array(*[F.array(*map(F.lit, s)) for s in shapes]), (F.col("event_id") % 6).cast("int"))
+    size = F.aggregate("shape", F.lit(1), lambda a, n: a * n)
+    e = d.table("events").select("event_id", shape.alias("shape"))
+    e = e.withColumn("v", F.transform(F.sequence(F.lit(0), size - 1), lambda i: (F.col("event_id") * 31 + i * 7) % 256))
+    return e.select("event_id", F.array_join(channels_last(F.col("v"), F.col("shape")).cast("array<string>"), ",").alias("pixels"))
+
+
 @query("p11_valid_shape", """
 select demo_id, bool_and(n = 24) and count(*) >= 2 as valid from (select demo_id, t, count(*) filter ((demo_id + t) % 401 <> 0 or point_id > 0) as n from fx_tracks group by 1, 2) group by demo_id""")
 def valid_shape(d: Data):
@@ -268,6 +300,21 @@ def match_episode(d: Data):
     return hit.unionByName(miss)
 
 
+@query("j02_match_raw", """
+with raw as (select file, p_partkey as raw_id, row_number() over (partition by file order by p_partkey) - 1 as at, count(*) over (partition by file) as n
+   from (select p_partkey, case when p_partkey % 2 = 0 then p_partkey % 20 else 1000 + p_partkey end as file from part)),
+ de as (select file, c_custkey, case when c_custkey % 7 = 0 then row_number() over (partition by file order by c_custkey) - 1 else (c_custkey * 3) // 20 end as num
+   from (select c_custkey, case when c_custkey % 3 = 0 then 1000 + c_custkey else c_custkey % 20 end as file from customer))
+select file, c_custkey as demo, raw_id from de join raw using (file) where n = 1 or raw.at = de.num""")
+def match_raw(d: Data):
+    # odd parts are alone in their file; some customers' names end without a number, some files have no raw trajectory
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    raws = d.table("part").select(F.when(p % 2 == 0, p % 20).otherwise(p + 1000).alias("file"), p.alias("raw_id"))
+    name = F.when(c % 7 == 0, "demo_final").otherwise(F.concat(F.lit("demo_"), F.floor(c * 3 / 20)))
+    demos = d.table("customer").select(F.when(c % 3 == 0, c + 1000).otherwise(c % 20).alias("file"), c.alias("demo"), name.alias("name"))
+    return io.match_raw(demos, raws)
+
+
 @query("j03_concat_state", """
 select f.demo_id, f.t, concat_ws(',', f.event_id, f.t, g.grip) as ee_grip, case when f.event_id % 5 = 0 then '' else concat_ws(',', f.event_id * 2, g.grip) end as joint_grip from fx_steps f join fx_steps g using (demo_id, t)""")
 def concat_state(d: Data):

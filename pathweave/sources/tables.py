@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.operators.sequence import dense_index
+
 VARIANT = "variant"
 
 
@@ -94,3 +96,57 @@ def write_report(df: DataFrame, path: str, fields: Sequence[str], fmt: str = "cs
 def only_new(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inputs whose output does not exist yet."""
     return inputs.join(outputs.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def numbered(df: DataFrame, ident: str, out: str) -> DataFrame:
+    """Position of each row within its file by the whole number ``ident``, from zero; a file of any size is spread."""
+    return dense_index(df, ["file"], [ident], [F.shiftright(ident, 24), F.shiftright(ident, 12)], out)
+
+
+def match_raw(demos: DataFrame, raws: DataFrame) -> DataFrame:
+    """Raw trajectory of every demo of the same file: (file, demo, raw_id).
+
+    ``demos`` is (file, demo, name), ``raws`` is (file, raw_id). The only raw trajectory of a file serves all its demos; of
+    several, the number after the last underscore of the name chooses by position, or else the demo's own position.
+    Demos whose number is out of range, and demos of files without raw trajectories, have no row.
+    """
+    of = numbered(raws.select("file", "raw_id"), "raw_id", "at")
+    tail = F.substring_index("name", "_", -1)
+    d = numbered(demos.select("file", "demo", "name"), "demo", "own").join(of.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file")
+    number = F.when(tail.rlike("^[0-9]+$"), tail.try_cast("bigint")).otherwise(F.col("own").cast("bigint"))
+    d = d.withColumn("at", F.when(F.col("n") == 1, F.lit(0)).otherwise(number))
+    return d.join(of, ["file", "at"]).select("file", "demo", "raw_id")
+
+
+def nested_lines(rows: DataFrame, entry: str = "entry") -> DataFrame:
+    """Lines (task, demo_id, s0, line) that make one nested JSON text per task when read in this order.
+
+    ``rows`` is (task, demo_id, s0, n_frames, entry), one JSON text per segment. The first line of a task and of a demo carries its
+    head with the counts, the last one its end; a line holds one segment, so neither a demo nor a task is gathered.
+    """
+    def counts(*keys):
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n_frames").alias("n_frames"), F.min("s0").alias("first"), F.max("s0").alias("last"))
+
+    demos = counts("task", "demo_id")
+    tasks = demos.groupBy("task").agg(F.struct(F.count(F.lit(1)).alias("n_demos"), F.sum("n_segments").alias("n_segments"), F.sum("n_frames").alias("n_frames"),
+                                               F.min("demo_id").alias("first"), F.max("demo_id").alias("last")).alias("of_task"))
+    r = rows.select("task", "demo_id", "s0", F.col(entry).alias("__entry")).join(demos, ["task", "demo_id"]).join(tasks, "task")
+    opens, closes = F.col("s0") == F.col("first"), F.col("s0") == F.col("last")
+    first_demo, last_demo = F.col("demo_id") == F.col("of_task.first"), F.col("demo_id") == F.col("of_task.last")
+
+    def head(columns, key):  # an object up to the list that it ends with
+        return F.concat(F.expr(f"substring(to_json({columns}), 1, length(to_json({columns})) - 1)"), F.lit(f',"{key}":['))
+
+    task_head = head("struct(task, of_task.n_demos, of_task.n_segments, of_task.n_frames)", "demos")
+    demo_head = head("struct(demo_id, n_segments, n_frames)", "segments")
+    line = F.concat(F.when(opens & first_demo, task_head).otherwise(F.lit("")), F.when(~opens | ~first_demo, F.lit(",")).otherwise(F.lit("")),
+                    F.when(opens, demo_head).otherwise(F.lit("")), F.col("__entry"),
+                    F.when(closes, F.lit("]}")).otherwise(F.lit("")), F.when(closes & last_demo, F.lit("]}")).otherwise(F.lit("")))
+    return r.select("task", "demo_id", "s0", line.alias("line"))
+
+
+def write_nested(rows: DataFrame, path: str) -> None:
+    """``nested_lines`` as text files whose lines, in the order of the file names, are the JSON texts one after the other."""
+    order = ["task", "demo_id", "s0"]
+    lines = nested_lines(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("line").write.mode("errorifexists").text(path)
