@@ -15,17 +15,18 @@ from pathweave.functions.geometry import apply_sim3, at
 from pathweave.functions.numeric import all_finite, hash_u32, norm, text
 from pathweave.operators.quantile import exact_quantiles
 from pathweave.operators.sampling import subsample
+from pathweave.operators.sequence import meet
 from pathweave.session import materialize
 
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 FIT = "scale double, rot array<double>, trans array<double>"
 
 
-def pair(src: DataFrame, dst: DataFrame, keys: Sequence[str], src_cols: Sequence[str], dst_cols: Sequence[str]) -> DataFrame:
-    """Correspondences: rows of both variants with the same key, as sx..sz, dx..dz."""
-    a = src.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(src_cols, SRC)])
-    b = dst.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(dst_cols, DST)])
-    return a.join(b, list(keys))
+def pair(src: DataFrame, dst: DataFrame, keys: Sequence[str], src_cols: Sequence[str], dst_cols: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Correspondences: rows of both variants with the same key, as sx..sz, dx..dz, and the source's columns ``carry``."""
+    a = src.select(*keys, *carry, *[F.col(c).alias(n) for c, n in zip(src_cols, SRC)])
+    b = dst.select(*keys, *[F.col(c).alias(n) for c, n in zip(dst_cols, DST)])
+    return meet(a, b, keys).withColumns({n: F.col(n).cast("double") for n in SRC + DST})  # whole numbers are shorter on the way
 
 
 def moments(corr: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:

@@ -130,8 +130,8 @@ select demo_id, s, count(*)::bigint as n, sum((k + 1) * tr.xu)::bigint as wx, su
   sum((k + 1) * (point_id + 1) * tr.zu)::bigint as wz
 from key join fx_tracks tr using (demo_id, t) group by demo_id, s""")
 def keyframe_targets(d: Data):
-    # one row per (start, keyframe) meets the frame; the frame's points ride as one row each
-    g = keyframes(d, limit_tail=True).join(d.tracks(), ["demo_id", "t"])
+    # one row per (start, keyframe) meets the frame; then its points are written out
+    g = d.tracks(keyframes(d, limit_tail=True))
     return g.groupBy("demo_id", "s").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("k") + 1) * F.col("xu")).alias("wx"),
         F.sum((F.col("k") + 1) * F.col("yu")).alias("wy"),
@@ -159,7 +159,7 @@ def gather_keyframes(d: Data):
         seg.resample_indices(F.col("s"), F.col("s") + 9, K)).alias("k", "t"))
     key = key.join(d.demo().select("demo_id", "t_len"), "demo_id")
     key = key.withColumn("t", F.greatest(F.least("t", F.col("t_len") - 1), F.lit(0))).drop("t_len")
-    return key.join(d.tracks(), ["demo_id", "t"]).groupBy("demo_id", "s", "k", "t").agg(
+    return d.tracks(key).groupBy("demo_id", "s", "k", "t").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("xu") * (F.col("point_id") + 1)).alias("wx"),
         F.sum("yu").alias("sy"), F.sum("zu").alias("sz"))
 
