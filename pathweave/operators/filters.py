@@ -15,7 +15,7 @@ from pathweave.operators.metric import nearest
 from pathweave.operators.motion import TRACK, XYZ, point_motion
 from pathweave.operators.neighbours import knn, knn_mean, largest_component
 from pathweave.operators.quantile import robust_limits
-from pathweave.operators.sequence import BLOCK, dense_index
+from pathweave.operators.sequence import BLOCK, dense_index, meet
 from pathweave.session import materialize
 
 DEMO = ("demo_id",)
@@ -141,7 +141,7 @@ def component_filter(tracks: DataFrame, candidates: DataFrame, k: int = 5, facto
     n = candidates.groupBy("demo_id").agg(F.count(F.lit(1)).alias("n"))
     n = n.filter(F.col("n") >= max(4, k + 2)).withColumn("min_keep", F.greatest(F.lit(3), F.ceil(F.lit(min_keep_ratio) * F.col("n"))))
     last = tracks.groupBy("demo_id").agg(F.max("t").alias("t_max"))
-    pts = tracks.join(candidates.select("demo_id", "point_id"), ["demo_id", "point_id"]).join(n, "demo_id").join(last, "demo_id")
+    pts = meet(tracks, candidates.select("demo_id", "point_id"), ["demo_id", "point_id"]).join(n, "demo_id").join(last, "demo_id")
     traj = _trajectory_bad(pts, n, k, factor, last)  # whole trajectories, whatever the frame stride
     pts = pts.filter((F.col("t") % stride == 0) | (F.col("t") == F.col("t_max")))
     frame = ["demo_id", "t"]
