@@ -8,7 +8,7 @@ that the trees did not learn from, selects those that are reported, unless a bas
 
 Nothing is labelled, so the trees learn from what the patterns decide: a proposal inside an accepted base span is personal data, one that
 meets a rejected match (a card number that fails its check, a phone number of the wrong length, an address part above 255) is not, others
-are not learnt from. Learning takes at most ``max_docs`` documents and ``max_candidates`` proposals, by hash. A generator whose
+are not learnt from. Learning takes all documents and all their proposals; equal ones count as one row with a weight. A generator whose
 proposals never reach the wanted precision adds nothing. Learning and scoring are DataFrame work and MLlib's trees; the trees are applied
 as column expressions.
 
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from pathweave.llm.tables import written
 
-MAX_DOCS, MAX_CANDIDATES = 40_000, 20_000
 #: Share of right ones that a threshold must reach, and the least number of them.
 PRECISION, LEAST = 0.95, 10
 CHUNK, CONTEXT = 64, 24
+#: Tasks of the learning.
+PARTS = 16
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail", "call", "number")
 
@@ -216,26 +217,32 @@ def tree_of(node):
     return int(split.featureIndex()), float(split.threshold()), tree_of(node.leftChild()), tree_of(node.rightChild())
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_candidates: int = MAX_CANDIDATES, precision: float = PRECISION, least: int = LEAST) -> Model:
+def found_in(docs: DataFrame) -> DataFrame:
+    """``docs`` without its text, with its spans and the fold of its text."""
+    return marked(candidates(docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int"))))
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST) -> Model:
     """Trees from four fifths of the documents, thresholds from the rest."""
-    rank = F.xxhash64("text")
-    n = docs.count()
-    if n > max_docs:
-        docs = docs.filter(F.pmod(rank, F.lit(1_000_003)) < int(max_docs / n * 1_000_003))
-    known = marked(candidates(docs.select("text", F.pmod(rank, F.lit(5)).cast("int").alias("fold"))))
+    return learn(found_in(docs.select("text")), precision, least)
+
+
+def learn(known: DataFrame, precision: float = PRECISION, least: int = LEAST) -> Model:
+    """The model of ``found_in``'s rows: all of them, equal proposals of a fold as one row of weight ``n``."""
     # explode_outer: explode would have Spark push a filter on the size down, which spells all expressions out many times over
     known = known.select("fold", F.explode_outer("more").alias("e")).filter("e.inside or e.failed")
     known = known.select("fold", "e.k", "e.f", F.col("e.inside").cast("double").alias("label"))
-    known = written(known.orderBy(F.xxhash64("f", "fold", "label")).limit(max_candidates).repartition(4), "pii-candidates")
+    known = known.groupBy("fold", "k", "f", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    known = written(known.repartition(PARTS, "f", "fold", "label").sortWithinPartitions("f", "fold", "label"), "pii-candidates")
     train, rest = known.filter("fold > 0"), known.filter("fold = 0")
     if train.select("label").distinct().count() < 2:
         return NOTHING
-    rows = VectorAssembler(inputCols=[*FEATURES], outputCol="v").transform(train.select("label", *[F.col("f")[i].alias(name) for i, name in enumerate(FEATURES)]))
-    boosted = GBTClassifier(labelCol="label", featuresCol="v", maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(rows)
+    rows = VectorAssembler(inputCols=[*FEATURES], outputCol="v").transform(train.select("label", "n", *[F.col("f")[i].alias(name) for i, name in enumerate(FEATURES)]))
+    boosted = GBTClassifier(labelCol="label", featuresCol="v", weightCol="n", maxIter=12, maxDepth=3, stepSize=0.3, seed=11).fit(rows)
     trees = [tree_of(t._call_java("rootNode")) for t in boosted.trees]
     model = Model(trees, list(boosted.treeWeights), {})
     # the least score from which the held-out proposals are right often enough, per kind and hundredth
-    steps = (rest.withColumn("s", F.floor(model.score(F.col("f")) * 100)).groupBy("k", "s").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect())
+    steps = (rest.withColumn("s", F.floor(model.score(F.col("f")) * 100)).groupBy("k", "s").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect())
     for i, kind in enumerate(ADDED, len(BASE)):
         model.thresholds[kind], right, total = 2.0, 0.0, 0
         for r in sorted((r for r in steps if r.k == i), key=lambda r: -r.s):
@@ -250,15 +257,20 @@ def joined(spans: Column, names: Sequence[str]) -> Column:
     return F.array_join(F.transform(spans, lambda e: F.concat_ws(":", F.get(names, e["k"]), e["start"], e["end"])), ",")
 
 
-def scan_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, ``base`` and ``added`` spans: (start, k, end), by start, then kind."""
+def scan_texts(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, ``base`` and ``added`` spans: (start, k, end), by start, then kind. Without a model, one is learnt from these documents,
+    whose spans are then found once and written."""
     bare = F.transform("added", lambda e: F.struct(e["start"], e["k"], e["end"]))
-    return model.chosen(marked(candidates(docs.select("doc_id", "text")))).select("doc_id", "base", F.sort_array(bare).alias("added"))
+    found = found_in(docs.select("doc_id", "text"))
+    if model is None:
+        found = written(found, "pii-found")
+        model = learn(found)
+    return model.chosen(found).select("doc_id", "base", F.sort_array(bare).alias("added"))
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans."""
-    out = scan_texts(docs, model or fit(docs))
+    out = scan_texts(docs, model)
     counts = [F.size(F.filter("base", lambda e: e["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]  # noqa: B023
     return out.select("doc_id", *counts, F.size("added").cast("long").alias("n_added"), F.sha2(joined(F.col("base"), BASE).cast("binary"), 256).alias("base_sha256"),
                       joined(F.sort_array(F.concat("base", "added")), BASE + ADDED).alias("spans"))

@@ -96,3 +96,12 @@ def test_scan_by_chunks(spark, n):
     row = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: (i * 37 % 11).cast("long")).alias("v")).select(F.slice("v", 1, n).alias("v"))
     row = row.select("v", pii.scan(F.col("v"), 0, pii.add).alias("s"), pii.scan(F.col("v"), -1, pii.larger).alias("m")).first()
     assert list(row.s) == [sum(row.v[:i]) for i in range(n)] and list(row.m) == [max([-1, *row.v[:i]]) for i in range(n)]
+
+
+def test_learning_takes_every_proposal(spark, make_docs, monkeypatch):
+    docs = make_docs(enumerate([" ".join(learnable(600))] * 20 + [" ".join(learnable(100))]))
+    seen = {}
+    monkeypatch.setattr(pii, "written", lambda df, purpose, write=pii.written: seen.setdefault(purpose, write(df, purpose)))
+    pii.fit(docs)
+    proposals = pii.found_in(docs.select("text")).selectExpr("inline(more)").filter("inside or failed").count()
+    assert proposals > 20_000 and seen["pii-candidates"].agg({"n": "sum"}).first()[0] == proposals
