@@ -98,10 +98,12 @@ def test_scan_by_chunks(spark, n):
     assert list(row.s) == [sum(row.v[:i]) for i in range(n)] and list(row.m) == [max([-1, *row.v[:i]]) for i in range(n)]
 
 
-def test_learning_takes_every_proposal(spark, make_docs, monkeypatch):
-    docs = make_docs(enumerate([" ".join(learnable(600))] * 20 + [" ".join(learnable(100))]))
-    seen = {}
+def test_learning_takes_every_proposal(spark, monkeypatch):
+    """30,000 proposals, of which the size alone tells the right ones."""
+    seen, size = {}, len(pii.FEATURES)
     monkeypatch.setattr(pii, "written", lambda df, purpose, write=pii.written: seen.setdefault(purpose, write(df, purpose)))
-    pii.fit(docs)
-    proposals = pii.found_in(docs.select("text")).selectExpr("inline(more)").filter("inside or failed").count()
-    assert proposals > 20_000 and seen["pii-candidates"].agg({"n": "sum"}).first()[0] == proposals
+    more = f"array(struct(6 as k, array_repeat(cast(id % 4 as double), {size}) as f, id % 4 >= 2 as inside, id % 4 < 2 as failed)) as more"
+    model = pii.learn(spark.range(30_000).selectExpr("cast(id % 5 as int) as fold", more))
+    rows = seen["pii-candidates"]
+    assert rows.count() == 20 and rows.agg({"n": "sum"}).first()[0] == 30_000
+    assert 0.5 < model.thresholds["number"] <= 1 and model.thresholds["mail"] > 1
