@@ -55,6 +55,16 @@ def test_dense_index_with_one_hot_key(spark):
     assert got.set_index("id")["pos"].to_dict() == want.set_index("id")["pos"].to_dict()
 
 
+def test_dense_index_never_broadcasts_its_offsets(spark, sf_dir):
+    """Offsets may have as many rows as the table, while a compressed file looks small enough for the driver."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+    got = dense_index(ev, ["user_id"], ["ts", "event_id"], [F.floor(sec / 86400), sec])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    n = got.count()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and n == ev.count()
+
+
 def test_first_n_salted(spark):
     pdf = pd.DataFrame({"k": [0] * 500 + [1] * 3, "v": list(range(500, 0, -1)) + [9, 8, 7]})
     got = first_n(frame(spark, pdf), ["k"], [F.col("v")], 4, salts=7, salt_by=["v"]).orderBy("k", "rank").collect()
