@@ -56,9 +56,11 @@ def over_neighbours(
     after: int = 1,
     size: int = BLOCK,
 ) -> DataFrame:
-    """Add window columns that look at most ``before``/``after`` frames away. ``make`` gets the ordered window."""
+    """Add window columns that look at most ``before``/``after`` frames away. ``make`` gets the ordered window.
+
+    Rows that carry their block already (frames that were copied before their points were written out) are taken as they are."""
     w = W.partitionBy(*keys, BLK).orderBy(t)
-    haloed = with_halo(df, t, before, after, size)
+    haloed = df if BLK in df.columns else with_halo(df, t, before, after, size)
     return haloed.withColumns(make(w)).filter(~F.col(HALO)).drop(BLK, HALO)
 
 
