@@ -152,9 +152,11 @@ select demo_id, case variant when 'point_traj_metric' then 'global_metric' else
 def clean_export(d: Data):
     v = variant_rows(d)
     publish = v.filter(F.col("variant").isin("point_traj_metric", "point_traj_stage"))
-    ok = publish.groupBy("demo_id").agg(F.count_distinct("variant").alias("n")).filter("n = 2").select("demo_id")
-    out = publish.join(ok, "demo_id", "left_semi").withColumn("variant", F.when(F.col("variant") == "point_traj_metric", "global_metric").otherwise("stage_metric"))
-    return out.groupBy("demo_id", "variant").agg(F.count(F.lit(1)).alias("n"), F.sum("xu").alias("sx"))
+    # a row per demo and variant first: whether a demo has both is then read from these few, and no point is moved for it
+    g = publish.groupBy("demo_id", "variant").agg(F.count(F.lit(1)).alias("n"), F.sum("xu").alias("sx"))
+    both = g.groupBy("demo_id").agg(F.collect_list(F.struct("variant", "n", "sx")).alias("v")).filter(F.size("v") == 2)
+    out = both.select("demo_id", F.inline("v"))
+    return out.select("demo_id", F.when(F.col("variant") == "point_traj_metric", "global_metric").otherwise("stage_metric").alias("variant"), "n", "sx")
 
 
 @query("s17_subset_demo", f"""
