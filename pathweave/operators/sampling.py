@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.numeric import clip, hash_u32, hash_unit, text
-from pathweave.operators.sequence import dense_index, first_n
+from pathweave.operators.sequence import dense_index, first_n, over_neighbours
 
 
 def subsample(df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, purpose: str, seed: int = 0) -> DataFrame:
@@ -96,18 +96,17 @@ def pad_or_trim(df: DataFrame, lengths: DataFrame, length: int | Column, keys: S
     return src.withColumns(out).drop(t, t_len).withColumnRenamed("__want", t)
 
 
-def upsample_linear(src: DataFrame, lengths: DataFrame, stride: int, keys: Sequence[str], cols: Sequence[str],
+def upsample_linear(src: DataFrame, lengths: DataFrame | None, stride: int, keys: Sequence[str], cols: Sequence[str],
                     ts: str = "ts") -> DataFrame:
-    """Values at every frame from values at every ``stride``-th one. Both neighbours follow from the frame number,
-    so every source row is copied to the frames it serves and met there by equality."""
-    rows = src.join(lengths, "demo_id").withColumn("__n", F.floor((F.col("t_len") - 1) / stride).cast("int"))
-    first = F.greatest(F.col(ts) * stride - (stride - 1), F.lit(0))
-    last = F.least(F.when(F.col(ts) == F.col("__n"), F.col("t_len") - 1).otherwise(F.col(ts) * stride + stride - 1), F.col("t_len") - 1)
-    rows = rows.withColumn("t", F.explode(F.sequence(first, last)))
-    left = F.floor(F.col("t") / stride).cast("int")
-    right = F.least(left + 1, F.col("__n"))
-    f = F.when(right == left, F.lit(0.0)).otherwise((F.col("t") - left * stride) / F.lit(float(stride)))
-    # a source row contributes with 1-f as left neighbour, f as right neighbour, 1 when it is both
-    weight = F.when(F.col(ts) == left, 1.0 - f).otherwise(F.when(F.col(ts) == right, f))
-    return rows.withColumn("__w", weight).filter(F.col("__w").isNotNull()).groupBy(*keys, "t").agg(
-        *[F.sum(F.col(c) * F.col("__w")).alias(c) for c in cols])
+    """Values at every frame from values at every ``stride``-th one.
+
+    A source row looks at the next one and gives the frames up to it; the last one holds to the end. Frames whose next source row is
+    missing are left out. ``src`` may carry the demo's t_len, then ``lengths`` is None."""
+    rows = src if lengths is None else src.join(lengths, "demo_id")
+    rows = rows.withColumn("__n", F.floor((F.col("t_len") - 1) / stride).cast("int")).filter(F.col(ts) <= F.col("__n"))
+    rows = over_neighbours(rows, keys, ts, lambda w: {"__next": F.lead(ts).over(w), **{f"__r_{c}": F.lead(c).over(w) for c in cols}}, before=0, after=1)
+    alone = F.col(ts) == F.col("__n")
+    rows = rows.filter(alone | (F.col("__next") == F.col(ts) + 1))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.col(ts) * stride, F.least(F.col(ts) * stride + stride - 1, F.col("t_len") - 1))))
+    f = (F.col("t") - F.col(ts) * stride) / F.lit(float(stride))
+    return rows.select(*keys, "t", *[F.when(alone, F.col(c).cast("double")).otherwise(F.col(c) * (1.0 - f) + F.col(f"__r_{c}") * f).alias(c) for c in cols])

@@ -244,8 +244,10 @@ select g.demo_id, g.t, g.point_id, {q6('a.xu + (b.xu - a.xu) * (case when r = l
  {q6('a.yu + (b.yu - a.yu) * (case when r = l then 0 else (g.t - 3 * l) / 3.0 end)')} as y
 from g join src a on a.demo_id = g.demo_id and a.point_id = g.point_id and a.ts = g.l join src b on b.demo_id = g.demo_id and b.point_id = g.point_id and b.ts = g.r""")
 def interp_linear(d: Data, stride: int = 3):
-    src = d.tracks().filter(F.col("t") % stride == 0).withColumn("ts", F.floor(F.col("t") / stride).cast("int")).drop("t", "vis")
-    up = smp.upsample_linear(src, d.demo().select("demo_id", "t_len"), stride, ["demo_id", "point_id"], ["xu", "yu"])
+    # the length meets the frames and a block's frames come together before their points are written out
+    tr = d.tracks(d.demo().select("demo_id", "t_len"), halo=(0, stride))
+    src = tr.filter(F.col("t") % stride == 0).withColumn("ts", F.floor(F.col("t") / stride).cast("int")).drop("t", "vis")
+    up = smp.upsample_linear(src, None, stride, ["demo_id", "point_id"], ["xu", "yu"])
     return up.select("demo_id", "t", "point_id", r6("xu").alias("x"), r6("yu").alias("y"))
 
 
