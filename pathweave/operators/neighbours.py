@@ -35,9 +35,12 @@ def _packed(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequence[str])
     return p.select(*keys, F.col(f"p.{ident}").alias("ids"), *[F.col(f"p.{c}").cast("array<double>").alias(c) for c in cols])
 
 
-def _split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of groups within the limit, rows of larger groups); oversized groups are few: total / limit."""
+def _split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups within the limit, rows of larger groups); oversized groups are few: total / limit, and mostly there are none (None)."""
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
+    big = materialize(big, "large-groups")
+    if big.isEmpty():
+        return df, None
     return df.join(big, list(keys), "left_anti"), df.join(big, list(keys), "left_semi")
 
 
@@ -164,12 +167,13 @@ def largest_component(df: DataFrame, keys: Sequence[str], ident: str, cols: Sequ
     are linked when their distance is at most the group's ``threshold`` column; of equally large components
     the one with the lowest id wins."""
     small, large = (df, None) if known_small else _split_by_size(df, keys, frame_limit)
-    labelled = _components_packed(small, keys, ident, cols, threshold)
-    if large is not None and not large.isEmpty():
-        labelled = labelled.unionByName(_components_grid(large, keys, ident, cols, threshold))
+    out = _components_packed(small, keys, ident, cols, threshold)
+    if large is None or large.isEmpty():
+        return out
+    labelled = _components_grid(large, keys, ident, cols, threshold)
     size = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
     best = size.groupBy(*keys).agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("__best"))
-    return labelled.join(best, list(keys)).withColumn("in_largest", F.col("component") == F.col("__best")).drop("__best")
+    return out.unionByName(labelled.join(best, list(keys)).withColumn("in_largest", F.col("component") == F.col("__best")).drop("__best"))
 
 
 def _components_packed(df, keys, ident, cols, threshold):
@@ -180,34 +184,62 @@ def _components_packed(df, keys, ident, cols, threshold):
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            labels = []
-            for thr, ids, *axes in zip(b["thr"], b["ids"], *[b[c] for c in cols]):
-                labels.append(np.asarray(ids)[component_labels(np.stack(axes, axis=1), float(thr))])
-            yield b[keys + ["ids"]].assign(component=labels)
+            for part in equal_sizes(b["ids"].map(len).to_numpy()):
+                p = b.iloc[part]
+                linked = np.sqrt(squared_distances([np.stack(p[c]) for c in cols])) <= p["thr"].to_numpy(float)[:, None, None]
+                label = components(linked)
+                named = np.take_along_axis(np.stack(p["ids"]), label, axis=1)
+                yield p[keys + ["ids"]].assign(component=list(named), in_largest=list(in_largest(label)))
 
     id_type = df.schema[ident].dataType
-    schema = T.StructType([packed.schema[c] for c in keys + ["ids"]] + [T.StructField("component", T.ArrayType(id_type))])
-    out = packed.mapInPandas(kernel, schema).select(*keys, F.inline(F.arrays_zip("ids", "component")))
+    schema = T.StructType([packed.schema[c] for c in keys + ["ids"]] + [
+        T.StructField("component", T.ArrayType(id_type)), T.StructField("in_largest", T.ArrayType(T.BooleanType()))])
+    out = packed.mapInPandas(kernel, schema).select(*keys, F.inline(F.arrays_zip("ids", "component", "in_largest")))
     return out.withColumnRenamed("ids", ident)
 
 
-def component_labels(pts: np.ndarray, threshold: float) -> np.ndarray:
-    """Index of the first point of each point's component."""
-    n = len(pts)
-    d2 = np.zeros((n, n))
-    for a in range(pts.shape[1]):
-        d2 += np.subtract.outer(pts[:, a], pts[:, a]) ** 2
-    linked = np.sqrt(d2) <= threshold
-    np.fill_diagonal(linked, True)
-    label = np.arange(n)
+def equal_sizes(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of groups of one size, so many at once that their distances fit MATRIX_CELLS."""
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        for part in np.array_split(rows, max(1, -(-len(rows) * int(n) ** 2 // MATRIX_CELLS))):
+            if len(part):
+                yield part
+
+
+def squared_distances(axes: Sequence[np.ndarray]) -> np.ndarray:
+    """(groups, n, n) from one (groups, n) array per axis."""
+    d2 = np.zeros((*axes[0].shape, axes[0].shape[1]))
+    for x in axes:
+        d2 += (x[:, :, None] - x[:, None, :]) ** 2
+    return d2
+
+
+def components(linked: np.ndarray) -> np.ndarray:
+    """(groups, n): the first point of each point's component, for many groups of n points at once. Changes the diagonals of ``linked``."""
+    f, n = linked.shape[:2]
+    linked[:, np.arange(n), np.arange(n)] = True
+    label = np.broadcast_to(np.arange(n), (f, n))
     while True:
-        new = np.where(linked, label[None, :], n).min(axis=1)
-        new = new[new]  # jump to the label of the label
+        new = np.where(linked, label[:, None, :], n).min(axis=2)
+        new = np.take_along_axis(new, new, axis=1)  # jump to the label of the label
         if np.array_equal(new, label):
             return label
         label = new
 
 
+def in_largest(label: np.ndarray) -> np.ndarray:
+    """(groups, n): whether a point lies in its group's largest component, of equal ones the first."""
+    f, n = label.shape
+    counts = np.bincount((label + n * np.arange(f)[:, None]).ravel(), minlength=f * n).reshape(f, n)
+    return label == counts.argmax(axis=1)[:, None]
+
+
+def component_labels(pts: np.ndarray, threshold: float) -> np.ndarray:
+    """Index of the first point of each point's component."""
+    return components(np.sqrt(squared_distances([pts[:, a][None] for a in range(pts.shape[1])])) <= threshold)[0]
+
+
 def _components_grid(df, keys, ident, cols, threshold):
     """Groups too large for one matrix: cells of edge threshold/sqrt(dim) are connected inside by construction, so
     cells are the nodes; only neighbouring cells compare points, and labels spread by minimum with jumping."""
