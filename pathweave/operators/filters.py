@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pathweave.functions.numeric import all_finite, hash_u32, text
 from pathweave.operators.metric import nearest
 from pathweave.operators.motion import TRACK, XYZ, point_motion
-from pathweave.operators.neighbours import knn, knn_mean, largest_component
+from pathweave.operators.neighbours import components, equal_sizes, in_largest, knn, knn_mean, squared_distances
 from pathweave.operators.quantile import robust_limits
 from pathweave.operators.sequence import BLOCK, dense_index, meet
 from pathweave.session import materialize
@@ -144,14 +144,7 @@ def component_filter(tracks: DataFrame, candidates: DataFrame, k: int = 5, facto
     pts = meet(tracks, candidates.select("demo_id", "point_id"), ["demo_id", "point_id"]).join(n, "demo_id").join(last, "demo_id")
     traj = _trajectory_bad(pts, n, k, factor, last)  # whole trajectories, whatever the frame stride
     pts = pts.filter((F.col("t") % stride == 0) | (F.col("t") == F.col("t_max")))
-    frame = ["demo_id", "t"]
-    score = knn(pts.select(*frame, "point_id", *XYZ), frame, "point_id", XYZ, k, known_small=True)
-    score = materialize(score.select(*frame, knn_mean(F.col("nn")).alias("score")), "frame-score")
-    limits = robust_limits(score, frame, "score", factor, "mean").withColumnRenamed("limit", "thr")
-    usable = pts.join(limits.filter((F.col("thr") > 0) & (F.col("thr") < float("inf"))), frame)
-    comp = largest_component(usable.select(*frame, "point_id", *XYZ, "thr"), frame, "point_id", XYZ, "thr", known_small=True)
-    kept = comp.groupBy(*frame).agg(F.count_if("in_largest").alias("kept")).join(n, "demo_id").filter("kept >= min_keep")
-    votes = comp.join(kept.select(*frame), frame).groupBy("demo_id", "point_id").agg(F.count_if(~F.col("in_largest")).alias("votes"))
+    votes = frame_votes(pts, k, factor).groupBy("demo_id", "point_id").agg(F.count(F.lit(1)).alias("votes"))
 
     f = candidates.select("demo_id", "point_id").join(n, "demo_id", "left").join(votes, ["demo_id", "point_id"], "left").join(
         traj, ["demo_id", "point_id"], "left")
@@ -166,6 +159,53 @@ def component_filter(tracks: DataFrame, candidates: DataFrame, k: int = 5, facto
     return f.withColumn("bad", bad).select("demo_id", "point_id", "frame_bad", "traj_bad", "bad")
 
 
+def frame_votes(pts: DataFrame, k: int, factor: float) -> DataFrame:
+    """(demo_id, point_id) once per frame that finds the point outside its largest component (``pts``: demo_id, t, point_id, xyz, min_keep).
+
+    A frame's points are one packed row (its query grid), whose neighbours, limit and components are found in one go. The limit is that
+    of ``robust_upper`` of kind mean over the finite scores; frames without one, or that would keep fewer than min_keep points, do not vote.
+    """
+    p = pts.groupBy("demo_id", "t").agg(F.sort_array(F.collect_list(F.struct("point_id", *XYZ))).alias("p"), F.max("min_keep").alias("min_keep"))
+    packed = p.select("demo_id", "min_keep", F.col("p.point_id").alias("ids"), *[F.col(f"p.{c}").cast("array<double>").alias(c) for c in XYZ])
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in equal_sizes(b["ids"].map(len).to_numpy()):
+                q = b.iloc[part]
+                d2 = squared_distances([np.stack(q[c]) for c in XYZ])
+                label, ok = frame_components(d2, k, factor)
+                big = in_largest(label)
+                ok &= big.sum(axis=1) >= q["min_keep"].to_numpy()
+                at, i = np.nonzero(~big & ok[:, None])
+                yield pd.DataFrame({"demo_id": q["demo_id"].to_numpy()[at], "point_id": np.stack(q["ids"])[at, i]})
+
+    return packed.mapInPandas(kernel, "demo_id bigint, point_id bigint")
+
+
+def frame_components(d2: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of many frames of n points (squared distances, (frames, n, n)), and whether a frame has a usable limit."""
+    f, n = d2.shape[:2]
+    if n < 2:
+        return np.zeros((f, n), int), np.zeros(f, bool)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        near = d2.copy()
+        near[:, np.arange(n), np.arange(n)] = np.inf
+        score = np.sqrt(np.sort(near, axis=2)[:, :, : min(k, n - 1)]).mean(axis=2)
+        finite = np.isfinite(score)
+        m = finite.sum(axis=1)
+        mid = np.maximum(m - 1, 0) // 2
+
+        def middle(x):
+            return np.sort(np.where(finite, x, np.inf), axis=1)[np.arange(f), mid][:, None]
+
+        med = middle(score)
+        mad = middle(np.abs(score - med))[:, 0]
+        mu = np.where(finite, score, 0.0).sum(axis=1) / m
+        sd = np.sqrt((np.where(finite, score - mu[:, None], 0.0) ** 2).sum(axis=1) / m)
+        limit = np.where(mad > 1e-12, med[:, 0] + factor * 1.4826 * mad, mu + factor * (sd + 1e-12))
+        return components(np.sqrt(d2) <= limit[:, None, None]), (m > 0) & (limit > 0) & (limit < np.inf)
+
+
 def _trajectory_bad(pts: DataFrame, n: DataFrame, k: int, factor: float, last: DataFrame) -> DataFrame:
     """Component test on whole trajectories: one packed distance list per demo (points^2 entries)."""
     d = trajectory_distances(pts).join(last, "demo_id")
