@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from pathweave.plans import fixtures
-from pathweave.session import prepare
+from pathweave.session import COMPILED, prepare
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
     def deco(fn: Callable[[fixtures.Data], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(fixtures.Data(prepare(spark), sf_dir))
+            return fn(fixtures.Data(prepare(spark, COMPILED), sf_dir))
 
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
