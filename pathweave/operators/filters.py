@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from pathweave.functions.numeric import all_finite, hash_u32, text
 from pathweave.operators.metric import nearest
 from pathweave.operators.motion import TRACK, XYZ, point_motion
-from pathweave.operators.neighbours import components, equal_sizes, in_largest, knn, knn_mean, squared_distances
+from pathweave.operators.neighbours import _split_by_size, components, equal_sizes, in_largest, knn, knn_mean, squared_distances
 from pathweave.operators.quantile import robust_limits
 from pathweave.operators.sequence import BLOCK, dense_index, meet
 from pathweave.session import materialize
 
 DEMO = ("demo_id",)
+#: Points of a demo that are packed into one row.
+DEMO_LIMIT = 1024
 
 
 def teleport(exceed, max_step, n_steps, limit: float, min_steps: int = 1, use_max: bool = True, ratio: float = 0.01):
@@ -52,16 +55,48 @@ def first_frame_sor(points0: DataFrame, candidate: str, k: int, ratio: float, ro
     return points0.join(kept, ["demo_id", "point_id"], "left").withColumn("sor", F.coalesce("sor", F.lit(False)))
 
 
-def nearest_donor(points0: DataFrame, inlier: str) -> DataFrame:
+def nearest_donor(points0: DataFrame, inlier: str, limit: int = DEMO_LIMIT) -> DataFrame:
     """For every point that is not an inlier: the nearest inlier of the first frame, lowest id on ties.
 
-    A search between two sets on tiles (``metric.nearest``): no demo's inliers are gathered. Points without a finite
-    position neither get nor are donors; without inliers a demo has no rows.
+    Demos of at most ``limit`` points are one packed row each, many of which meet as matrices at once. In larger ones two sets are
+    searched on tiles (``metric.nearest``), so that no demo's inliers are gathered. Points without a finite position neither get nor
+    are donors; without inliers a demo has no rows.
     """
-    p = points0.filter(all_finite(XYZ)).select("demo_id", "point_id", F.array(*[F.col(c).cast("double") for c in XYZ]).alias("p"), F.col(inlier).alias("give"))
+    p = points0.filter(all_finite(XYZ) & F.col(inlier).isNotNull()).select(
+        "demo_id", "point_id", F.array(*[F.col(c).cast("double") for c in XYZ]).alias("p"), F.col(inlier).alias("give"))
     p = materialize(p.withColumn("ask", ~F.col("give")), "donor-points")
-    nn = nearest(p, DEMO, "point_id", "p", 1, ask="ask", give="give")
-    return nn.select("demo_id", "point_id", F.get("nn", F.lit(0))["point_id"].alias("donor"), F.get("nn", F.lit(0))["d2"].alias("d2"))
+    small, large = _split_by_size(p, DEMO, limit)
+    found = donors_packed(small)
+    if large is None:
+        return found
+    nn = nearest(large, DEMO, "point_id", "p", 1, ask="ask", give="give")
+    return found.unionByName(nn.select("demo_id", "point_id", F.get("nn", F.lit(0))["point_id"].alias("donor"), F.get("nn", F.lit(0))["d2"].alias("d2")))
+
+
+def donors_packed(points: DataFrame) -> DataFrame:
+    """Nearest donors in demos that fit one row (demo_id, point_id, p, give)."""
+    packed = points.groupBy(*DEMO).agg(F.sort_array(F.collect_list(F.struct("point_id", "give", "p"))).alias("r"))
+    packed = packed.select(*DEMO, F.col("r.point_id").alias("ids"), F.col("r.give").alias("give"), F.flatten("r.p").alias("p"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, give, p = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("ids", "give", "p"))
+            offsets, places = (b.column(c).offsets.to_numpy() for c in ("ids", "p"))
+            for part in equal_sizes(np.diff(offsets)):
+                n = offsets[part[0] + 1] - offsets[part[0]]
+                at = offsets[part][:, None] + np.arange(n)
+                xyz = p[places[part][:, None] + np.arange(n * len(XYZ))].reshape(len(part), n, len(XYZ))
+                d2 = squared_distances([xyz[:, :, a] for a in range(len(XYZ))])
+                d2[~np.broadcast_to(give[at][:, None, :], d2.shape)] = np.inf
+                best = d2.argmin(axis=2)  # ids ascend, so ties go to the lower id
+                near = np.take_along_axis(d2, best[:, :, None], axis=2)[:, :, 0]
+                row, col = np.nonzero(~give[at] & np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([
+                    b.column("demo_id").take(pa.array(part[row])), pa.array(ids[at[row, col]]), pa.array(ids[at[row, best[row, col]]]), pa.array(near[row, col])],
+                    ["demo_id", "point_id", "donor", "d2"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    return packed.mapInArrow(kernel, f"demo_id {kinds['demo_id']}, point_id {kinds['point_id']}, donor {kinds['point_id']}, d2 double")
 
 
 def random_donor(flags: DataFrame, inlier: str, seed: int = 0) -> DataFrame:
@@ -89,6 +124,15 @@ def copy_tracks(tracks: DataFrame, donors: DataFrame, cols: Sequence[str] = XYZ)
     return own.unionByName(copied)
 
 
+def copies(flags: DataFrame, donors: DataFrame) -> DataFrame:
+    """Per demo ``picks``, the (point_id, to) by which tracks are sent: from every point that keeps its data to itself, and from donors to
+    the points that copy them. A demo's points are its query points, so the list is no longer than one frame."""
+    pairs = donors.select("demo_id", F.col("donor").alias("point_id"), F.col("point_id").alias("to"))
+    own = flags.select("demo_id", "point_id").join(donors.select("demo_id", "point_id"), ["demo_id", "point_id"], "left_anti")
+    sent = pairs.unionByName(own.withColumn("to", F.col("point_id")))
+    return sent.groupBy(*DEMO).agg(F.collect_list(F.struct("point_id", "to")).alias("picks"))
+
+
 def moving_sor_teleport(tracks: DataFrame, motion_thresh: float, k: int, ratio: float, step_limit: float) -> DataFrame:
     """Per track: moving, sor, teleport and inlier; a demo without any inlier falls back to moving and not teleport."""
     first = F.max(F.when(F.col("t") == 0, F.struct(*XYZ)))

@@ -124,6 +124,22 @@ def test_donors_of_demos_without_inliers_or_positions(spark):
     assert flt.nearest_donor(p.filter("false"), "inlier").count() == 0 and flt.random_donor(p.filter("false"), "inlier").count() == 0
 
 
+def test_donors_of_packed_demos_are_those_of_tiles(spark, monkeypatch):
+    """Small demos need no tiles; demos above the limit go through them, with the same donors, distances and ties."""
+    rng = np.random.default_rng(4)
+    rows = [(d, i, *(float(x) for x in rng.integers(0, 4, 3)), bool(i % 3 == d % 3)) for d in range(6) for i in range(5 + 9 * d)]
+    p = spark.createDataFrame(rows, "demo_id bigint, point_id bigint, xu double, yu double, zu double, inlier boolean").repartition(3)
+    want = {}
+    for d, i, x, y, z, inlier in rows:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2, j) for e, j, a, b, c, give in rows if e == d and give)
+        if near and not inlier:
+            want[(d, i)] = near[0]
+    for limit in (0, 20):
+        assert {(r["demo_id"], r["point_id"]): (r["d2"], r["donor"]) for r in flt.nearest_donor(p, "inlier", limit).collect()} == want
+    monkeypatch.setattr(flt, "nearest", None)
+    assert {(r["demo_id"], r["point_id"]): (r["d2"], r["donor"]) for r in flt.nearest_donor(p, "inlier").collect()} == want
+
+
 def test_random_donors_are_spread(spark):
     p = spark.range(4000).select(F.lit(1).cast("bigint").alias("demo_id"), F.col("id").alias("point_id"), (F.col("id") % 4 == 0).alias("inlier"))
     out = flt.random_donor(p, "inlier").toPandas()
