@@ -186,7 +186,11 @@ def inliers(x: np.ndarray, y: np.ndarray, scale: np.ndarray, rot: np.ndarray, tr
     r2 = fits @ rows.T
     inside = r2 <= threshold**2
     doubt = 1e-12 * (scale**2 * xx.max(initial=0.0) + tt + yy.max(initial=0.0) + threshold**2)
-    k, i = np.nonzero(np.abs(r2 - threshold**2) <= doubt[:, None])
+    r2 -= threshold**2
+    near = np.flatnonzero(np.abs(r2, out=r2) <= doubt[:, None])
+    if not len(near):
+        return inside
+    k, i = np.divmod(near, n)
     plain = scale[k, None] * np.einsum("pij,pj->pi", rot[k], x[i]) + trans[k] - y[i]
     inside[k, i] = (plain * plain).sum(1) <= threshold**2
     return inside
