@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pathweave.functions.geometry import apply_sim3, at
 from pathweave.functions.numeric import all_finite, hash_u32, norm, text
 from pathweave.operators.quantile import exact_quantiles
-from pathweave.operators.sampling import subsample
+from pathweave.operators.sampling import subsample, train_val_split
 from pathweave.operators.sequence import meet
 from pathweave.session import materialize
 
@@ -128,6 +128,25 @@ def trimmed_fit(corr: DataFrame, keys: Sequence[str], percentile: float = 0.95,
     return fit if frozen is None else fit.unionByName(frozen)
 
 
+def split_fits(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], parts: int, threshold: float) -> DataFrame:
+    """Fits to disjoint hash classes ``h`` of a group's correspondences, each judged on all of them: n, n_inliers, median_err."""
+    keys = list(keys)
+    corr = materialize(corr, "corr")
+    fits = fit_sim3(corr.withColumn("h", hash_class(keys, ids, parts)), [*keys, "h"]).filter("scale is not null")
+    hyp = fits.groupBy(*keys).agg(F.collect_list(F.struct("h", "scale", "rot", "trans")).alias("hyps"))
+    # the group's short list of fits rides on the correspondence; no pair rows
+    scored = corr.join(hyp, keys).withColumn("e", F.transform("hyps", lambda s: norm(*[
+        m - F.col(c) for m, c in zip(apply_sim3(s["scale"], s["rot"], [F.get(s["trans"], F.lit(i)) for i in range(3)], [F.col(x) for x in SRC]), DST)])))
+    flat = scored.select(*keys, F.inline(F.arrays_zip(F.col("hyps.h").alias("h"), F.col("e").alias("err"))))
+    counts = flat.groupBy(*keys, "h").agg(F.count_if(F.col("err") <= threshold).alias("n_inliers"), F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(flat, [*keys, "h"], "err", {"median_err": 0.5})
+    return counts.join(med, [*keys, "h"]).select(*keys, "h", "n", "n_inliers", "median_err")
+
+
+def hash_class(keys: Sequence[str], ids: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys, *ids), F.lit(parts))
+
+
 #: Correspondences that are scored against all hypotheses of their group at once.
 BLOCK = 2048
 
@@ -317,10 +336,23 @@ def endpoint_offset(corr: DataFrame, keys: Sequence[str], trim: float = 0.8, max
                     F.when(few, 0.0).otherwise(F.col("offset_norm")).alias("offset_norm"), F.col("j.p95").alias("residual_p95"), "reason")
 
 
-def gate(corr: DataFrame, track_ok: DataFrame, stride: int, vis: str = "vis", min_vis: float = 0.5) -> DataFrame:
-    """Correspondences used for calibration: finite on both sides, visible, of a kept track, on every n-th frame."""
+def gate(corr: DataFrame, track_ok: DataFrame | None, stride: int, vis: str = "vis", min_vis: float = 0.5) -> DataFrame:
+    """Correspondences used for calibration: finite on both sides, visible, on every n-th frame and of a kept track (None: the rows are of kept tracks)."""
     ok = all_finite(SRC + DST) & (F.coalesce(F.col(vis), F.lit(1)) >= min_vis) & (F.col("t") % stride == 0)
-    return corr.filter(ok).join(track_ok.select("demo_id", "point_id"), ["demo_id", "point_id"], "left_semi")
+    rows = corr.filter(ok)
+    return rows if track_ok is None else rows.join(track_ok.select("demo_id", "point_id"), ["demo_id", "point_id"], "left_semi")
+
+
+def calibrate(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], fraction: float, iterations: int, threshold: float) -> DataFrame:
+    """``ransac_sim3`` on the training part of an exact split per group, with train_rmse, val_rmse, median_err and p95_err of the fit."""
+    keys = list(keys)
+    corr = materialize(corr, "corr")
+    split = materialize(train_val_split(corr, keys, ids, fraction, "calibration"), "split")
+    fit = materialize(ransac_sim3(split.filter("split <> 'val'"), keys, ids, iterations, threshold), "fit")
+    e = with_residual(split, fit.filter("scale is not null"), keys)
+    plain = e.groupBy(*keys).agg(*[F.sqrt(F.avg(F.when(F.col("split").isin(s, "both"), F.col("err") * F.col("err")))).alias(f"{s}_rmse") for s in ("train", "val")])
+    q = exact_quantiles(e, keys, "err", {"median_err": 0.5, "p95_err": 0.95})
+    return fit.join(plain, keys, "left").join(q, keys, "left")
 
 
 __all__ = ["at", "endpoint_offset", "fit_affine", "fit_sim3", "gate", "moments", "moved", "hypotheses", "leaders", "pair", "ransac_sim3", "residual", "score",

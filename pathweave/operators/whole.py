@@ -224,3 +224,47 @@ def trimmed_fit(corr: DataFrame, keys: Sequence[str], percentile: float = 0.95,
         return {"n": [f[0] for f in found], **_fit_columns([f[1] for f in found])}
 
     return by_group(corr.select(*keys, *cal.SRC, *cal.DST), keys, keys, kernel, f"n double, {cal.FIT}")
+
+
+def split_fits(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], parts: int, threshold: float) -> DataFrame:
+    """``calibration.split_fits`` of small groups."""
+    corr = corr.select(*keys, cal.hash_class(keys, ids, parts).cast("int").alias("h"), *cal.SRC, *cal.DST)
+
+    def kernel(cols: dict, bounds: np.ndarray) -> dict:
+        out = []
+        for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            x, y, h = *(xyz({c: v[a:b] for c, v in cols.items()}, names) for names in (cal.SRC, cal.DST)), cols["h"][a:b]
+            for one in range(parts):
+                f = fit(x[h == one], y[h == one])
+                if np.isfinite(f[0]):
+                    e = errors(x, y, f)
+                    out.append((g, one, len(e), int((e <= threshold).sum()), quantile(e, 0.5)))
+        return dict(zip(("__g", "h", "n", "n_inliers", "median_err"), (np.array(c) for c in zip(*out)) if out else [np.array([], int)] * 5))
+
+    return by_group(corr, keys, keys, kernel, "__g int, h bigint, n bigint, n_inliers bigint, median_err double")
+
+
+def calibrate(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], fraction: float, iterations: int, threshold: float) -> DataFrame:
+    """``calibration.calibrate`` of small groups."""
+    corr = corr.select(*keys, *[i for i in ids if i not in keys], *cal.SRC, *cal.DST)
+
+    def kernel(cols: dict, bounds: np.ndarray) -> dict:
+        x, y = xyz(cols, cal.SRC), xyz(cols, cal.DST)
+        out, fits = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            n, own, names = b - a, [cols[k][a:b] for k in keys], [cols[i][a:b] for i in ids]
+            train = val = np.ones(n, bool)
+            if n >= 8:
+                val = np.zeros(n, bool)
+                val[np.lexsort([*names[::-1], hashes(own + names, "split", 0)])[: min(max(round(n * min(fraction, 0.8)), 1), n - 3)]] = True
+                train = ~val
+            u, v = x[a:b], y[a:b]
+            f, *told = _ransac(u[train], v[train], [i[train] for i in names], [k[train] for k in own], np.array([0, train.sum()]), iterations, threshold, 0)[0]
+            e = errors(u, v, f) if f is not None and np.isfinite(f[0]) else np.full(n, np.nan)
+            fits.append(f)
+            out.append((train.sum(), *told, np.sqrt((e[train] ** 2).mean()), np.sqrt((e[val] ** 2).mean()), quantile(e, 0.5), quantile(e, 0.95)))
+        names = ("n_corr", "n_inliers", "inlier_median", "inlier_p95", "train_rmse", "val_rmse", "median_err", "p95_err")
+        return {**_fit_columns(fits), **dict(zip(names, (np.array(c) for c in zip(*out))))}
+
+    return by_group(corr, keys, keys, kernel, f"{cal.FIT}, n_corr bigint, n_inliers bigint, inlier_median double, inlier_p95 double, "
+                    "train_rmse double, val_rmse double, median_err double, p95_err double")

@@ -15,7 +15,7 @@ K = 8
 
 
 def signal(d: Data):
-    return seg.binarize(d.steps().select("demo_id", "t", "grip"), "grip")
+    return seg.binarize(d.grips(), "grip")
 
 
 def stage_segments(d: Data, min_len: int = 10):
@@ -23,7 +23,7 @@ def stage_segments(d: Data, min_len: int = 10):
 
 
 def policy_segments(d: Data):
-    s = seg.binarize(d.steps().select("demo_id", "t", "grip"), "grip", rule="zero")
+    s = seg.binarize(d.grips(), "grip", rule="zero")
     return seg.segments(s, "state", 3, 0, d.demo(), "inference")
 
 
@@ -117,7 +117,7 @@ SEGEND = """select demo_id, s, max(e) as e from (
 
 
 def keyframes(d: Data, k: int = K, limit_tail: bool = False):
-    frames = d.steps().select("demo_id", "t")
+    frames = d.frames().select("demo_id", "t")
     ends = seg.segment_end_of(frames, policy_segments(d)).withColumnRenamed("t", "s")
     if limit_tail:
         ends = ends.join(d.demo().select("demo_id", "t_len"), "demo_id").filter(F.col("s") <= F.col("t_len") - 1 - k)

@@ -79,3 +79,10 @@ def test_ransac_at_once_equals_ransac_in_passes(spark, sf_dir, iterations):
 
 def test_ransac_query_in_one_task_and_in_passes(spark, sf_dir, monkeypatch):
     both_ways(spark, sf_dir, monkeypatch, "a29_ransac_sim3", ["demo_id"])
+
+
+@pytest.mark.parametrize("name, keys", [
+    ("a31_stage_transform", ["demo_id", "s0"]), ("a28_robust_trim_fit", ["demo_id"]), ("j20_score_hypotheses", ["demo_id", "h"]), ("a30_calibrate", ["demo_id"]),
+    ("a07_err_stats", ["demo_id"]), ("a09_reference_error", ["demo_id"])])
+def test_demos_in_one_task_equal_demos_in_passes(spark, sf_dir, monkeypatch, name, keys):
+    both_ways(spark, sf_dir, monkeypatch, name, keys)
