@@ -124,13 +124,15 @@ def copy_tracks(tracks: DataFrame, donors: DataFrame, cols: Sequence[str] = XYZ)
     return own.unionByName(copied)
 
 
-def copies(flags: DataFrame, donors: DataFrame) -> DataFrame:
+def copies(flags: DataFrame, donors: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """Per demo ``picks``, the (point_id, to) by which tracks are sent: from every point that keeps its data to itself, and from donors to
-    the points that copy them. A demo's points are its query points, so the list is no longer than one frame."""
+    the points that copy them. ``more`` (demo_id, to and more) adds columns of the receivers. A demo's points are its query points, so the
+    list is no longer than one frame."""
     pairs = donors.select("demo_id", F.col("donor").alias("point_id"), F.col("point_id").alias("to"))
     own = flags.select("demo_id", "point_id").join(donors.select("demo_id", "point_id"), ["demo_id", "point_id"], "left_anti")
     sent = pairs.unionByName(own.withColumn("to", F.col("point_id")))
-    return sent.groupBy(*DEMO).agg(F.collect_list(F.struct("point_id", "to")).alias("picks"))
+    sent = sent if more is None else sent.join(more, ["demo_id", "to"])
+    return sent.groupBy(*DEMO).agg(F.collect_list(F.struct(*[c for c in sent.columns if c != "demo_id"])).alias("picks"))
 
 
 def moving_sor_teleport(tracks: DataFrame, motion_thresh: float, k: int, ratio: float, step_limit: float) -> DataFrame:

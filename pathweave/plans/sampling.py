@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathweave.functions.numeric import clip, hash_unit, r6, text
 from pathweave.operators import filters as flt
 from pathweave.operators import sampling as smp
-from pathweave.operators.motion import XYZ
-from pathweave.operators.sequence import prefix
-from pathweave.plans.fixtures import SIDE, Data
+from pathweave.operators.sequence import meet, prefix
+from pathweave.plans.fixtures import SIDE, Data, by_size
 from pathweave.plans.geometry import UVM, mixed_uv
 from pathweave.plans.registry import h32, q6, query
+from pathweave.session import materialize
 
 
 def unit_sql(*parts: str) -> str:
@@ -90,19 +91,29 @@ def gauss(*parts, tag: str):
 def noise_augmentation(d: Data):
     """Global shift per demo, bias per point, drift along a point's frames, jitter per row, outlier tracks, dropped tracks that
     copy a kept one, clipping, and a permutation of the points (``slot``). Every input row has one output row."""
-    tr = d.tracks().select("demo_id", "t", "point_id", *XYZ)
-    walk = tr.withColumns({f"g{a}": gauss("demo_id", "point_id", "t", tag=f"drift{a}") * 2.0 for a in "xyz"})
-    walk = prefix(walk, ["demo_id", "point_id"], "t", {f"w{a}": ("sum", f"g{a}") for a in "xyz"})
-    out = hash_unit("demo_id", "point_id", text("outlier"), 0) < 0.02
-    cols = []
-    for a in "xyz":
-        noise = gauss("demo_id", tag=f"shift{a}") * 50 + gauss("demo_id", "point_id", tag=f"bias{a}") * 20 + F.col(f"w{a}")
-        noise = noise + gauss("demo_id", "t", "point_id", tag=f"jitter{a}") * 5 + F.when(out, gauss("demo_id", "point_id", tag=f"big{a}") * 5000).otherwise(0.0)
-        cols.append(clip(F.col(f"{a}u") + noise, -100000.0, 100000.0).alias(f"{a}u"))
-    noisy = walk.select("demo_id", "t", "point_id", *cols)
+    d = d.indexed() if isinstance(d, Data) else d
     # one row per track: whether it is dropped, its donor among the kept ones, its new place
-    flags = tr.filter("t = 0").select("demo_id", "point_id", (hash_unit("demo_id", "point_id", text("drop"), 0) >= 0.1).alias("kept"))
-    donors = flt.random_donor(flags, "kept")
-    place = smp.hash_ranked(flags, ["demo_id"], ["point_id"], "perm", out="slot").select("demo_id", "point_id", "slot")
-    done = flt.copy_tracks(noisy, donors).join(place, ["demo_id", "point_id"])
-    return done.select("demo_id", "t", "point_id", "slot", *[r6(f"{a}u").alias(a) for a in "xyz"])
+    flags = d.tracks().filter("t = 0").select("demo_id", "point_id", (hash_unit("demo_id", "point_id", text("drop"), 0) >= 0.1).alias("kept"))
+    flags = materialize(flags, "flags")
+    place = smp.hash_ranked(flags, ["demo_id"], ["point_id"], "perm", out="slot").select("demo_id", F.col("point_id").alias("to"), "slot")
+    # who sends to whom: a track is written out once per receiver
+    picks = materialize(flt.copies(flags, flt.random_donor(flags, "kept"), place), "picks")
+
+    def noisy(tracks, whole: bool):
+        walk = tracks.withColumns({f"g{a}": gauss("demo_id", "point_id", "t", tag=f"drift{a}") * 2.0 for a in "xyz"})
+        if whole:
+            upto = W.partitionBy("demo_id", "to").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+            walk = walk.withColumns({f"w{a}": F.sum(f"g{a}").over(upto) for a in "xyz"})
+        else:
+            walk = prefix(walk, ["demo_id", "to"], "t", {f"w{a}": ("sum", f"g{a}") for a in "xyz"})
+        out = hash_unit("demo_id", "point_id", text("outlier"), 0) < 0.02
+        cols = []
+        for a in "xyz":
+            noise = gauss("demo_id", tag=f"shift{a}") * 50 + gauss("demo_id", "point_id", tag=f"bias{a}") * 20 + F.col(f"w{a}")
+            noise = noise + gauss("demo_id", "t", "point_id", tag=f"jitter{a}") * 5 + F.when(out, gauss("demo_id", "point_id", tag=f"big{a}") * 5000).otherwise(0.0)
+            cols.append(r6(clip(F.col(f"{a}u") + noise, -100000.0, 100000.0)).alias(a))
+        return walk.select("demo_id", "t", F.col("to").alias("point_id"), "slot", *cols)
+
+    if isinstance(d, Data):  # its frames meet the list before their points are written out
+        return by_size(d, lambda part, whole: noisy(part.tracks(picks), whole))
+    return noisy(meet(d.tracks(), picks.select("demo_id", F.inline("picks")), ["demo_id", "point_id"]), False)

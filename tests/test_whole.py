@@ -86,3 +86,15 @@ def test_ransac_query_in_one_task_and_in_passes(spark, sf_dir, monkeypatch):
     ("a07_err_stats", ["demo_id"]), ("a09_reference_error", ["demo_id"])])
 def test_demos_in_one_task_equal_demos_in_passes(spark, sf_dir, monkeypatch, name, keys):
     both_ways(spark, sf_dir, monkeypatch, name, keys)
+
+
+def test_noise_follows_a_track_in_one_task_and_in_blocks(spark, sf_dir, monkeypatch):
+    both_ways(spark, sf_dir, monkeypatch, "h27_noise_augmentation", ["demo_id", "t", "point_id"])
+
+
+@pytest.mark.parametrize("name", ["a35_quality_mask", "h27_noise_augmentation"])
+def test_no_point_is_joined_and_frames_are_numbered_once(spark, sf_dir, name):
+    """The driver keeps a plan of the last step only."""
+    df = load_all()[name].run(spark, sf_dir)
+    assert "Join" not in plan(df).split("Generate")[0]
+    assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
