@@ -268,3 +268,18 @@ def calibrate(corr: DataFrame, keys: Sequence[str], ids: Sequence[str], fraction
 
     return by_group(corr, keys, keys, kernel, f"{cal.FIT}, n_corr bigint, n_inliers bigint, inlier_median double, inlier_p95 double, "
                     "train_rmse double, val_rmse double, median_err double, p95_err double")
+
+
+def image_totals(images: DataFrame, limit: float) -> DataFrame:
+    """Sum of every image (demo_id, t, z) and whether the median of all positive depths of its demo is above ``limit`` (null without any)."""
+    schema = T.StructType([images.schema["demo_id"], images.schema["t"], *T._parse_datatype_string("was_mm boolean, total double").fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        z = table.column("z").combine_chunks()
+        v = z.flatten().to_numpy(zero_copy_only=False)
+        total = np.bincount(np.repeat(np.arange(len(z)), np.diff(z.offsets.to_numpy())), weights=v, minlength=len(z))
+        seen = v[v > 0]
+        above = bool(quantile(seen, 0.5) > limit) if len(seen) else None
+        return pa.table({"demo_id": table.column("demo_id"), "t": table.column("t"), "was_mm": pa.array([above] * len(z), pa.bool_()), "total": total})
+
+    return images.groupBy("demo_id").applyInArrow(_typed(run, schema), schema)

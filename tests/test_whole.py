@@ -98,3 +98,11 @@ def test_no_point_is_joined_and_frames_are_numbered_once(spark, sf_dir, name):
     df = load_all()[name].run(spark, sf_dir)
     assert "Join" not in plan(df).split("Generate")[0]
     assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_images_are_made_once_and_not_sorted(spark, sf_dir, monkeypatch):
+    a = both_ways(spark, sf_dir, monkeypatch, "h12_depth_units", ["demo_id", "t"])
+    monkeypatch.undo()
+    text_ = plan(load_all()["h12_depth_units"].run(spark, sf_dir))
+    assert a.count() > 0 and "Generate" not in text_
+    assert re.search(r"FlatMapGroupsInArrow(.*?)transform", text_, re.S) and "Sort" not in re.search(r"FlatMapGroupsInArrow(.*?)transform", text_, re.S).group(1)
